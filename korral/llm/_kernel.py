@@ -104,6 +104,26 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.nda
     return mix(total + size.astype(np.uint64))
 
 
+def value_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, cuts: tuple[int, ...] = ()) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Hashes of spans of 64-bit values, and of their fronts of ``cuts`` values (0 where a span is no longer than the cut)."""
+    if not len(start):
+        z = np.zeros(0, np.uint64)
+        return z, [z for _ in cuts]
+    size = end - start
+    first = np.cumsum(size) - size
+    at = np.arange(int(size.sum())) - np.repeat(first, size)
+    run = np.zeros(len(at) + 1, np.uint64)
+    np.cumsum(values[np.repeat(start, size) + at] * _powers(int(size.max()))[at], out=run[1:])
+    base = run[first]
+    fronts = []
+    for k in cuts:
+        long = size > k
+        h = np.zeros(len(start), np.uint64)
+        h[long] = mix(run[first[long] + k] - base[long] + _U(k + (1 << 32)))
+        fronts.append(h)
+    return mix(run[first + size] - base + size.astype(np.uint64)), fronts
+
+
 def gram_hash(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of words[i:i+k] for every i with a whole k-gram (rows are the caller's)."""
     n = len(words) - k + 1

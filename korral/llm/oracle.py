@@ -13,4 +13,42 @@ SELECT doc_id,
 FROM d WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id)
 """
 
-ORACLES = {"op1_exact_dedup": OP1}
+# The quotas in closed form: sources in the order of their cap per weight; the first whose
+# share of what is left stays under its cap ends the capped ones.
+OP6 = r"""
+WITH d AS (
+  SELECT doc_id, source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY 2 * n / weight::DOUBLE, source IS NULL, encode(source)) AS k FROM w),
+l AS (
+  SELECT *, 1.5 * (sum(n) OVER ())::DOUBLE - coalesce(sum(2 * n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS remaining,
+         (sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS weights
+  FROM o),
+f AS (SELECT min(k) AS k FROM l WHERE weight * (remaining / weights) < 2 * n),
+t AS (
+  SELECT source, n,
+         CASE WHEN l.k < coalesce(f.k, 9223372036854775807) THEN (2 * n)::DOUBLE
+              ELSE weight * (SELECT remaining / weights FROM l AS x WHERE x.k = f.k) END AS target
+  FROM l, f),
+q AS (SELECT *, floor(target + 0.5)::BIGINT AS quota FROM t),
+r AS (SELECT *, CASE WHEN n > 0 THEN quota // n ELSE 0 END AS passes, CASE WHEN n > 0 THEN quota % n ELSE 0 END AS rest FROM q),
+c AS (
+  SELECT d.*, r.n, r.target, r.passes, r.rest,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS run
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+m AS (SELECT *, rest > 0 AND size > 0 AND 2 * run + size <= 2 * rest AS more FROM c),
+g AS (SELECT *, rest - sum(CASE WHEN more THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM m),
+p AS (
+  SELECT *, rest > 0 AND gap <> 0 AND more = (gap < 0) AND abs(size - abs(gap)) < abs(gap) AS fits FROM g),
+b AS (
+  SELECT *, fits AND row_number() OVER (PARTITION BY source, fits ORDER BY abs(size - abs(gap)), h, doc_id) = 1 AS flip FROM p)
+SELECT doc_id, size, n AS source_size, target,
+       (size * (passes + CASE WHEN more <> flip THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM b
+"""
+
+ORACLES = {"op1_exact_dedup": OP1, "op6_source_mixing": OP6}
