@@ -11,17 +11,20 @@ large it is.  The product is never formed over all of it:
 2. The other rows' sets are read once more.  Of a row only the first
    ``n - ceil(t * n) + 1`` columns in hash order are multiplied: two rows that
    reach ``t`` have one of these in common.
-3. In a column, every row first meets the column's most central row alone (a
-   star), so a group of g near copies makes g products, not g * g.  The links
-   found are closed into components, and then only pairs of rows of different
-   components are multiplied.  Overlap counts are added up over the columns,
-   and a pair goes as soon as a bound says that it can't reach the threshold:
-   the sizes, the ``shared`` of both rows, and in each common column the
-   columns before and after it.
-4. What is left is verified with the exact overlap of the whole sets.
-
-Nothing is capped: step 3 leaves a pair out only if it is linked already, if a
-bound excludes it, or if the two rows share none of their leading columns.
+3. In a column, every row first meets the column's most central row alone, its
+   pivot (a star), so a group of g near copies makes g products, not g * g.
+   The links found are closed into components; the rows of a column that are
+   not together with its pivot get one more star among themselves.
+4. Two rows x, y of different components that still meet in a column have its
+   pivot P in common, and |x & y| <= min(|x & P|, |y & P|) + |common outside P|.
+   So they need columns in common outside P, and only prefixes of what rows
+   have outside P are multiplied; or their overlaps with P do, which is only
+   possible for a row that isn't linked to P and a partner smaller than P.
+   The overlaps with the pivots, the sizes and ``shared`` bound every pair.
+5. What is left is verified with the exact overlap of the whole sets.
+
+Nothing is capped: a pair is left out only if its rows are in one component
+already or if a bound excludes it.
 
 Shingles are 64-bit and rows 128-bit hashes.  Broadcast is only a bitmap of the
 rows that passed step 1, of a fixed size (at most 16 MB); a full bitmap lets
@@ -49,6 +52,8 @@ SHINGLE, PERCENT = 5, 75
 #: Entries of the incidence in a block, and of a map task's buffer.
 BLOCK_ENTRIES, BUFFER = 4_000_000, 2_000_000
 MAX_BITS = 27
+#: Further star rounds among the rows of a column that the first one left apart.
+ROUNDS = 1
 
 
 def _sets(text: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[bytes]]]:
@@ -121,7 +126,7 @@ def _deal(batches: Iterator[pa.RecordBatch], k: int, blocks: int) -> Iterator[pa
         yield from flush()
 
 
-def _shared(table: pa.Table) -> pa.Table:
+def _shared(table: pa.Table, dests: int) -> pa.Table:
     """Of one block: for every row, how many of its columns other rows have too."""
     rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), np.uint64)
     counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
@@ -136,14 +141,27 @@ def _shared(table: pa.Table) -> pa.Table:
     many[1:] |= same
     many[:-1] |= same
     shared = np.bincount((entry[many] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(names))
-    some = shared > 0
-    return pa.table({"short": pa.array(names[some].view(np.int64)), "shared": pa.array(shared[some], pa.int64())})
+    # Packed by where the rows' sums are made, so what leaves a block are a few rows, not one per row of the matrix.
+    some = np.flatnonzero(shared)
+    dest = (K.mix(names[some]) % np.uint64(dests)).astype(np.int64)
+    order = np.argsort(dest, kind="stable")
+    ids, at = np.unique(dest[order], return_index=True)
+    parts = [some[x] for x in np.split(order, at[1:])] if len(ids) else []
+    return pa.table({"dest": pa.array(ids, pa.int64()), "rows": pa.array([names[x].tobytes() for x in parts], pa.binary()), "shared": pa.array([shared[x].astype(np.uint32).tobytes() for x in parts], pa.binary())})
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), np.uint64)
+    names, number = np.unique(rows, return_inverse=True)
+    shared = np.bincount(number, weights=np.frombuffer(b"".join(table.column("shared").to_pylist()), np.uint32), minlength=len(names))
+    return pa.table({"short": pa.array(names.view(np.int64)), "shared": pa.array(shared.astype(np.int64))})
 
 
 def incidence(docs: DataFrame, k: int, blocks: int) -> DataFrame:
     """(short, shared) of every row that shares a column with another."""
     dealt = docs.select("text").mapInArrow(lambda it: _deal(it, k, blocks), "block bigint, rows binary, counts binary, cols binary")
-    return dealt.groupBy("block").applyInArrow(_shared, "short bigint, shared bigint").groupBy("short").agg(F.sum("shared").alias("shared"))
+    parts = dealt.groupBy("block").applyInArrow(lambda t: _shared(t, blocks), "dest bigint, rows binary, shared binary")
+    return parts.groupBy("dest").applyInArrow(_summed, "short bigint, shared bigint")
 
 
 def _read(batches: Iterator[pa.RecordBatch], k: int, bits) -> Iterator[pa.RecordBatch]:
@@ -162,7 +180,11 @@ def _need(n: str, m: str, p: int) -> str:
 
 
 def similar_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(a row per document with its set's key and size, the links between different sets)."""
+    """(a row per document with its set's key and size, links between different sets).
+
+    The links are exact ones, and enough of them to connect every component; links between rows
+    that are in one component already are not all listed.
+    """
     spark = docs.sparkSession
     source = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -176,28 +198,71 @@ def similar_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> t
     held = K.cut(sizes.select("key", "n", _short("key").alias("short")).join(shared, "short").where(100 * F.col("shared") >= percent * F.col("n")).select("key", "short", "n", "shared"))
     bits = spark.sparkContext.broadcast(K.bitmap(held, "short", K.bitmap_bits(held.count(), MAX_BITS)))
     read = source.select("text").mapInArrow(lambda it: _read(it, k, bits), "key binary, short bigint, n bigint, cols array<bigint>")
-    sets = K.cut(read.groupBy("key").agg(F.first("cols").alias("cols")).join(held.select("key", "n", "shared"), "key"))
-
     lead = F.expr(f"cast(n - ceil({percent} * n / 100D) + 1 as int)")
-    post = K.cut(sets.select("key", "n", "shared", F.posexplode(F.slice("cols", F.lit(1), lead)).alias("pos", "col")))
-    bound = f"""least(n, m) * 100 >= {percent} * greatest(n, m) and least(shared, shared2) >= {_need('n', 'm', percent)}
-        and least(pos, pos2) + least(n - pos, m - pos2) >= {_need('n', 'm', percent)}"""
+    sets = K.cut(read.groupBy("key").agg(F.first("cols").alias("cols")).join(held.select("key", "n", "shared", lead.alias("lead")), "key"))
+    post = K.cut(sets.select("key", "n", "shared", F.posexplode(F.slice("cols", F.lit(1), F.col("lead"))).alias("pos", "col")))
 
     # Stars: every row against the most central row of each column.
-    central = F.max(F.struct((F.col("shared") / F.col("n")).alias("rank"), F.col("key"), "n", "shared", "pos"))
+    pivots = K.cut(_pivots(post))
+    met = pivots.join(post.select("col", "key", "n", "shared", "pos"), "col").where("key <> pivot")
+    near = K.cut(_overlaps(met.groupBy("key", "pivot").agg(F.count("*").alias("partial")), sets))
+    links = near.where(f"100 * overlap >= {percent} * (n + m - overlap)").select("key", F.col("pivot").alias("key2"), "overlap")
+    for _ in range(ROUNDS):
+        # Once more among the rows of each column that are not yet together with its central row.
+        label = _labelled(post, links)
+        apart = label.join(pivots.select("col", F.col("pivot").alias("p")), "col").join(label.select("col", F.col("key").alias("p"), F.col("label").alias("own")), ["col", "p"]).where("label <> own")
+        again = apart.select("col", "key", "n", "shared", "pos", "label")
+        again = K.cut(again)
+        more = again.join(_pivots(again), "col").where("key <> pivot").where(_bound(percent, "pn", "ps", "pp"))
+        found = _overlaps(more.groupBy("key", "pivot").agg(F.count("*").alias("partial")), sets)
+        found = found.where(f"100 * overlap >= {percent} * (n + m - overlap)").select("key", F.col("pivot").alias("key2"), "overlap")
+        links = K.cut(links.unionByName(found).distinct())
+
+    # Everything else: pairs of rows of different components that meet in a column whose rows are not all together.
+    label = _labelled(post, links)
+    mixed = K.cut(label.groupBy("col").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("col"))
+    left = K.cut(label.join(mixed, "col", "left_semi").join(pivots.select("col", "pivot"), "col"))
+    seats = left.select("key", "pivot", "n", "shared", "label").distinct().join(near.select("key", "pivot", "overlap", F.col("m").alias("size"), "extra"), ["key", "pivot"])
+    seats = K.cut(seats)
+    # (a) They need columns in common beyond those of the pivot: a prefix of what each has outside it.
+    out = seats.select("key", "pivot", "n", "shared", "label", "overlap", F.explode("extra").alias("col"))
+    # (b) What both share with the pivot may do: only rows that aren't linked to it, and smaller partners.
+    least = seats.groupBy("pivot").agg(F.min("n").alias("least"))
+    close = seats.join(least, "pivot").where(f"overlap >= {_need('n', 'greatest(least, n * ' + str(percent / 100) + ')', percent)}").select("key", "pivot", "n", "shared", "label", "overlap", "size")
+    close = left.select("key", "pivot", "col").join(close, ["key", "pivot"])
+    free = close.where(f"100 * overlap < {percent} * (n + size - overlap)").drop("size")
+    small = close.where("n < size").drop("size")
+    pairs = _meet(out, out, percent).union(_meet(free, small, percent, inside=True)).distinct()
+    rest = _overlaps(pairs.select("key", F.col("key2").alias("pivot"), F.lit(0).alias("partial")), sets)
+    rest = rest.where(f"100 * overlap >= {percent} * (n + m - overlap)").select("key", F.col("pivot").alias("key2"), "overlap")
+    return rows, links.unionByName(rest)
+
+
+def _bound(percent: int, m: str, shared: str, pos: str) -> str:
+    """A pair can reach the threshold: its sizes, its repeated columns, and what stands before and after a common column."""
+    need = _need("n", m, percent)
+    return f"least(n, {m}) * 100 >= {percent} * greatest(n, {m}) and least(shared, {shared}) >= {need} and least(pos, {pos}) + least(n - pos, {m} - {pos}) >= {need}"
+
+
+def _pivots(post: DataFrame) -> DataFrame:
+    """The most central row of every column that has several."""
+    central = F.max(F.struct((F.col("shared") / F.col("n")).alias("rank"), "key", "n", "shared", "pos"))
     stars = post.groupBy("col").agg(central.alias("c"), F.count("*").alias("rows")).where("rows > 1")
-    stars = stars.select("col", F.col("c.key").alias("key2"), F.col("c.n").alias("m"), F.col("c.shared").alias("shared2"), F.col("c.pos").alias("pos2"))
-    pairs = post.join(stars, "col").where("key <> key2").where(bound).groupBy("key", "key2").agg(F.count("*").alias("partial"))
-    links = K.cut(_verified(pairs, sets, percent))
-    group = components(links.select(F.col("key").alias("a"), F.col("key2").alias("b")))
+    return stars.select("col", F.col("c.key").alias("pivot"), F.col("c.n").alias("pn"), F.col("c.shared").alias("ps"), F.col("c.pos").alias("pp"))
 
-    # Everything else: pairs of rows of different components.
-    label = post.join(group.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    open_ = label.groupBy("col").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("col")
-    label = K.cut(label.join(open_, "col", "left_semi"))
-    other = label.select("col", F.col("key").alias("key2"), F.col("n").alias("m"), F.col("shared").alias("shared2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
-    rest = label.join(other, "col").where("key < key2 and label <> label2").where(bound).groupBy("key", "key2").agg(F.count("*").alias("partial"))
-    return rows, links.unionByName(_verified(rest, sets, percent))
+
+def _labelled(post: DataFrame, links: DataFrame) -> DataFrame:
+    group = components(links.select(F.col("key").alias("a"), F.col("key2").alias("b"))).select(F.col("node").alias("key"), "label")
+    return K.cut(post.join(group, "key", "left").withColumn("label", F.coalesce("label", "key")))
+
+
+def _meet(a: DataFrame, b: DataFrame, percent: int, inside: bool = False) -> DataFrame:
+    """Pairs of rows of one pivot that share a column and pass the bounds by their overlaps with the pivot."""
+    b = b.select("pivot", "col", F.col("key").alias("key2"), F.col("n").alias("m"), F.col("shared").alias("shared2"), F.col("label").alias("label2"), F.col("overlap").alias("overlap2"))
+    need = _need("n", "m", percent)
+    pivot = f"least(overlap, overlap2) >= {need}" if inside else f"key < key2 and least(overlap, overlap2) + least(n - overlap, m - overlap2) >= {need}"
+    met = a.join(b, ["pivot", "col"]).where("label <> label2").where(f"least(n, m) * 100 >= {percent} * greatest(n, m) and least(shared, shared2) >= {need} and {pivot}")
+    return met.select(F.least("key", "key2").alias("key"), F.greatest("key", "key2").alias("key2")).distinct()
 
 
 def _short(key: str):
@@ -205,24 +270,26 @@ def _short(key: str):
     return F.expr(f"cast(conv(concat({', '.join(f'hex(substring({key}, {i}, 1))' for i in range(8, 0, -1))}), 16, -10) as bigint)")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that reach the threshold, with their exact overlap."""
-    a = sets.select("key", F.col("n"), F.col("cols"))
-    b = sets.select(F.col("key").alias("key2"), F.col("n").alias("m"), F.col("cols").alias("cols2"))
-    both = pairs.join(a, "key").join(b, "key2").select("key", "key2", "n", "m", F.size(F.array_intersect("cols", "cols2")).alias("overlap"))
-    return both.where(f"100 * overlap >= {percent} * (n + m - overlap)").select("key", "key2", "overlap")
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The exact overlap of each pair's whole sets, and a prefix of the first one's columns outside the second.
+
+    The prefix has n - ceil(t * n) + 1 columns: two rows that need a column in common outside of a third
+    one have one among these (and all of them are kept where fewer are outside).
+    """
+    a = sets.select("key", "n", "cols", "lead")
+    b = sets.select(F.col("key").alias("pivot"), F.col("n").alias("m"), F.col("cols").alias("cols2"))
+    both = pairs.join(a, "key").join(b, "pivot")
+    both = both.withColumn("outside", F.array_except("cols", "cols2"))
+    return both.select("key", "pivot", "n", "m", (F.col("n") - F.size("outside")).alias("overlap"), F.slice("outside", F.lit(1), F.col("lead")).alias("extra"))
 
 
 def ngram_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """A row per document: doc_id, uid, n_shingles, component_id, n_links (links of its set to different sets)."""
+    """A row per document: doc_id, uid, n_shingles, component_id (the smallest doc_id reachable by links)."""
     rows, links = similar_sets(docs, k, percent)
-    links = K.cut(links)
     group = components(links.select(F.col("key").alias("a"), F.col("key2").alias("b"))).select(F.col("node").alias("key"), "label")
-    degree = links.select(F.explode(F.array("key", "key2")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
-    sets = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("low")).join(group, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    sets = K.cut(sets.join(degree, "key", "left").select("key", "label", "low", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    sets = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("low")).join(group, "key", "left")
+    sets = K.cut(sets.select("key", F.coalesce("label", "key").alias("label"), "low"))
     low = sets.groupBy("label").agg(F.min("low").alias("component_id"))
-    sets = sets.join(low, "label").select("key", "component_id", "n_links")
-    out = rows.join(sets, "key", "left")
+    out = rows.join(sets.join(low, "label").select("key", "component_id"), "key", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "uid", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    return out.select("doc_id", "uid", F.col("n").alias("n_shingles"), own.alias("component_id"))

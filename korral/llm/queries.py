@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korral.llm import language_id, quality, toxicity
+from korral.llm import html_extract, language_id, quality, toxicity
 from korral.llm.decontaminate import decontaminate
 from korral.llm.exact_dedup import exact_dedup
 from korral.llm.learning import held_out
@@ -36,6 +36,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id", language_id.FOLDS, language_id.HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -45,7 +49,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1,
     "op3_quality_classifier": op3,
     "op4_language_id": op4,
+    "op5_html_extraction": op5,
     "op6_source_mixing": op6,
     "op7_license_scan": op7,
     "op8_ngram_jaccard_join": op8,
