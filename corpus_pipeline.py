@@ -1,16 +1,47 @@
-"""The corpus pipeline (stages are added as their operators land)."""
+"""The corpus pipeline: five stages, each over all that the one before kept.
+
+Between stages the documents are written as Parquet to the shared checkpoint
+folder and read again, so a stage's lineage is one scan and a lost executor
+costs no earlier stage.
+"""
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from korral.llm import stages
+
+#: (name, function) in order; a function takes (spark, docs, sf_dir) and returns a DataFrame.
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", stages.drop_toxic),
+    ("exact_dedup", stages.drop_copies),
+    ("ngram_jaccard_join", stages.drop_near_copies),
+    ("benchmark_decontamination", stages.drop_contaminated),
+    ("source_mixing", stages.mix_sources),
+]
+
+#: The toxicity stage is a trained model, which SQL can't express.
 ORACLE_SQL = None
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; one of our own where none is set."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return where or os.path.join(tempfile.gettempdir(), "korral-checkpoints")
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    out = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs.write.parquet(f"{out}/{i}-{name}")
+            docs = spark.read.parquet(f"{out}/{i}-{name}")
     return docs
