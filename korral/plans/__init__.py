@@ -1,0 +1,6 @@
+"""Registered queries over the test tables, and their DuckDB oracles."""
+
+from korral.plans import analysis
+
+QUERIES = dict(analysis.QUERIES)
+ORACLES = dict(analysis.ORACLES)
