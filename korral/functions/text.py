@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 TAIL_CHARS, BLOCK_CHARS = 4096, 40
 #: The extraction policies.
@@ -49,13 +50,13 @@ def unwrap(item: str, rounds: int = 4) -> str:
     return item
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ST.ArrayType(ST.StringType()))
 def iter_boxed(text: pd.Series) -> pd.Series:
     """All outermost boxes of each text."""
     return text.map(boxed_items)
 
 
-@F.pandas_udf("struct<strict:string,last:string>")
+@F.pandas_udf(ST.StructType([ST.StructField("strict", ST.StringType()), ST.StructField("last", ST.StringType())]))
 def _boxed(text: pd.Series) -> pd.DataFrame:
     items = text.map(lambda t: [unwrap(x) for x in boxed_items(t)])
     return pd.DataFrame({"strict": items.map(lambda x: (x[0] or None) if len(x) == 1 else None), "last": items.map(lambda x: (x[-1] or None) if x else None)})
@@ -123,7 +124,7 @@ def _nfkc(text: str | None) -> str | None:
     return None if text is None else unicodedata.normalize("NFKC", text.replace("\u2212", "-").replace("\u00a0", " ")).replace("\u2212", "-")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(ST.StringType())
 def _normal(text: pd.Series) -> pd.Series:
     return text.map(_nfkc)
 

@@ -1,6 +1,6 @@
 """Registered queries over the test tables, and their DuckDB oracles."""
 
-from korral.plans import analysis
+from korral.plans import analysis, workflow
 
-QUERIES = dict(analysis.QUERIES)
-ORACLES = dict(analysis.ORACLES)
+QUERIES = analysis.QUERIES | workflow.QUERIES
+ORACLES = analysis.ORACLES | workflow.ORACLES
