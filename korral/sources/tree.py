@@ -14,20 +14,19 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MARKER_SCHEMA = 3
-MARKERS = T.StructType.fromDDL(
+MARKERS = (
     "unit_id string, schema int, n_rows bigint, sha256 string, bytes bigint, problem_idxs array<int>, seed_lo bigint, seed_hi bigint, "
     "chunk_size int, engine_fingerprint string, git_sha string, wall_s double, started_at string, finished_at string"
 )
-SAMPLES = T.StructType.fromDDL(
+SAMPLES = (
     "sample_uid string, exp_id string, model_key string, model_revision string, dataset_key string, problem_idx bigint, problem_uid string, variant string, "
     "prompt_sha string, sampling_id string, sample_idx bigint, seed bigint, n_prompt_tokens bigint, max_tokens_effective bigint, text string, "
     "n_completion_tokens bigint, finish_reason string, stop_str string"
 )
-PROBLEMS = T.StructType.fromDDL("problem_idx bigint, problem_uid string, dataset_key string, question string, answer string, release_date date, answer_type string")
-PLAN = T.StructType.fromDDL(
+PROBLEMS = ("problem_idx bigint, problem_uid string, dataset_key string, question string, answer string, release_date date, answer_type string")
+PLAN = (
     "unit_id string, exp_id string, model_key string, dataset_key string, variant string, sampling_id string, pshard bigint, chunk_idx bigint, "
     "problem_idxs array<bigint>, sample_lo bigint, sample_hi bigint, n_total bigint, chunk_size bigint"
 )
@@ -188,7 +187,7 @@ def read_problems(spark: SparkSession, path: str) -> DataFrame:
 
 def write_problems(df: DataFrame, path: str) -> None:
     """A manifest in order, as one JSONL file (a manifest's worth of rows)."""
-    df.select(*PROBLEMS.fieldNames()).coalesce(1).sortWithinPartitions("dataset_key", "problem_idx").write.mode("errorifexists").json(path)
+    df.select(*(f.split()[0] for f in PROBLEMS.split(", "))).coalesce(1).sortWithinPartitions("dataset_key", "problem_idx").write.mode("errorifexists").json(path)
 
 
 def load_problems(df: DataFrame, dataset_key: str, order: str, question: tuple[str, ...] = ("problem", "question", "prompt"), answer: tuple[str, ...] = ("answer", "final_answer", "solution"), release_date: str | None = None, answer_type: str = "integer") -> DataFrame:
