@@ -13,14 +13,14 @@ large it is.  The product is never formed over all of it:
    reach ``t`` have one of these in common.
 3. In a column, every row first meets the column's most central row alone, its
    pivot (a star), so a group of g near copies makes g products, not g * g.
-   The links found are closed into components; the rows of a column that are
-   not together with its pivot get one more star among themselves.
-4. Two rows x, y of different components that still meet in a column have its
-   pivot P in common, and |x & y| <= min(|x & P|, |y & P|) + |common outside P|.
-   So they need columns in common outside P, and only prefixes of what rows
-   have outside P are multiplied; or their overlaps with P do, which is only
-   possible for a row that isn't linked to P and a partner smaller than P.
-   The overlaps with the pivots, the sizes and ``shared`` bound every pair.
+   The links found are closed into components.
+4. Two rows x, y that meet in a column have its pivot P in common, and
+   |x & y| <= min(|x & P|, |y & P|) + |common outside P|.  If they aren't in one
+   component yet, then one of them isn't linked to P, and either they have columns
+   in common outside P, where only prefixes of what each has outside P are
+   multiplied (once more as a star first, then pair by pair); or their overlaps
+   with P suffice, which takes a partner smaller than P.  The overlaps with the
+   pivots, the sizes and ``shared`` bound every pair before it is made.
 5. What is left is verified with the exact overlap of the whole sets.
 
 Nothing is capped: a pair is left out only if its rows are in one component
@@ -52,8 +52,6 @@ SHINGLE, PERCENT = 5, 75
 #: Entries of the incidence in a block, and of a map task's buffer.
 BLOCK_ENTRIES, BUFFER = 4_000_000, 2_000_000
 MAX_BITS = 27
-#: Further star rounds among the rows of a column that the first one left apart.
-ROUNDS = 1
 
 
 def _sets(text: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[bytes]]]:
@@ -179,8 +177,8 @@ def _need(n: str, m: str, p: int) -> str:
     return f"ceil({p} * ({n} + {m}) / {100 + p}D)"
 
 
-def similar_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(a row per document with its set's key and size, links between different sets).
+def similar_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a row per document with its set's key and size, the ids of keys, links between the ids of different sets).
 
     The links are exact ones, and enough of them to connect every component; links between rows
     that are in one component already are not all listed.
@@ -194,75 +192,74 @@ def similar_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> t
     blocks = max(K.partitions(spark), -(-int(total) // BLOCK_ENTRIES))
     sizes = rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"))
     shared = K.cut(incidence(source, k, blocks))
-    # Rows that can reach the threshold with any other. Sizes differ by row: the join is on the short key alone.
-    held = K.cut(sizes.select("key", "n", _short("key").alias("short")).join(shared, "short").where(100 * F.col("shared") >= percent * F.col("n")).select("key", "short", "n", "shared"))
-    bits = spark.sparkContext.broadcast(K.bitmap(held, "short", K.bitmap_bits(held.count(), MAX_BITS)))
+    # Rows that can reach the threshold with any other. Where two keys share their front (practically never), ids are of the whole key.
+    held = sizes.select("key", "n", _short("key").alias("id")).join(shared, F.col("id") == F.col("short")).where(100 * F.col("shared") >= percent * F.col("n"))
+    held = K.cut(held.select("key", "short", "id", "n", "shared"))
+    facts = held.agg(F.count("*"), F.count_distinct("id")).first()
+    if facts[0] != facts[1]:
+        held = held.withColumn("id", F.xxhash64("key"))
+    bits = spark.sparkContext.broadcast(K.bitmap(held, "short", K.bitmap_bits(facts[0], MAX_BITS)))
     read = source.select("text").mapInArrow(lambda it: _read(it, k, bits), "key binary, short bigint, n bigint, cols array<bigint>")
     lead = F.expr(f"cast(n - ceil({percent} * n / 100D) + 1 as int)")
-    sets = K.cut(read.groupBy("key").agg(F.first("cols").alias("cols")).join(held.select("key", "n", "shared", lead.alias("lead")), "key"))
-    post = K.cut(sets.select("key", "n", "shared", F.posexplode(F.slice("cols", F.lit(1), F.col("lead"))).alias("pos", "col")))
-
-    # Stars: every row against the most central row of each column.
-    pivots = K.cut(_pivots(post))
-    met = pivots.join(post.select("col", "key", "n", "shared", "pos"), "col").where("key <> pivot")
-    near = K.cut(_overlaps(met.groupBy("key", "pivot").agg(F.count("*").alias("partial")), sets))
-    links = near.where(f"100 * overlap >= {percent} * (n + m - overlap)").select("key", F.col("pivot").alias("key2"), "overlap")
-    for _ in range(ROUNDS):
-        # Once more among the rows of each column that are not yet together with its central row.
-        label = _labelled(post, links)
-        apart = label.join(pivots.select("col", F.col("pivot").alias("p")), "col").join(label.select("col", F.col("key").alias("p"), F.col("label").alias("own")), ["col", "p"]).where("label <> own")
-        again = apart.select("col", "key", "n", "shared", "pos", "label")
-        again = K.cut(again)
-        more = again.join(_pivots(again), "col").where("key <> pivot").where(_bound(percent, "pn", "ps", "pp"))
-        found = _overlaps(more.groupBy("key", "pivot").agg(F.count("*").alias("partial")), sets)
-        found = found.where(f"100 * overlap >= {percent} * (n + m - overlap)").select("key", F.col("pivot").alias("key2"), "overlap")
-        links = K.cut(links.unionByName(found).distinct())
-
-    # Everything else: pairs of rows of different components that meet in a column whose rows are not all together.
-    label = _labelled(post, links)
-    mixed = K.cut(label.groupBy("col").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("col"))
-    left = K.cut(label.join(mixed, "col", "left_semi").join(pivots.select("col", "pivot"), "col"))
-    seats = left.select("key", "pivot", "n", "shared", "label").distinct().join(near.select("key", "pivot", "overlap", F.col("m").alias("size"), "extra"), ["key", "pivot"])
-    seats = K.cut(seats)
-    # (a) They need columns in common beyond those of the pivot: a prefix of what each has outside it.
-    out = seats.select("key", "pivot", "n", "shared", "label", "overlap", F.explode("extra").alias("col"))
-    # (b) What both share with the pivot may do: only rows that aren't linked to it, and smaller partners.
+    sets = read.groupBy("key").agg(F.first("cols").alias("cols")).join(held.select("key", "id", "n", "shared", lead.alias("lead")), "key")
+    sets = K.cut(sets.drop("key"))
+
+    # Stars: every row against the most central row, the pivot, of each of its leading columns.
+    post = sets.select("id", "n", "shared", F.explode(F.slice("cols", F.lit(1), F.col("lead"))).alias("col"))
+    met = post.select("col", "id").join(_pivots(post, "col"), "col").where("id <> pivot").select("id", "pivot").distinct()
+    near = K.cut(_overlaps(met, sets, percent))
+    links = near.where(_linked(percent)).select("id", F.col("pivot").alias("id2"))
+    label = _labels(links)
+
+    # The rows of a pivot that aren't all together: what they have in common outside of the pivot decides.
+    def apart(label: DataFrame) -> DataFrame:
+        seats = near.join(label.select("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        seats = seats.join(label.select(F.col("id").alias("pivot"), F.col("label").alias("own")), "pivot", "left").withColumn("own", F.coalesce("own", "pivot"))
+        mixed = seats.groupBy("pivot").agg(F.max(F.col("label") != F.col("own")).alias("mixed")).where("mixed").select("pivot")
+        return K.cut(seats.join(mixed, "pivot"))
+
+    seats = apart(label)
+    # One more star, among the rows of a pivot that have a column outside it in common.
+    out = seats.where("label <> own").select("pivot", "id", "n", "shared", F.explode("extra").alias("col"))
+    again = out.select("pivot", "col", "id").join(_pivots(out, "pivot", "col", name="centre"), ["pivot", "col"]).where("id <> centre")
+    more = _overlaps(again.select("id", F.col("centre").alias("pivot")).distinct(), sets, percent).where(_linked(percent)).select("id", F.col("pivot").alias("id2"))
+    links = K.cut(links.union(more))
+    seats = apart(_labels(links))
+
+    # What is left, (a): pairs with columns in common outside the pivot, one of them not together with it.
+    side = seats.select("pivot", "id", "n", "shared", "label", "overlap", (F.col("label") != F.col("own")).alias("off"), F.explode("extra").alias("col"))
+    pairs = _meet(side.where("off").drop("off"), side.drop("off"), percent, ("pivot", "col"), f"least(overlap, overlap2) + least(n - overlap, n2 - overlap2) >= {_need('n', 'n2', percent)}")
+    # (b): pairs whose overlaps with the pivot suffice; then one isn't linked to it, and the other is smaller than it.
     least = seats.groupBy("pivot").agg(F.min("n").alias("least"))
-    close = seats.join(least, "pivot").where(f"overlap >= {_need('n', 'greatest(least, n * ' + str(percent / 100) + ')', percent)}").select("key", "pivot", "n", "shared", "label", "overlap", "size")
-    close = left.select("key", "pivot", "col").join(close, ["key", "pivot"])
-    free = close.where(f"100 * overlap < {percent} * (n + size - overlap)").drop("size")
-    small = close.where("n < size").drop("size")
-    pairs = _meet(out, out, percent).union(_meet(free, small, percent, inside=True)).distinct()
-    rest = _overlaps(pairs.select("key", F.col("key2").alias("pivot"), F.lit(0).alias("partial")), sets)
-    rest = rest.where(f"100 * overlap >= {percent} * (n + m - overlap)").select("key", F.col("pivot").alias("key2"), "overlap")
-    return rows, links.unionByName(rest)
+    close = seats.join(least, "pivot").where(f"overlap >= {_need('n', f'greatest(least, ceil(n * {percent} / 100D))', percent)}")
+    free = close.where(f"not ({_linked(percent)})")
+    small = close.where("n < m").join(free.select("pivot").distinct(), "pivot", "left_semi")
+    front = sets.select("id", F.slice("cols", F.lit(1), F.col("lead")).alias("front"))
+    both = [x.select("pivot", "id", "n", "shared", "label", "overlap").join(front, "id").withColumn("col", F.explode("front")).drop("front") for x in (free, small)]
+    pairs = pairs.union(_meet(*both, percent, ("pivot", "col"), f"least(overlap, overlap2) >= {_need('n', 'n2', percent)}")).distinct()
+    rest = _overlaps(pairs, sets, percent).where(_linked(percent)).select("id", F.col("pivot").alias("id2"))
+    return rows, held.select("key", "id"), links.union(rest)
 
 
-def _bound(percent: int, m: str, shared: str, pos: str) -> str:
-    """A pair can reach the threshold: its sizes, its repeated columns, and what stands before and after a common column."""
-    need = _need("n", m, percent)
-    return f"least(n, {m}) * 100 >= {percent} * greatest(n, {m}) and least(shared, {shared}) >= {need} and least(pos, {pos}) + least(n - pos, {m} - {pos}) >= {need}"
+def _linked(percent: int) -> str:
+    return f"100 * overlap >= {percent} * (n + m - overlap)"
 
 
-def _pivots(post: DataFrame) -> DataFrame:
-    """The most central row of every column that has several."""
-    central = F.max(F.struct((F.col("shared") / F.col("n")).alias("rank"), "key", "n", "shared", "pos"))
-    stars = post.groupBy("col").agg(central.alias("c"), F.count("*").alias("rows")).where("rows > 1")
-    return stars.select("col", F.col("c.key").alias("pivot"), F.col("c.n").alias("pn"), F.col("c.shared").alias("ps"), F.col("c.pos").alias("pp"))
+def _pivots(post: DataFrame, *by: str, name: str = "pivot") -> DataFrame:
+    """The most central row of every column that has several: the one with the largest share of repeated columns."""
+    central = F.max(F.struct((F.col("shared") / F.col("n")).alias("rank"), "id"))
+    return post.groupBy(*by).agg(central.alias("c"), F.count("*").alias("rows")).where("rows > 1").select(*by, F.col("c.id").alias(name))
 
 
-def _labelled(post: DataFrame, links: DataFrame) -> DataFrame:
-    group = components(links.select(F.col("key").alias("a"), F.col("key2").alias("b"))).select(F.col("node").alias("key"), "label")
-    return K.cut(post.join(group, "key", "left").withColumn("label", F.coalesce("label", "key")))
+def _labels(links: DataFrame) -> DataFrame:
+    return components(links.select(F.col("id").alias("a"), F.col("id2").alias("b"))).select(F.col("node").alias("id"), "label")
 
 
-def _meet(a: DataFrame, b: DataFrame, percent: int, inside: bool = False) -> DataFrame:
-    """Pairs of rows of one pivot that share a column and pass the bounds by their overlaps with the pivot."""
-    b = b.select("pivot", "col", F.col("key").alias("key2"), F.col("n").alias("m"), F.col("shared").alias("shared2"), F.col("label").alias("label2"), F.col("overlap").alias("overlap2"))
-    need = _need("n", "m", percent)
-    pivot = f"least(overlap, overlap2) >= {need}" if inside else f"key < key2 and least(overlap, overlap2) + least(n - overlap, m - overlap2) >= {need}"
-    met = a.join(b, ["pivot", "col"]).where("label <> label2").where(f"least(n, m) * 100 >= {percent} * greatest(n, m) and least(shared, shared2) >= {need} and {pivot}")
-    return met.select(F.least("key", "key2").alias("key"), F.greatest("key", "key2").alias("key2")).distinct()
+def _meet(a: DataFrame, b: DataFrame, percent: int, by: tuple[str, ...], bound: str) -> DataFrame:
+    """Pairs (id, pivot) of rows of different components that share a column of one pivot and pass the bounds."""
+    b = b.select(*by, *(F.col(c).alias(f"{c}2") for c in ("id", "n", "shared", "label", "overlap")))
+    met = a.join(b, list(by)).where(f"label <> label2 and least(n, n2) * 100 >= {percent} * greatest(n, n2) and least(shared, shared2) >= {_need('n', 'n2', percent)} and {bound}")
+    return met.select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("pivot")).distinct()
 
 
 def _short(key: str):
@@ -270,26 +267,27 @@ def _short(key: str):
     return F.expr(f"cast(conv(concat({', '.join(f'hex(substring({key}, {i}, 1))' for i in range(8, 0, -1))}), 16, -10) as bigint)")
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The exact overlap of each pair's whole sets, and a prefix of the first one's columns outside the second.
+def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (id, pivot) with the exact overlap of their whole sets, and a prefix of the first one's columns outside the second.
 
-    The prefix has n - ceil(t * n) + 1 columns: two rows that need a column in common outside of a third
-    one have one among these (and all of them are kept where fewer are outside).
+    Two rows that need a column in common outside a third one have one among these: of o columns outside,
+    at least ceil(t * n) - overlap are needed, so the first o - max(1, ceil(t * n) - overlap) + 1 do.
     """
-    a = sets.select("key", "n", "cols", "lead")
-    b = sets.select(F.col("key").alias("pivot"), F.col("n").alias("m"), F.col("cols").alias("cols2"))
-    both = pairs.join(a, "key").join(b, "pivot")
-    both = both.withColumn("outside", F.array_except("cols", "cols2"))
-    return both.select("key", "pivot", "n", "m", (F.col("n") - F.size("outside")).alias("overlap"), F.slice("outside", F.lit(1), F.col("lead")).alias("extra"))
+    a = sets.select("id", "n", "shared", "cols")
+    b = sets.select(F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("cols").alias("cols2"))
+    both = pairs.select("id", "pivot").join(b, "pivot").join(a, "id").withColumn("outside", F.array_except("cols", "cols2"))
+    both = both.select("id", "pivot", "n", "m", "shared", (F.col("n") - F.size("outside")).alias("overlap"), "outside")
+    take = F.expr(f"cast(size(outside) - greatest(1, ceil({percent} * n / 100D) - overlap) + 1 as int)")
+    return both.select("id", "pivot", "n", "m", "shared", "overlap", F.slice("outside", F.lit(1), F.greatest(F.lit(0), take)).alias("extra"))
 
 
 def ngram_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """A row per document: doc_id, uid, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    rows, links = similar_sets(docs, k, percent)
-    group = components(links.select(F.col("key").alias("a"), F.col("key2").alias("b"))).select(F.col("node").alias("key"), "label")
-    sets = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("low")).join(group, "key", "left")
-    sets = K.cut(sets.select("key", F.coalesce("label", "key").alias("label"), "low"))
-    low = sets.groupBy("label").agg(F.min("low").alias("component_id"))
-    out = rows.join(sets.join(low, "label").select("key", "component_id"), "key", "left")
+    rows, ids, links = similar_sets(docs, k, percent)
+    group = K.cut(_labels(links).join(ids, "id").select("key", "label"))
+    sets = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("low"))
+    low = group.join(sets, "key").groupBy("label").agg(F.min("low").alias("component_id"))
+    found = sets.join(group.join(low, "label").select("key", "component_id"), "key", "left").select("key", F.coalesce("component_id", "low").alias("component_id"))
+    out = rows.join(found, "key", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "uid", F.col("n").alias("n_shingles"), own.alias("component_id"))

@@ -1,5 +1,7 @@
 """DuckDB SQL for the contract queries that SQL can express."""
 
+from korral.llm.license_scan import BASE, TEMPLATES
+
 OP1 = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
@@ -52,3 +54,53 @@ FROM b
 """
 
 ORACLES = {"op1_exact_dedup": OP1, "op6_source_mixing": OP6}
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP7 = rf"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, {_WORDS} AS w FROM documents),
+t AS (SELECT *, string_split(notice, ' ') AS nw, string_split(phrase, ' ') AS kw FROM (VALUES {', '.join(f"({i}, '{a}', '{b}', '{c}', {str(i < BASE).lower()})" for i, (a, b, c) in enumerate(TEMPLATES))}) AS t(i, notice, phrase, label, base)),
+v AS (SELECT DISTINCT unnest(nw) AS word FROM t),
+x AS (SELECT DISTINCT uid, lower(word) AS word FROM (SELECT uid, unnest(w) AS word FROM d)),
+f AS (SELECT v.word, ln(((SELECT count(*) FROM d) + 1) / (count(uid) + 1)::DOUBLE) + 1 AS idf FROM v LEFT JOIN x USING (word) GROUP BY v.word),
+z AS (SELECT i, j, nw[j] AS word, idf / sum(idf) OVER (PARTITION BY i) AS weight FROM t, LATERAL (SELECT unnest(range(1, len(nw) + 1)) AS j), f WHERE f.word = nw[j]),
+l AS (SELECT i, min(s) AS lead FROM t, LATERAL (SELECT unnest(range(0, len(nw))) AS s) WHERE list_slice(nw, s + 1, s + len(kw)) = kw GROUP BY i),
+q AS (SELECT uid, unnest(range(1, len(w) + 1)) AS at, unnest(w) AS word FROM d),
+p AS (SELECT q.uid, q.at - 1 AS start, t.i, t.label, t.base, l.lead FROM q JOIN t ON q.word = t.kw[1] JOIN l USING (i) JOIN d USING (uid) WHERE list_slice(d.w, q.at, q.at + len(t.kw) - 1) = t.kw),
+s AS (SELECT p.uid, p.i, p.start, sum(CASE WHEN p.start - p.lead + z.j >= 1 AND d.w[p.start - p.lead + z.j] = z.word THEN z.weight ELSE 0 END) AS score FROM p JOIN z USING (i) JOIN d USING (uid) GROUP BY ALL),
+a AS (
+  SELECT p.uid, count(*) FILTER (base) AS n_base, min(p.start) FILTER (base) AS first_word, max(p.start) FILTER (base) AS last_word,
+         coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ','), '') AS base_labels,
+         array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(score) AS score
+  FROM p JOIN s ON s.uid = p.uid AND s.i = p.i AND s.start = p.start GROUP BY p.uid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       round(least(1.0, coalesce(score, 0)), 9) AS score
+FROM d LEFT JOIN a USING (uid)
+"""
+
+OP8 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT uid, array_to_string(list_slice(w, i, i + 4), ' ') AS gram FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i)),
+n AS (SELECT uid, count(*) AS n FROM g GROUP BY uid),
+o AS (SELECT a.uid AS a, b.uid AS b, count(*) AS i FROM g a JOIN g b ON a.gram = b.gram AND a.uid <> b.uid GROUP BY ALL),
+e AS (SELECT a, b FROM o JOIN n x ON x.uid = a JOIN n y ON y.uid = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+r AS (SELECT uid AS a, uid AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(t.doc_id) AS component_id
+FROM d LEFT JOIN n USING (uid) JOIN r ON r.a = d.uid JOIN d t ON t.uid = r.b GROUP BY d.uid, d.doc_id
+"""
+
+OP10 = rf"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, w, least(13, len(w)) AS m FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+k AS (SELECT DISTINCT item_id, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS win FROM b, LATERAL (SELECT unnest(range(1, len(w) - m + 2)) AS i)),
+x AS (SELECT uid, m, i, array_to_string(list_slice(w, i, i + m - 1), ' ') AS win FROM d, (SELECT DISTINCT m FROM k), LATERAL (SELECT unnest(range(1, len(w) - m + 2)) AS i)),
+h AS (SELECT uid, i, x.m, item_id FROM x JOIN k ON x.m = k.m AND x.win = k.win),
+c AS (SELECT uid, count(DISTINCT pos) AS n_hit FROM (SELECT uid, unnest(range(i, i + m)) AS pos FROM (SELECT DISTINCT uid, i, m FROM h)) GROUP BY uid),
+s AS (SELECT uid, count(*) AS n_items, array_to_string(list(item ORDER BY item), ',') AS items FROM (SELECT DISTINCT uid, item_id::VARCHAR AS item FROM h) GROUP BY uid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (uid) LEFT JOIN s USING (uid)
+"""
+
+ORACLES |= {"op7_license_scan": OP7, "op8_ngram_jaccard_join": OP8, "op10_decontamination": OP10}

@@ -45,7 +45,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents")).drop("places")
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("places").withColumn("score", F.round("score", 9))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
