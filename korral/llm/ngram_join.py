@@ -54,12 +54,24 @@ BLOCK_ENTRIES, BUFFER = 4_000_000, 2_000_000
 MAX_BITS = 27
 
 
+def whole(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Every text is one row of the matrix."""
+    return K.slices(text)
+
+
 def _sets(text: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[bytes]]]:
-    """(first row, end row, shingles sorted and distinct within each row, shingles of each row, 16-byte key of each row's set)."""
+    """(first row, end row, and the shingle sets of the rows between)."""
     for lo, hi, data, offs in K.slices(text):
+        yield lo, hi, *shingle_sets(data, offs, k)
+
+
+def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Of rows of bytes: shingles sorted and distinct within each row, how many each row has, and a 16-byte key of each row's set."""
+    rows = len(offs) - 1
+    if rows:
         s, e, row = K.word_spans(data, offs, K.NOT_SPACE)
         words = K.span_hash(data, s, e, K.LOWER)
-        count = np.bincount(row, minlength=hi - lo)
+        count = np.bincount(row, minlength=rows)
         own, grams = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         if len(words) >= k:
             at = np.flatnonzero(row[: len(words) - k + 1] == row[k - 1 :])
@@ -74,11 +86,12 @@ def _sets(text: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.nda
         new = np.ones(len(own), bool)
         new[1:] = (own[1:] != own[:-1]) | (grams[1:] != grams[:-1])
         own, grams = own[new], grams[new]
-        n = np.bincount(own, minlength=hi - lo)
+        n = np.bincount(own, minlength=rows)
         start = np.cumsum(n) - n
         a, b = K.row_hash(grams, start, n), K.row_hash(K.mix(grams ^ np.uint64(0x5851F42D4C957F2D)), start, n)
         raw = np.stack((a, b), 1).tobytes()
-        yield lo, hi, grams, n, [raw[i * 16 : i * 16 + 16] for i in range(hi - lo)]
+        return grams, n, [raw[i * 16 : i * 16 + 16] for i in range(rows)]
+    return np.zeros(0, np.uint64), np.zeros(0, np.int64), []
 
 
 def _keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -87,7 +100,7 @@ def _keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("uid").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "uid", "n", "key"])
 
 
-def _deal(batches: Iterator[pa.RecordBatch], k: int, blocks: int) -> Iterator[pa.RecordBatch]:
+def _deal(batches: Iterator[pa.RecordBatch], k: int, blocks: int, split=whole) -> Iterator[pa.RecordBatch]:
     """The incidence as (block, rows' short keys, rows' columns in the block, 32-bit columns), packed."""
     grams: list[np.ndarray] = []
     rows: list[np.ndarray] = []
@@ -107,7 +120,8 @@ def _deal(batches: Iterator[pa.RecordBatch], k: int, blocks: int) -> Iterator[pa
             yield pa.RecordBatch.from_pylist([dict(zip(("block", "rows", "counts", "cols"), x, strict=True)) for x in out[j : j + 256]], schema=pa.schema([("block", pa.int64()), ("rows", pa.binary()), ("counts", pa.binary()), ("cols", pa.binary())]))
 
     for b in batches:
-        for _, _, g, n, keys in _sets(b.column("text"), k):
+        for _, _, data, offs in split(b.column("text")):
+            g, n, keys = shingle_sets(data, offs, k)
             short = np.frombuffer(b"".join(keys), np.uint64)[::2]
             keep = np.zeros(len(n), bool)
             for i in np.flatnonzero(n):
@@ -155,16 +169,17 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table({"short": pa.array(names.view(np.int64)), "shared": pa.array(shared.astype(np.int64))})
 
 
-def incidence(docs: DataFrame, k: int, blocks: int) -> DataFrame:
+def incidence(docs: DataFrame, k: int, blocks: int, split=whole) -> DataFrame:
     """(short, shared) of every row that shares a column with another."""
-    dealt = docs.select("text").mapInArrow(lambda it: _deal(it, k, blocks), "block bigint, rows binary, counts binary, cols binary")
+    dealt = docs.select("text").mapInArrow(lambda it: _deal(it, k, blocks, split), "block bigint, rows binary, counts binary, cols binary")
     parts = dealt.groupBy("block").applyInArrow(lambda t: _shared(t, blocks), "dest bigint, rows binary, shared binary")
     return parts.groupBy("dest").applyInArrow(_summed, "short bigint, shared bigint")
 
 
-def _read(batches: Iterator[pa.RecordBatch], k: int, bits) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], k: int, bits, split=whole) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for lo, hi, g, n, keys in _sets(b.column("text"), k):
+        for _, _, data, offs in split(b.column("text")):
+            g, n, keys = shingle_sets(data, offs, k)
             short = np.frombuffer(b"".join(keys), np.uint64)[::2]
             keep = K.in_bitmap(bits.value, short) & (n > 0)
             at = np.flatnonzero(keep)
@@ -188,21 +203,7 @@ def similar_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> t
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = K.cut(source.mapInArrow(lambda it: _keys(it, k), f"doc_id {kind}, uid bigint, n bigint, key binary"))
 
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    blocks = max(K.partitions(spark), -(-int(total) // BLOCK_ENTRIES))
-    sizes = rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"))
-    shared = K.cut(incidence(source, k, blocks))
-    # Rows that can reach the threshold with any other. Where two keys share their front (practically never), ids are of the whole key.
-    held = sizes.select("key", "n", _short("key").alias("id")).join(shared, F.col("id") == F.col("short")).where(100 * F.col("shared") >= percent * F.col("n"))
-    held = K.cut(held.select("key", "short", "id", "n", "shared"))
-    facts = held.agg(F.count("*"), F.count_distinct("id")).first()
-    if facts[0] != facts[1]:
-        held = held.withColumn("id", F.xxhash64("key"))
-    bits = spark.sparkContext.broadcast(K.bitmap(held, "short", K.bitmap_bits(facts[0], MAX_BITS)))
-    read = source.select("text").mapInArrow(lambda it: _read(it, k, bits), "key binary, short bigint, n bigint, cols array<bigint>")
-    lead = F.expr(f"cast(n - ceil({percent} * n / 100D) + 1 as int)")
-    sets = read.groupBy("key").agg(F.first("cols").alias("cols")).join(held.select("key", "id", "n", "shared", lead.alias("lead")), "key")
-    sets = K.cut(sets.drop("key"))
+    held, sets = repeated_sets(source, rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.count("*").alias("copies")), k, percent)
 
     # Stars: every row against the most central row, the pivot, of each of its leading columns.
     post = sets.select("id", "n", "shared", F.explode(F.slice("cols", F.lit(1), F.col("lead"))).alias("col"))
@@ -241,6 +242,29 @@ def similar_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> t
     return rows, held.select("key", "id"), links.union(rest)
 
 
+def repeated_sets(source: DataFrame, sizes: DataFrame, k: int, percent: int, split=whole) -> tuple[DataFrame, DataFrame]:
+    """The rows that can reach the threshold with any other: (key, short, id, n, shared), and (id, n, shared, lead, cols).
+
+    ``sizes`` has the key and n of every different set; ``split`` cuts a text column into rows.
+    """
+    spark = source.sparkSession
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = max(K.partitions(spark), -(-int(total) // BLOCK_ENTRIES))
+    shared = K.cut(incidence(source, k, blocks, split))
+    # Rows that can reach the threshold with any other. Where two keys share their front (practically never), ids are of the whole key.
+    held = sizes.select("key", "n", _short("key").alias("id")).join(shared, F.col("id") == F.col("short")).where(100 * F.col("shared") >= percent * F.col("n"))
+    held = K.cut(held.select("key", "short", "id", "n", "shared"))
+    facts = held.agg(F.count("*"), F.count_distinct("id")).first()
+    if facts[0] != facts[1]:
+        held = held.withColumn("id", F.xxhash64("key"))
+    bits = spark.sparkContext.broadcast(K.bitmap(held, "short", K.bitmap_bits(facts[0], MAX_BITS)))
+    read = source.select("text").mapInArrow(lambda it: _read(it, k, bits, split), "key binary, short bigint, n bigint, cols array<bigint>")
+    lead = F.expr(f"cast(n - ceil({percent} * n / 100D) + 1 as int)")
+    sets = read.groupBy("key").agg(F.first("cols").alias("cols")).join(held.select("key", "id", "n", "shared", lead.alias("lead")), "key")
+    sets = K.cut(sets.drop("key"))
+    return held, sets
+
+
 def _linked(percent: int) -> str:
     return f"100 * overlap >= {percent} * (n + m - overlap)"
 

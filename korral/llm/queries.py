@@ -12,6 +12,7 @@ from korral.llm.decontaminate import decontaminate
 from korral.llm.exact_dedup import exact_dedup
 from korral.llm.learning import held_out
 from korral.llm.license_scan import scan_licenses
+from korral.llm.line_dedup import line_dedup
 from korral.llm.mixing import mix
 from korral.llm.ngram_join import ngram_join
 
@@ -24,6 +25,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -65,6 +71,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1,
+    "op2_line_dedup": op2,
     "op3_quality_classifier": op3,
     "op4_language_id": op4,
     "op5_html_extraction": op5,
