@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from korral.llm import _kernel as K
 from korral.llm import toxicity
 from korral.llm.decontaminate import decontaminate
 from korral.llm.exact_dedup import exact_dedup
@@ -17,10 +18,17 @@ from korral.llm.mixing import mix
 from korral.llm.ngram_join import ngram_join
 
 
+#: A list of rows that go is broadcast up to this length (16 bytes a row); a longer one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows whose uid is not in ``gone``: the short list of what goes is joined, not of what stays."""
+    gone = K.cut(gone.select("uid"))
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)  # so the texts needn't move
     row = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("uid"))
-    return row.join(gone.select("uid"), "uid", "left_anti").select("row.*")
+    return row.join(gone, "uid", "left_anti").select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
