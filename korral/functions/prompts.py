@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from korral.functions.ids import content_sha
 
+#: Fixed value: the instruction that follows a question in chat.
 CHAT_SUFFIX = "\n\nPlease reason step by step, and put your final answer within \\boxed{}."
 #: Templates by variant; ``{question}`` and ``{exemplars}`` are filled in. Native chat goes to the model's own template.
 TEMPLATES = {
