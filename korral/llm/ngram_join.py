@@ -49,8 +49,8 @@ from korral.llm import _kernel as K
 from korral.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
-#: Entries of the incidence in a block, and of a map task's buffer.
-BLOCK_ENTRIES, BUFFER = 4_000_000, 2_000_000
+#: Entries of the incidence in a block, the least number of blocks, and entries in a map task's buffer.
+BLOCK_ENTRIES, BLOCKS, BUFFER = 4_000_000, 12, 2_000_000
 MAX_BITS = 27
 
 
@@ -221,23 +221,24 @@ def similar_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> t
 
     seats = apart(label)
     # One more star, among the rows of a pivot that have a column outside it in common.
-    out = seats.where("label <> own").select("pivot", "id", "n", "shared", F.explode("extra").alias("col"))
-    again = out.select("pivot", "col", "id").join(_pivots(out, "pivot", "col", name="centre"), ["pivot", "col"]).where("id <> centre")
-    more = _overlaps(again.select("id", F.col("centre").alias("pivot")).distinct(), sets, percent).where(_linked(percent)).select("id", F.col("pivot").alias("id2"))
+    outside = ("pivot", "id", "n", "shared", "label", "overlap", "rest")
+    out = seats.where("label <> own").select(*outside, F.explode("extra").alias("col"))
+    centre = out.join(_pivots(out, "pivot", "col", name="id"), ["pivot", "col", "id"])
+    more = _overlaps(_meet(out, centre, percent), sets, percent).where(_linked(percent)).select("id", F.col("pivot").alias("id2"))
     links = K.cut(links.union(more))
     seats = apart(_labels(links))
 
     # What is left, (a): pairs with columns in common outside the pivot, one of them not together with it.
-    side = seats.select("pivot", "id", "n", "shared", "label", "overlap", (F.col("label") != F.col("own")).alias("off"), F.explode("extra").alias("col"))
-    pairs = _meet(side.where("off").drop("off"), side.drop("off"), percent, ("pivot", "col"), f"least(overlap, overlap2) + least(n - overlap, n2 - overlap2) >= {_need('n', 'n2', percent)}")
+    side = seats.select(*outside, (F.col("label") != F.col("own")).alias("off"), F.explode("extra").alias("col"))
+    pairs = _meet(side.where("off").drop("off"), side.drop("off"), percent)
     # (b): pairs whose overlaps with the pivot suffice; then one isn't linked to it, and the other is smaller than it.
     least = seats.groupBy("pivot").agg(F.min("n").alias("least"))
     close = seats.join(least, "pivot").where(f"overlap >= {_need('n', f'greatest(least, ceil(n * {percent} / 100D))', percent)}")
     free = close.where(f"not ({_linked(percent)})")
     small = close.where("n < m").join(free.select("pivot").distinct(), "pivot", "left_semi")
     front = sets.select("id", F.slice("cols", F.lit(1), F.col("lead")).alias("front"))
-    both = [x.select("pivot", "id", "n", "shared", "label", "overlap").join(front, "id").withColumn("col", F.explode("front")).drop("front") for x in (free, small)]
-    pairs = pairs.union(_meet(*both, percent, ("pivot", "col"), f"least(overlap, overlap2) >= {_need('n', 'n2', percent)}")).distinct()
+    both = [x.select(*outside).join(front, "id").withColumn("col", F.explode("front")).drop("front") for x in (free, small)]
+    pairs = pairs.union(_meet(*both, percent, inside=True)).distinct()
     rest = _overlaps(pairs, sets, percent).where(_linked(percent)).select("id", F.col("pivot").alias("id2"))
     return rows, held.select("key", "id"), links.union(rest)
 
@@ -249,7 +250,7 @@ def repeated_sets(source: DataFrame, sizes: DataFrame, k: int, percent: int, spl
     """
     spark = source.sparkSession
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    blocks = max(K.partitions(spark), -(-int(total) // BLOCK_ENTRIES))
+    blocks = max(BLOCKS, -(-int(total) // BLOCK_ENTRIES))
     shared = K.cut(incidence(source, k, blocks, split))
     # Rows that can reach the threshold with any other. Where two keys share their front (practically never), ids are of the whole key.
     held = sizes.select("key", "n", _short("key").alias("id")).join(shared, F.col("id") == F.col("short")).where(100 * F.col("shared") >= percent * F.col("n"))
@@ -261,7 +262,7 @@ def repeated_sets(source: DataFrame, sizes: DataFrame, k: int, percent: int, spl
     read = source.select("text").mapInArrow(lambda it: _read(it, k, bits, split), "key binary, short bigint, n bigint, cols array<bigint>")
     lead = F.expr(f"cast(n - ceil({percent} * n / 100D) + 1 as int)")
     sets = read.groupBy("key").agg(F.first("cols").alias("cols")).join(held.select("key", "id", "n", "shared", lead.alias("lead")), "key")
-    sets = K.cut(sets.drop("key"))
+    sets = K.cut(sets.drop("key").repartition(K.partitions(spark), "id"))  # later joins by id find the sets in place
     return held, sets
 
 
@@ -279,10 +280,19 @@ def _labels(links: DataFrame) -> DataFrame:
     return components(links.select(F.col("id").alias("a"), F.col("id2").alias("b"))).select(F.col("node").alias("id"), "label")
 
 
-def _meet(a: DataFrame, b: DataFrame, percent: int, by: tuple[str, ...], bound: str) -> DataFrame:
-    """Pairs (id, pivot) of rows of different components that share a column of one pivot and pass the bounds."""
-    b = b.select(*by, *(F.col(c).alias(f"{c}2") for c in ("id", "n", "shared", "label", "overlap")))
-    met = a.join(b, list(by)).where(f"label <> label2 and least(n, n2) * 100 >= {percent} * greatest(n, n2) and least(shared, shared2) >= {_need('n', 'n2', percent)} and {bound}")
+def _meet(a: DataFrame, b: DataFrame, percent: int, inside: bool = False) -> DataFrame:
+    """Pairs (id, pivot) of rows of different components that share a column of one pivot and may reach the threshold.
+
+    Outside the pivot the common columns of the prefixes are counted; what the prefixes leave out (``rest``)
+    may add at most the larger of the two rests.
+    """
+    by, need = ["pivot", "col"], _need("n", "n2", percent)
+    b = b.select(*by, *(F.col(c).alias(f"{c}2") for c in ("id", "n", "shared", "label", "overlap", "rest")))
+    bound = f"least(overlap, overlap2) >= {need}" if inside else f"least(overlap, overlap2) + least(n - overlap, n2 - overlap2) >= {need}"
+    met = a.join(b, by).where(f"label <> label2 and least(n, n2) * 100 >= {percent} * greatest(n, n2) and least(shared, shared2) >= {need} and {bound}")
+    if not inside:
+        common = F.least("overlap", "overlap2") + F.greatest("rest", "rest2")
+        met = met.select("pivot", "id", "id2", common.alias("most"), F.expr(need).alias("need")).groupBy("pivot", "id", "id2").agg(F.count("*").alias("seen"), F.first("most").alias("most"), F.first("need").alias("need")).where("most + seen >= need")
     return met.select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("pivot")).distinct()
 
 
@@ -302,7 +312,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.select("id", "pivot").join(b, "pivot").join(a, "id").withColumn("outside", F.array_except("cols", "cols2"))
     both = both.select("id", "pivot", "n", "m", "shared", (F.col("n") - F.size("outside")).alias("overlap"), "outside")
     take = F.expr(f"cast(size(outside) - greatest(1, ceil({percent} * n / 100D) - overlap) + 1 as int)")
-    return both.select("id", "pivot", "n", "m", "shared", "overlap", F.slice("outside", F.lit(1), F.greatest(F.lit(0), take)).alias("extra"))
+    return both.select("id", "pivot", "n", "m", "shared", "overlap", F.slice("outside", F.lit(1), F.greatest(F.lit(0), take)).alias("extra"), (F.size("outside") - F.greatest(F.lit(0), take)).cast("bigint").alias("rest"))
 
 
 def ngram_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
