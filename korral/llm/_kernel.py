@@ -8,6 +8,7 @@ slice of its own), which bounds a worker's memory whatever the batch holds.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240611)
@@ -88,20 +89,27 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_LONG = 1024
+
+
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
-    """64-bit hash of the bytes of each span; spans are sorted and disjoint."""
+    """64-bit hash of the bytes of each span: eight bytes of all spans at a time."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    value = BYTE_VALUE if fold is None else BYTE_VALUE[fold]
+    text = np.zeros(len(data) + 8, np.uint8)
+    text[: len(data)] = data if fold is None else fold[data]
+    window = np.ndarray((len(data) + 1,), np.dtype("<u8"), text, strides=(1,))  # the eight bytes from each byte on
     size = end - start
-    keep = np.zeros(len(data) + 1, np.int8)
-    keep[start] = 1
-    keep[end] -= 1
-    inside = np.flatnonzero(np.cumsum(keep[:-1], dtype=np.int8))
-    first = np.concatenate(([0], np.cumsum(size)[:-1]))
-    at = np.arange(len(inside)) - np.repeat(first, size)
-    total = np.add.reduceat(value[data[inside]] * _powers(int(size.max()))[at], first)
-    return mix(total + size.astype(np.uint64))
+    out = mix(mix(size.astype(np.uint64)) + (window[start] & _LOW_BYTES[np.minimum(size, 8)]))
+    long, at = np.flatnonzero(size > 8), 8
+    while len(long) and at < _LONG:
+        out[long] = mix(out[long] * _BASE + (window[start[long] + at] & _LOW_BYTES[np.minimum(size[long] - at, 8)]))
+        at += 8
+        long = long[size[long] > at]
+    for i in long:  # spans over a kilobyte
+        out[i] ^= np.frombuffer(hashlib.blake2b(text[start[i] : end[i]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+    return out
 
 
 def value_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, cuts: tuple[int, ...] = ()) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -135,18 +143,24 @@ def gram_hash(words: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def row_hash(words: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """An order-sensitive hash of each row's run of word hashes."""
-    out = np.zeros(len(first), np.uint64)
+def set_hash(values: np.ndarray, count: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of the set of values of each row (count[i] distinct ones in row i, in any order)."""
+    out = np.zeros(len(count), np.uint64)
     some = np.flatnonzero(count > 0)
     if len(some):
-        at = np.arange(int(count[some].sum())) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
-        idx = np.repeat(first[some], count[some]) + at
-        v = mix(words[idx] + at.astype(np.uint64) * _BASE)
-        out[some] = mix(np.add.reduceat(v, np.cumsum(count[some]) - count[some]) + count[some].astype(np.uint64))
+        start = np.cumsum(count) - count
+        out[some] = mix(np.add.reduceat(mix(values ^ _U(salt)), start[some]) + count[some].astype(np.uint64))
     return out
 
 
+def order_in_rows(row: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The order by row, then value."""
+    if len(row) and row.max() < 1 << 16:  # a radix sort of what the faster sort by value has left
+        first = np.argsort(values)
+        return first[np.argsort(row[first].astype(np.uint16), kind="stable")]
+    return np.lexsort((values, row))
+
+
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column with counts[i] values in row i."""
     offs = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)

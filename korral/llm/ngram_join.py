@@ -81,14 +81,13 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray
         if len(few):
             own = np.concatenate((own, few))
             grams = np.concatenate((grams, np.array([K.gram_hash(words[first[i] : first[i] + count[i]], int(count[i]))[0] for i in few], np.uint64)))
-        order = np.lexsort((grams, own))
+        order = K.order_in_rows(own, grams)
         own, grams = own[order], grams[order]
         new = np.ones(len(own), bool)
         new[1:] = (own[1:] != own[:-1]) | (grams[1:] != grams[:-1])
         own, grams = own[new], grams[new]
         n = np.bincount(own, minlength=rows)
-        start = np.cumsum(n) - n
-        a, b = K.row_hash(grams, start, n), K.row_hash(K.mix(grams ^ np.uint64(0x5851F42D4C957F2D)), start, n)
+        a, b = K.set_hash(grams, n, 0), K.set_hash(grams, n, 0x5851F42D4C957F2D)
         raw = np.stack((a, b), 1).tobytes()
         return grams, n, [raw[i * 16 : i * 16 + 16] for i in range(rows)]
     return np.zeros(0, np.uint64), np.zeros(0, np.int64), []
