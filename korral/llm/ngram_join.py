@@ -18,8 +18,7 @@ large it is.  The product is never formed over all of it:
    |x & y| <= min(|x & P|, |y & P|) + |common outside P|.  If they aren't in one
    component yet, then one of them isn't linked to P, and either they have columns
    in common outside P, where only prefixes of what each has outside P are
-   multiplied (once more as a star first, then pair by pair); or their overlaps
-   with P suffice, which takes a partner smaller than P.  The overlaps with the
+   multiplied; or their overlaps with P suffice, which takes a partner smaller than P.  The overlaps with the
    pivots, the sizes and ``shared`` bound every pair before it is made.
 5. What is left is verified with the exact overlap of the whole sets.
 
@@ -52,6 +51,8 @@ SHINGLE, PERCENT = 5, 75
 #: Entries of the incidence in a block, the least number of blocks, and entries in a map task's buffer.
 BLOCK_ENTRIES, BLOCKS, BUFFER = 4_000_000, 12, 2_000_000
 MAX_BITS = 27
+#: Pairs (16 bytes each) up to which their list is broadcast.
+BROADCAST_PAIRS = 1_000_000
 
 
 def whole(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -212,21 +213,11 @@ def similar_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> t
     label = _labels(links)
 
     # The rows of a pivot that aren't all together: what they have in common outside of the pivot decides.
-    def apart(label: DataFrame) -> DataFrame:
-        seats = near.join(label.select("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        seats = seats.join(label.select(F.col("id").alias("pivot"), F.col("label").alias("own")), "pivot", "left").withColumn("own", F.coalesce("own", "pivot"))
-        mixed = seats.groupBy("pivot").agg(F.max(F.col("label") != F.col("own")).alias("mixed")).where("mixed").select("pivot")
-        return K.cut(seats.join(mixed, "pivot"))
-
-    seats = apart(label)
-    # One more star, among the rows of a pivot that have a column outside it in common.
+    seats = near.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    seats = seats.join(label.select(F.col("id").alias("pivot"), F.col("label").alias("own")), "pivot", "left").withColumn("own", F.coalesce("own", "pivot"))
+    mixed = seats.groupBy("pivot").agg(F.max(F.col("label") != F.col("own")).alias("mixed")).where("mixed").select("pivot")
+    seats = K.cut(seats.join(mixed, "pivot"))
     outside = ("pivot", "id", "n", "shared", "label", "overlap", "rest")
-    out = seats.where("label <> own").select(*outside, F.explode("extra").alias("col"))
-    centre = out.join(_pivots(out, "pivot", "col", name="id"), ["pivot", "col", "id"])
-    more = _overlaps(_meet(out, centre, percent), sets, percent).where(_linked(percent)).select("id", F.col("pivot").alias("id2"))
-    links = K.cut(links.union(more))
-    seats = apart(_labels(links))
-
     # What is left, (a): pairs with columns in common outside the pivot, one of them not together with it.
     side = seats.select(*outside, (F.col("label") != F.col("own")).alias("off"), F.explode("extra").alias("col"))
     pairs = _meet(side.where("off").drop("off"), side.drop("off"), percent)
@@ -238,7 +229,7 @@ def similar_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> t
     front = sets.select("id", F.slice("cols", F.lit(1), F.col("lead")).alias("front"))
     both = [x.select(*outside).join(front, "id").withColumn("col", F.explode("front")).drop("front") for x in (free, small)]
     pairs = pairs.union(_meet(*both, percent, inside=True)).distinct()
-    rest = _overlaps(pairs, sets, percent).where(_linked(percent)).select("id", F.col("pivot").alias("id2"))
+    rest = _verified(K.cut(pairs), sets).where(_linked(percent)).select("id", F.col("pivot").alias("id2"))
     return rows, held.select("key", "id"), links.union(rest)
 
 
@@ -261,7 +252,7 @@ def repeated_sets(source: DataFrame, sizes: DataFrame, k: int, percent: int, spl
     read = source.select("text").mapInArrow(lambda it: _read(it, k, bits, split), "key binary, short bigint, n bigint, cols array<bigint>")
     lead = F.expr(f"cast(n - ceil({percent} * n / 100D) + 1 as int)")
     sets = read.groupBy("key").agg(F.first("cols").alias("cols")).join(held.select("key", "id", "n", "shared", lead.alias("lead")), "key")
-    sets = K.cut(sets.drop("key").repartition(K.partitions(spark), "id"))  # later joins by id find the sets in place
+    sets = K.cut(sets.drop("key"))
     return held, sets
 
 
@@ -314,6 +305,14 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("id", "pivot", "n", "m", "shared", "overlap", F.slice("outside", F.lit(1), F.greatest(F.lit(0), take)).alias("extra"), (F.size("outside") - F.greatest(F.lit(0), take)).cast("bigint").alias("rest"))
 
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Few pairs (id, pivot) with the overlap of their whole sets: a list within the bound is broadcast, so only the sets it names move."""
+    named = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
+    a = sets.join(named, "id").select("id", "pivot", "n", "cols")
+    b = sets.select(F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("cols").alias("cols2")).join(named, "pivot")
+    return a.join(b, ["id", "pivot"]).select("id", "pivot", "n", "m", F.size(F.array_intersect("cols", "cols2")).alias("overlap"))
+
+
 def ngram_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """A row per document: doc_id, uid, n_shingles, component_id (the smallest doc_id reachable by links)."""
     rows, ids, links = similar_sets(docs, k, percent)
