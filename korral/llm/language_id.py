@@ -170,8 +170,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, words: int = WORDS,
         lang = np.array([names.get(x, -1) for x in got.column("lang").to_pylist()], int)
         freq[i[lang >= 0], lang[lang >= 0]] = got.column("n").to_numpy()[lang >= 0]
         size = np.array([total.get((k, x), (0, 0))[0] for x in names], float)
-        kinds = len(keys) + 1
-        tables[k] = (keys, np.log((freq + 0.5) / (size + 0.5 * kinds)))
+        # One floor for all languages, so that one with little text doesn't gain by what it hasn't seen.
+        tables[k] = (keys, np.log(freq / np.maximum(size, 1) + 0.5 / max(size.max(initial=0), 1)))
     return Model([x for x, _ in langs], tables)
 
 
