@@ -216,7 +216,7 @@ def similar_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> t
     seats = near.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     seats = seats.join(label.select(F.col("id").alias("pivot"), F.col("label").alias("own")), "pivot", "left").withColumn("own", F.coalesce("own", "pivot"))
     mixed = seats.groupBy("pivot").agg(F.max(F.col("label") != F.col("own")).alias("mixed")).where("mixed").select("pivot")
-    seats = K.cut(seats.join(mixed, "pivot"))
+    seats = _repeated_outside(K.cut(seats.join(mixed, "pivot")))
     outside = ("pivot", "id", "n", "shared", "label", "overlap", "rest")
     # What is left, (a): pairs with columns in common outside the pivot, one of them not together with it.
     side = seats.select(*outside, (F.col("label") != F.col("own")).alias("off"), F.explode("extra").alias("col"))
@@ -270,6 +270,30 @@ def _labels(links: DataFrame) -> DataFrame:
     return components(links.select(F.col("id").alias("a"), F.col("id2").alias("b"))).select(F.col("node").alias("id"), "label")
 
 
+def _repeated_outside(seats: DataFrame) -> DataFrame:
+    """The seats with only those columns outside their pivot that another of its rows has, too: the others can't meet.
+
+    What repeats is found by counting eight bytes a column, and told to the seats by a bitmap of a fixed size at most.
+    """
+    spark = seats.sparkSession
+    keys = seats.select(F.explode(F.transform("extra", lambda c: c.bitwiseXOR(F.col("pivot")))).alias("key"))
+    many = K.cut(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
+    bits = spark.sparkContext.broadcast(K.bitmap(many, "key", K.bitmap_bits(many.count(), MAX_BITS)))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            extra = b.column("extra")
+            count = np.diff(extra.offsets.to_numpy())
+            cols = extra.flatten().to_numpy().view(np.uint64)
+            pivot = np.repeat(b.column("pivot").to_numpy().view(np.uint64), count)
+            ok = K.in_bitmap(bits.value, cols ^ pivot)
+            row = np.repeat(np.arange(len(count)), count)
+            left = K.lists(cols[ok].view(np.int64), np.bincount(row[ok], minlength=len(count)), pa.int64())
+            yield b.set_column(b.schema.get_field_index("extra"), "extra", left)
+
+    return seats.mapInArrow(keep, seats.schema)
+
+
 def _meet(a: DataFrame, b: DataFrame, percent: int, inside: bool = False) -> DataFrame:
     """Pairs (id, pivot) of rows of different components that share a column of one pivot and may reach the threshold.
 
