@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from korral.llm import _kernel as K
 from korral.llm import learning as L
 
-POSITIVES, NEGATIVES, FEATURES = 1500, 3000, 6000
+POSITIVES, NEGATIVES, FEATURES = 1200, 1500, 6000
 #: Least chi-square of a feature with the label.
 RANK = 25
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
@@ -93,10 +93,15 @@ def fit(y: np.ndarray, sizes: pa.ListArray, flat: pa.ListArray, total: dict[int,
     """The weights that minimise the log loss of the noisy-or over the sample."""
     count = np.diff(sizes.offsets.to_numpy())
     doc_of = np.repeat(np.arange(len(y)), count)
-    sentence = np.repeat(np.arange(len(doc_of)), sizes.flatten().to_numpy())
+    sentence = np.repeat(np.arange(len(doc_of), dtype=np.int32), sizes.flatten().to_numpy())
     keys, f = np.unique(flat.flatten().to_numpy().view(np.uint64), return_inverse=True)
+    f = f.astype(np.int32)
     # Features are ranked by the chi-square of being in a document of either kind.
-    pair = np.unique(f.astype(np.int64) * len(y) + doc_of[sentence])
+    pair = f.astype(np.int64)
+    pair *= len(y)
+    pair += doc_of[sentence]
+    pair.sort()
+    pair = pair[np.concatenate(([True], pair[1:] != pair[:-1]))]
     pos = np.bincount(pair // len(y), weights=y[pair % len(y)], minlength=len(keys))
     df = np.bincount(pair // len(y), minlength=len(keys))
     share, n = y.mean(), len(y)
