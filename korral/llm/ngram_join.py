@@ -32,7 +32,9 @@ more rows through to an exact join.
 Edge cases: a text with fewer words than ``k`` is one shingle, a null or
 wordless one has no set, ``n_shingles`` 0 and links with nothing.  Each input
 row gives one row, also where a doc_id repeats or is null; a component's id is
-its smallest non-null doc_id.  Other columns are not read.  Empty in, empty out.
+its smallest non-null doc_id, which may be null or another component's too, so
+``component`` (its smallest set key) tells components apart.  Other columns are
+not read.  Empty in, empty out.
 """
 
 from __future__ import annotations
@@ -338,12 +340,13 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def ngram_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """A row per document: doc_id, uid, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    """A row per document: doc_id, uid, n_shingles, component_id (the smallest doc_id reachable by links), component (its own key, null without words)."""
     rows, ids, links = similar_sets(docs, k, percent)
     group = K.cut(_labels(links).join(ids, "id").select("key", "label"))
     sets = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("low"))
-    low = group.join(sets, "key").groupBy("label").agg(F.min("low").alias("component_id"))
-    found = sets.join(group.join(low, "label").select("key", "component_id"), "key", "left").select("key", F.coalesce("component_id", "low").alias("component_id"))
+    low = group.join(sets, "key").groupBy("label").agg(F.min("low").alias("component_id"), F.min("key").alias("component"))
+    linked = group.join(low, "label").select("key", "component_id", "component")
+    found = sets.join(linked, "key", "left").select("key", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("component", "key").alias("component"))
     out = rows.join(found, "key", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "uid", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("doc_id", "uid", F.col("n").alias("n_shingles"), own.alias("component_id"), "component")

@@ -43,9 +43,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram join, the one with the smallest doc_id; documents without words stay."""
+    """One document of each component of the n-gram join, the one with the smallest doc_id (null last); documents without words stay."""
     found = ngram_join(docs)
-    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(True)), "uid")).alias("f"))
+    first = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("f"))
     kept = first.select(F.col("f.uid").alias("uid"))
     return _without(docs, found.where("n_shingles > 0").join(kept, "uid", "left_anti"))
 

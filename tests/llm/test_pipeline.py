@@ -33,6 +33,16 @@ def test_stages_take_effect(spark, tmp_path):
     assert all(0 < r.copies <= 2 and r.taken == r.copies * r["size"] for r in m)
 
 
+def test_near_copies_are_grouped_by_component(spark, tmp_path):
+    """Null ids, and one id on different texts, are components of their own."""
+    words = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abcde"}
+    rows = [(None, words["a"]), (None, words["b"]), (None, words["b"].upper()), (5, words["c"]), (5, words["d"]), (5, words["d"] + " more"), (7, words["e"] + " more"), (None, words["e"]), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    left = stages.drop_near_copies(spark, spark.read.parquet(f"{tmp_path}/d"), str(tmp_path)).collect()
+    assert sorted(str(r.text)[:1] for r in left if r.text is None or r.text[0] not in "Bb") == ["N", "a", "c", "d", "e"]
+    assert len(left) == 6 and [r.doc_id for r in left if str(r.text)[0] == "e"] == [7]
+
+
 def test_run(spark, tmp_path):
     make(spark, str(tmp_path))
     out = corpus_pipeline.run(spark, str(tmp_path))
