@@ -38,6 +38,7 @@ ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))",
 #: Elements whose content is not text of the page; those of RAW hold no tags.
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 SILENT = RAW | frozenset("head template noscript svg math object select datalist canvas audio video".split())
+FOREIGN = frozenset(("svg", "math"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img label".split())
 #: What an opening tag closes: itself or its kin, up to the elements that bound it.
@@ -150,16 +151,17 @@ def parse(page: str) -> list[Block]:
                     break
                 if stack[i].tag in bounds:
                     break
+        if tag in RAW:  # never open: what it holds is passed over. HTML ignores its slash, SVG and MathML don't
+            if not (m[3].rstrip().endswith("/") and any(o.tag in FOREIGN for o in stack)):
+                end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+                at = end.end() if end else len(page)
+            continue
         attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[3])} if "=" in m[3] else {}
         value = " ".join(attrs[k] for k in ("class", "id", "role") if k in attrs)
         silent = tag in SILENT or bool(stack and stack[-1].silent)
         if tag not in INLINE or value or tag == "a":
             if not m[3].rstrip().endswith("/") or tag in INLINE or tag in TAGS:
                 stack.append(_Open(tag, _hints(value) if value else (), "data-main" in attrs, silent))
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            stack.pop()
     flush()
     return blocks
 

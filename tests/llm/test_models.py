@@ -104,6 +104,15 @@ def test_page():
     assert H.main_text(PAGE, H.default_model()) == want
 
 
+def test_self_closed_raw_elements():
+    """A raw element opens nothing, so its slash closes nothing: at the start of a page, and inside an article."""
+    for raw in ('<script src="a.js"/></script>', '<iframe src="x"/></iframe>', "<script src=https://a.org/></script>", "<svg><title/></svg>"):
+        assert [b.text for b in H.parse(f"{raw}<p>One.</p>")] == ["One."]
+        inside = H.parse(f"<article><p>One.</p>{raw}<p>Two.</p></article>")
+        assert [b.text for b in inside] == ["One.", "Two."] and inside[0].features == inside[1].features and "tag=article" in inside[1].features
+    assert H.parse('<script src="a.js"/>') == []
+
+
 def test_crf_on_unseen_pages():
     pages = [p for p in H.labelled_pages(150, seed=1234) if p]
     model = H.default_model()
