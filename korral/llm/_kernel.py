@@ -16,7 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 19
@@ -203,5 +204,49 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _bare_source(docs: DataFrame) -> str | None:
+    """"files" or "checkpoint" if the rows are all those of one of these, with columns chosen or cast at most."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "SubqueryAlias"):
+        plan = plan.children().head()
+    kind = plan.getClass().getSimpleName()
+    if kind == "LogicalRelation" and "_metadata" not in docs.columns:
+        return "files"
+    return "checkpoint" if kind == "LogicalRDD" and plan.rdd().isCheckpointed() else None
+
+
+def _file_uid(docs: DataFrame) -> Column | None:
+    """The row's place in its file, under a hash of the file that is checked to differ between the files."""
+    place = F.col("_metadata.row_index")
+    try:
+        files = docs.select(F.col("_metadata.file_path").alias("file"), place.alias("row")).groupBy("file").agg(F.max("row").alias("last"))
+    except AnalysisException:  # not a format that numbers its rows
+        return None
+    bits = max(1, int(files.agg(F.coalesce(F.max("last"), F.lit(0))).first()[0]).bit_length())
+    salted = [(lambda file, salt=salt: F.shiftrightunsigned(F.xxhash64(file, F.lit(salt)), bits + 1)) for salt in range(4)]
+    n, *different = files.agg(F.count("*"), *(F.count_distinct(h(F.col("file"))) for h in salted)).first()
+    for h, d in zip(salted, different, strict=True):
+        if d == n:
+            return F.shiftleft(h(F.col("_metadata.file_path")), bits) + place
+    return None
+
+
+def fixed(docs: DataFrame) -> DataFrame:
+    """The documents in a form whose rows every scan numbers alike: as they are if they are Parquet files or a checkpoint, else checkpointed."""
+    source = _bare_source(docs)
+    return docs if source == "checkpoint" or source == "files" and _file_uid(docs) is not None else cut(docs)
+
+
+def uid(docs: DataFrame) -> Column:
+    """A bigint for each row of :func:`fixed` documents, the same in every scan.
+
+    Spark's own row numbers depend on how a scan is split, which follows the cores at hand: two scans of the
+    same files may differ when an executor is lost or joins. Of files, the file and the row's place in it are
+    taken (rows of one file in their order); a checkpoint's partitions are files of their own.
+    """
+    place = _file_uid(docs) if _bare_source(docs) == "files" else None
+    return F.monotonically_increasing_id() if place is None else place
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -114,7 +114,7 @@ def scan(docs: DataFrame, item_windows: DataFrame, window: int = WINDOW) -> Data
                 offsets = pa.array(np.concatenate(([0], np.cumsum(per))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("uid").slice(lo, hi - lo), pa.array(count, pa.int64()), pa.ListArray.from_arrays(offsets, hits)], ["doc_id", "uid", "n_words", "hits"])
 
-    source = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), F.col("text").cast("string").alias("text"))
+    source = docs.select("doc_id", K.uid(docs).alias("uid"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, uid bigint, n_words bigint, hits {_HITS}")
 
 

@@ -37,7 +37,7 @@ def chunk_pattern(least: int = LEAST, most: int = MOST) -> str:
 def recipes(docs: DataFrame, least: int = LEAST, most: int = MOST, handle_bits: int = 64) -> DataFrame:
     """A row per document: doc_id, uid, chars, text_sha256, and its chunks as handles and digests."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), F.char_length(text).cast("bigint").alias("chars"), F.regexp_replace(text, SPACE + "+", "").alias("norm"))
+    rows = docs.select("doc_id", K.uid(docs).alias("uid"), F.char_length(text).cast("bigint").alias("chars"), F.regexp_replace(text, SPACE + "+", "").alias("norm"))
     rows = rows.withColumn("chunks", F.regexp_extract_all("norm", F.lit(chunk_pattern(least, most)), F.lit(0)))
     handle = F.expr(f"transform(chunks, c -> shiftrightunsigned(xxhash64(c), {64 - handle_bits}))")
     return rows.select("doc_id", "uid", "chars", F.sha2("norm", 256).alias("text_sha256"), handle.alias("handles"), F.expr("transform(chunks, c -> unhex(sha2(c, 256)))").alias("digests"))

@@ -66,8 +66,9 @@ def _keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 
 
 def removed_lines(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(uid, line) of every line that goes; uid is the row's position as monotonically_increasing_id gives it."""
-    source = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), F.col("text").cast("string").alias("text"))
+    """(uid, line) of every line that goes; uid is the row's number in these documents, or in K.fixed ones made of them."""
+    docs = K.fixed(docs)
+    source = docs.select("doc_id", K.uid(docs).alias("uid"), F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = source.mapInArrow(lambda it: _keys(it, k), f"doc_id {kind}, uid bigint, line int, n int, key binary").where("n > 0")
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "line")
@@ -109,17 +110,18 @@ def _matched(met: DataFrame, cols: DataFrame, percent: int) -> DataFrame:
 
 def line_dedup(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """A row per document: doc_id, uid, n_lines, n_removed, removed (places of its lines that go, from 0)."""
+    docs = K.fixed(docs)
     gone = removed_lines(docs, k, percent).groupBy("uid").agg(F.sort_array(F.collect_list("line")).alias("removed"))
     text = F.col("text").cast("string")
     count = F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).otherwise(0)
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), count.cast("bigint").alias("n_lines"))
+    rows = docs.select("doc_id", K.uid(docs).alias("uid"), count.cast("bigint").alias("n_lines"))
     out = rows.join(gone, "uid", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     return out.select("doc_id", "uid", "n_lines", F.size("removed").cast("bigint").alias("n_removed"), "removed")
 
 
 def without_lines(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The documents with their removed lines taken out; other columns stay as they are."""
-    row = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("uid")).join(decided.where("n_removed > 0").select("uid", "removed"), "uid", "left")
+    """The documents with their removed lines taken out; other columns stay as they are. The documents are K.fixed ones, as decided upon."""
+    row = docs.select(F.struct("*").alias("row"), K.uid(docs).alias("uid")).join(decided.where("n_removed > 0").select("uid", "removed"), "uid", "left")
     kept = F.expr("array_join(filter(split(row.text, '\\n', -1), (x, i) -> not array_contains(removed, i)), '\\n')")
     text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(kept)
     return row.select(*(text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

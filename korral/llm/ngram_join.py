@@ -201,7 +201,7 @@ def similar_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> t
     that are in one component already are not all listed.
     """
     spark = docs.sparkSession
-    source = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), F.col("text").cast("string").alias("text"))
+    source = docs.select("doc_id", K.uid(docs).alias("uid"), F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = K.cut(source.mapInArrow(lambda it: _keys(it, k), f"doc_id {kind}, uid bigint, n bigint, key binary"))
 

@@ -1,8 +1,10 @@
 """Filtering and mixing stages of a corpus pipeline: (spark, docs, sf_dir) -> documents.
 
 Every stage decides with its operator over all rows it is given, and keeps the
-rows' own columns whatever their names.  Rows are told apart by their position
-in the (Parquet) input, so rows that repeat a doc_id are decided one by one.
+rows' own columns whatever their names.  Rows are told apart by their file and
+their place in it (see :func:`korral.llm._kernel.uid`), which no split of a scan
+changes, so rows that repeat a doc_id are decided one by one.  Documents that
+aren't Parquet files are checkpointed first.
 """
 
 from __future__ import annotations
@@ -27,23 +29,26 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     gone = K.cut(gone.select("uid"))
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)  # so the texts needn't move
-    row = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("uid"))
+    row = docs.select(F.struct("*").alias("row"), K.uid(docs).alias("uid"))
     return row.join(gone, "uid", "left_anti").select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold, by a model of the labels."""
+    docs = K.fixed(docs)
     scored = toxicity.score_toxicity(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return _without(docs, scored.where(F.col("score") >= toxicity.THRESHOLD))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    docs = K.fixed(docs)
     return _without(docs, exact_dedup(docs).where(~F.col("kept")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the n-gram join, the one with the smallest doc_id (null last); documents without words stay."""
+    docs = K.fixed(docs)
     found = ngram_join(docs)
     first = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("f"))
     kept = first.select(F.col("f.uid").alias("uid"))
@@ -52,6 +57,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
+    docs = K.fixed(docs)
     return _without(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
 
 

@@ -156,5 +156,5 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
                 found = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per))).astype(np.int32)), pa.StructArray.from_arrays([pa.array(p[bad], pa.float64()), pa.array(texts, pa.string())], fields=list(kind)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("uid").slice(lo, hi - lo), pa.array(-np.expm1(-log_clean), pa.float64()), pa.array(np.bincount(row, minlength=hi - lo), pa.int64()), found], ["doc_id", "uid", "score", "n_sentences", "offending"])
 
-    source = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), F.col("text").cast("string").alias("text"))
+    source = docs.select("doc_id", K.uid(docs).alias("uid"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, uid bigint, score double, n_sentences bigint, offending array<struct<score:double,text:string>>")

@@ -5,6 +5,7 @@ import sys
 
 import corpus_pipeline
 from korral.llm import stages
+from korral.llm.line_dedup import line_dedup
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -43,6 +44,30 @@ def test_near_copies_are_grouped_by_component(spark, tmp_path):
     assert len(left) == 6 and [r.doc_id for r in left if str(r.text)[0] == "e"] == [7]
 
 
+def test_other_splits_of_a_scan_drop_the_same_rows(spark, tmp_path):
+    """Between two scans of the same files the number of cores may change, and with it how files are dealt to tasks."""
+    make(spark, str(tmp_path)).repartition(5).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    # The same, of documents that Parquet doesn't number.
+    docs.where("doc_id > 0 or doc_id is null").write.json(f"{tmp_path}/j")
+    lines = lambda df: sorted((str(r.doc_id), r.n_lines, r.removed) for r in df.collect())
+    right = {"drop_copies": [2, 3, 4, 5, 6, None], "drop_near_copies": [1, 3, 5, 6, 7, None], "drop_contaminated": [1, 2, 2, 3, 4, 6, 7, None]}
+    try:
+        for source in (docs, spark.read.schema(docs.schema).json(f"{tmp_path}/j")):
+            for name, ids in right.items():
+                spark.conf.set("spark.sql.files.minPartitionNum", 1)
+                left = getattr(stages, name)(spark, source, str(tmp_path))
+                spark.conf.set("spark.sql.files.minPartitionNum", 64)
+                assert sorted(str(r.doc_id) for r in left.collect()) == sorted(map(str, ids)), name
+            same = lines(line_dedup(source))
+            spark.conf.set("spark.sql.files.minPartitionNum", 1)
+            out = line_dedup(source)
+            spark.conf.set("spark.sql.files.minPartitionNum", 64)
+            assert lines(out) == same
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
 def test_run(spark, tmp_path):
     make(spark, str(tmp_path))
     out = corpus_pipeline.run(spark, str(tmp_path))
