@@ -8,7 +8,8 @@ that carry a document's score are then known.
 
 The model is fitted on the driver to a bounded sample of labelled rows
 (``POSITIVES`` and ``NEGATIVES``, reweighted to the labels' own proportion) and
-has at most ``FEATURES`` weights; scoring is one map-only scan of whole texts.
+has at most ``FEATURES`` weights.  Features are ranked on the executors, and
+only the occurrences of those that get a weight reach the driver; scoring is one map-only scan of whole texts.
 
 Edge cases: a null or wordless text has no sentence and score 0.  Labels that
 repeat a doc_id count once (toxic if any says so); null labels are left out.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from korral.llm import _kernel as K
 from korral.llm import learning as L
 
-POSITIVES, NEGATIVES, FEATURES = 1200, 1500, 6000
+POSITIVES, NEGATIVES, FEATURES = 1500, 3000, 6000
 #: Least chi-square of a feature with the label.
 RANK = 25
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
@@ -74,6 +75,35 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("y").slice(lo, hi - lo), K.lists(sizes.astype(np.int32), per_doc, pa.int32()), K.lists(flat.view(np.int64), features, pa.int64())], ["y", "sizes", "features"])
 
 
+def _ranked(sample: DataFrame, features: int) -> np.ndarray:
+    """The features that :func:`fit` gives a weight, ranked on the executors: at most ``features`` values reach the driver."""
+    n, positive = sample.agg(F.count("*"), F.sum("y")).first()
+    each = sample.select("y", F.explode(F.array_distinct("features")).alias("key")).groupBy("key").agg(F.sum("y").alias("pos"), F.count("*").alias("df")).where("df >= 3")
+    share = positive / n
+    off = F.col("pos") - F.col("df") * F.lit(share)
+    rank = off * off / (F.col("df") * F.lit(share * (1 - share))) * (F.lit(float(n)) / F.greatest(F.lit(n) - F.col("df"), F.lit(1)))
+    # A rank on the bound is let through: fit decides on it. Ties go to the smaller unsigned key, as there.
+    best = each.withColumn("rank", rank).where(F.col("rank") > RANK * (1 - 1e-9)).orderBy(F.desc("rank"), F.col("key").bitwiseXOR(F.lit(-(1 << 63)))).limit(features)
+    return np.sort(np.array([r.key for r in best.select("key").collect()], np.int64))
+
+
+def _only(sample: DataFrame, keys: np.ndarray) -> DataFrame:
+    """The sample with all its sentences, but of the features only ``keys``."""
+    shared = sample.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, flat = b.column("sizes"), b.column("features")
+            per_doc, size = np.diff(sizes.offsets.to_numpy()), sizes.flatten().to_numpy()
+            f, count = flat.flatten().to_numpy(), np.diff(flat.offsets.to_numpy())
+            ok = np.isin(f, shared.value)
+            size = np.bincount(np.repeat(np.arange(len(size)), size)[ok], minlength=len(size))
+            count = np.bincount(np.repeat(np.arange(len(count)), count)[ok], minlength=len(count))
+            yield pa.RecordBatch.from_arrays([b.column("y"), K.lists(size.astype(np.int32), per_doc, pa.int32()), K.lists(f[ok], count, pa.int64())], ["y", "sizes", "features"])
+
+    return sample.mapInArrow(run, sample.schema)
+
+
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, features: int = FEATURES) -> Model:
     """Fit the sentence model to document labels outside the held-out fold."""
     known = labels.where("toxic is not null").where(~L.held_out("doc_id", FOLDS, HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
@@ -82,10 +112,12 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     if not total.get(0) or not total.get(1):
         return none
     ids = L.first_ids(known.where("y = 1"), positives).withColumn("y", F.lit(1)).unionByName(L.first_ids(known.where("y = 0"), negatives).withColumn("y", F.lit(0)))
-    got = L.with_texts(docs, ids).select("y", "text").mapInArrow(_sample, "y int, sizes array<int>, features array<bigint>").toArrow().combine_chunks()
-    y = got.column("y").to_numpy().astype(bool)
-    if y.all() or not y.any():
+    sample = K.cut(L.with_texts(docs, ids).select("y", "text").mapInArrow(_sample, "y int, sizes array<int>, features array<bigint>"))
+    kinds = sample.agg(F.min("y"), F.max("y")).first()
+    if kinds[0] == kinds[1]:  # no row, or of one kind only
         return none
+    got = _only(sample, _ranked(sample, features)).toArrow().combine_chunks()
+    y = got.column("y").to_numpy().astype(bool)
     return fit(y, got.column("sizes").combine_chunks(), got.column("features").combine_chunks(), total, features)
 
 

@@ -42,6 +42,21 @@ def test_toxicity_finds_the_sentence(spark):
     assert sum(r.score == 0 and r.n_sentences == 0 for r in got.values()) == 3
 
 
+def test_toxicity_ranks_on_the_executors_as_in_the_fit(spark, sf):
+    """The sample isn't cut, and what reaches the driver gives the model that all features give."""
+    assert (toxicity.POSITIVES, toxicity.NEGATIVES) == (1500, 3000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    known = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    rows = docs.join(known, "doc_id").select("y", "text").orderBy("doc_id").coalesce(1).mapInArrow(toxicity._sample, "y int, sizes array<int>, features array<bigint>")
+    for features in (6000, 40):
+        models = []
+        keys = toxicity._ranked(rows, features)
+        for got in (rows.toArrow().combine_chunks(), toxicity._only(rows, keys).toArrow().combine_chunks()):
+            y = got.column("y").to_numpy().astype(bool)
+            models.append(toxicity.fit(y, got.column("sizes").combine_chunks(), got.column("features").combine_chunks(), {0: int((~y).sum()), 1: int(y.sum())}, features))
+        assert 0 < len(keys) <= features and (models[0].keys == models[1].keys).all() and abs(models[0].weights - models[1].weights).max() < 1e-9
+
+
 def test_toxicity_without_labels(spark):
     df = frame(spark, ODD)
     for rows in ([], [(5, 1, 0)], [(5, 1, None)]):
