@@ -73,7 +73,7 @@ def removed_lines(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     rows = source.mapInArrow(lambda it: _keys(it, k), f"doc_id {kind}, uid bigint, line int, n int, key binary").where("n > 0")
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "line")
     records = K.cut(rows.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("copies"), F.first("n").cast("bigint").alias("n")))
-    held, sets = repeated_sets(source, records.select("key", "n"), k, percent, lines)
+    held, sets = repeated_sets(source, records.select("key", "n", "copies"), k, percent, lines)
 
     # Tokens by rarity. A token that no other record has can't match: it only takes up room in the prefix.
     each = sets.select("id", F.explode("cols").alias("col"))
@@ -103,7 +103,7 @@ def _matched(met: DataFrame, cols: DataFrame, percent: int) -> DataFrame:
     """Ids of the records that match an earlier one, of the pairs that meet in a token."""
     need = _need("n", "n2", percent)
     filters = f"first2 < first and least(n, n2) * 100 >= {percent} * greatest(n, n2) and least(shared, shared2) >= {need} and least(pos, pos2) + least(shared - pos, shared2 - pos2) >= {need}"
-    pairs = met.where(filters).select("id", "n", "id2", F.col("n2").alias("m")).distinct()
+    pairs = met.where(filters).select("id", "n", "id2", "n2").distinct()
     both = pairs.join(cols.withColumnRenamed("cols", "a"), "id").join(cols.select(F.col("id").alias("id2"), F.col("cols").alias("b")), "id2")
     return both.withColumn("overlap", F.size(F.array_intersect("a", "b"))).where(_linked(percent)).select("id").distinct()
 

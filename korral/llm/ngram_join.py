@@ -2,32 +2,33 @@
 
 The incidence matrix has a row for each distinct shingle set and a column for
 each shingle.  Copies share a row, so a group of copies is one row however
-large it is.  The product is never formed over all of it:
-
-1. ``incidence``: the columns are dealt to blocks.  Each block counts in how
-   many rows a column occurs and adds up, for every row, the columns it shares
-   with any other row (``shared``).  A row's overlap with any other is at most
-   its ``shared``, so a row with ``shared < t * n`` links with nothing and goes.
-2. The other rows' sets are read once more.  Of a row only the first
-   ``n - ceil(t * n) + 1`` columns in hash order are multiplied: two rows that
-   reach ``t`` have one of these in common.
-3. In a column, every row first meets the column's most central row alone, its
-   pivot (a star), so a group of g near copies makes g products, not g * g.
-   The links found are closed into components.
-4. Two rows x, y that meet in a column have its pivot P in common, and
-   |x & y| <= min(|x & P|, |y & P|) + |common outside P|.  If they aren't in one
-   component yet, then one of them isn't linked to P, and either they have columns
-   in common outside P, where only prefixes of what each has outside P are
-   multiplied; or their overlaps with P suffice, which takes a partner smaller than P.  The overlaps with the
-   pivots, the sizes and ``shared`` bound every pair before it is made.
-5. What is left is verified with the exact overlap of the whole sets.
+large it is.
+
+1. ``incidence``: the columns are dealt to blocks, and each block adds up, for
+   every row, the columns that it shares with any other row.  A row's overlap
+   with any other is at most that sum, so a row below ``t * n`` links with
+   nothing and goes.  Map tasks add up what repeats among their own rows, and send
+   a column that several have as one mark: a column in a third of all rows is an
+   entry per map buffer, not one per row.
+2. The other rows' sets are read once more, without the columns that no other of
+   them has, rarest column first (``by_rarity``).
+3. Products are made of rows that have a leading column in common: of a row with s
+   such columns the first ``s - ceil(t * n) + 1``, as any overlap that suffices
+   takes one of them.  In a column, every row is first multiplied with its most
+   central row alone, the pivot (a star), so a group of g near copies makes g
+   products, not g * g.  The links found are closed into components.
+4. Of rows in different components the product of the leading columns is added up
+   by pair, under bounds from sizes and places before a pair is made and from what
+   is counted and what is left after; the pairs above them are multiplied to the
+   end, in blocks, with the same bound in between (``product``).
 
 Nothing is capped: a pair is left out only if its rows are in one component
 already or if a bound excludes it.
 
-Shingles are 64-bit and rows 128-bit hashes.  Broadcast is only a bitmap of the
-rows that passed step 1, of a fixed size (at most 16 MB); a full bitmap lets
-more rows through to an exact join.
+Exact up to collisions of hashes: shingles are compared by 64 bits, sets by 128.
+Broadcast are only bitmaps (of the sets that have copies, and of the rows that
+passed step 1) of a fixed size, at most 16 MB each; a full bitmap lets more rows
+through and changes no result.
 
 Edge cases: a text with fewer words than ``k`` is one shingle, a null or
 wordless one has no set, ``n_shingles`` 0 and links with nothing.  Each input
@@ -43,18 +44,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korral.llm import _kernel as K
 from korral.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
-#: Entries of the incidence in a block, the least number of blocks, and entries in a map task's buffer.
-BLOCK_ENTRIES, BLOCKS, BUFFER = 4_000_000, 12, 2_000_000
+#: Entries of the incidence in a block (the least, and the most where there are more than MANY_BLOCKS) and the least number of blocks.
+BLOCK_ENTRIES, MANY_BLOCKS, BLOCKS = (1_000_000, 16_000_000), 8192, 12
+#: Entries at which a map task's buffer is sent, and half the rows that it can number.
+BUFFER, FLUSH_ROWS = 1_500_000, 1 << 15
 MAX_BITS = 27
-#: Pairs (16 bytes each) up to which their list is broadcast.
-BROADCAST_PAIRS = 1_000_000
+#: Columns of a pair's first block.
+FIRST_COLUMNS = 128
+_DEALT = pa.schema([("block", pa.int64()), ("flush", pa.int64()), *((c, pa.binary()) for c in ("rows", "n", "own", "cols", "idx", "keys", "marks"))])
 
 
 def whole(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -102,80 +107,138 @@ def _keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("uid").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "uid", "n", "key"])
 
 
-def _deal(batches: Iterator[pa.RecordBatch], k: int, blocks: int, split=whole) -> Iterator[pa.RecordBatch]:
-    """The incidence as (block, rows' short keys, rows' columns in the block, 32-bit columns), packed."""
+def _block(g: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(block, 32-bit column in the block) of 64-bit columns; both follow their order."""
+    low = ((g & np.uint64(0xFFFFFFFF)) * np.uint64(blocks)) >> np.uint64(32)
+    x = (g >> np.uint64(32)) * np.uint64(blocks) + low
+    return (x >> np.uint64(32)).astype(np.int64), (x & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _deal(batches: Iterator[pa.RecordBatch], k: int, blocks: int, copied, split=whole) -> Iterator[pa.RecordBatch]:
+    """The incidence by block, packed; what repeats within a flush is added up before it is sent.
+
+    A flush numbers its rows. It sends one row with the rows' short keys, sizes and own counts (under a negative block),
+    and for each block the columns that it holds once with their rows' numbers (those of rows that have copies come last,
+    with the rows' keys), and once each the columns that several of its rows have (``marks``).
+    """
+    part = TaskContext.get().partitionId()
     grams: list[np.ndarray] = []
-    rows: list[np.ndarray] = []
-    held, seen = 0, set()
+    sizes: list[np.ndarray] = []
+    shorts: list[np.ndarray] = []
+    held, rows, seen, number = 0, 0, set(), 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        g, r = np.concatenate(grams), np.concatenate(rows)
-        block = ((g >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
-        order = np.argsort(block, kind="stable")
-        g, r, block = g[order], r[order], block[order]
-        ids, at = np.unique(block, return_index=True)
-        out = []
-        for i, lo, hi in zip(ids, at, np.append(at[1:], len(block)), strict=True):
-            new = np.flatnonzero(np.concatenate(([True], r[lo + 1 : hi] != r[lo : hi - 1])))
-            out.append((int(i), r[lo:hi][new].tobytes(), np.diff(np.append(new, hi - lo)).astype(np.uint32).tobytes(), g[lo:hi].astype(np.uint32).tobytes()))
+        g, n, short = np.concatenate(grams), np.concatenate(sizes), np.concatenate(shorts)
+        row = np.repeat(np.arange(len(n), dtype=np.uint16), n)
+        order = np.argsort(g)
+        g, row = g[order], row[order]
+        again = np.zeros(len(g), bool)
+        again[1:] = g[1:] == g[:-1]
+        many = again.copy()
+        many[:-1] |= again[1:]
+        own = np.bincount(row[many], minlength=len(n)).astype(np.uint32)
+        at = part << 24 | number
+        out = [{"block": -1 - at % blocks, "flush": at, "rows": short.tobytes(), "n": n.astype(np.uint32).tobytes(), "own": own.tobytes()}]
+        block, marks = _block(g[many & ~again], blocks)
+        mark_at = np.searchsorted(block, np.arange(blocks + 1))
+        g, row = g[~many], row[~many]
+        twice = K.in_bitmap(copied.value, short)[row]
+        own_at, parts = [], []
+        for some in (~twice, twice):
+            block, cols = _block(g[some], blocks)
+            own_at.append(np.searchsorted(block, np.arange(blocks + 1)))
+            parts.append((cols, row[some]))
+        for i in range(blocks):
+            (a, b), (c, d) = (x[i : i + 2] for x in own_at)
+            if a < b or c < d or mark_at[i] < mark_at[i + 1]:
+                out.append({"block": i, "flush": at, "cols": parts[0][0][a:b].tobytes() + parts[1][0][c:d].tobytes(), "idx": parts[0][1][a:b].tobytes() + parts[1][1][c:d].tobytes(),
+                            "keys": short[parts[1][1][c:d]].tobytes(), "marks": marks[mark_at[i] : mark_at[i + 1]].tobytes()})
         for j in range(0, len(out), 256):
-            yield pa.RecordBatch.from_pylist([dict(zip(("block", "rows", "counts", "cols"), x, strict=True)) for x in out[j : j + 256]], schema=pa.schema([("block", pa.int64()), ("rows", pa.binary()), ("counts", pa.binary()), ("cols", pa.binary())]))
+            yield pa.RecordBatch.from_pylist(out[j : j + 256], schema=_DEALT)
 
     for b in batches:
         for _, _, data, offs in split(b.column("text")):
             g, n, keys = shingle_sets(data, offs, k)
-            short = np.frombuffer(b"".join(keys), np.uint64)[::2]
-            keep = np.zeros(len(n), bool)
-            for i in np.flatnonzero(n):
-                if keys[i] not in seen:
-                    seen.add(keys[i])
-                    keep[i] = True
-            grams.append(g[np.repeat(keep, n)])
-            rows.append(np.repeat(short[keep], n[keep]))
-            held += len(grams[-1])
-            if held >= BUFFER:
-                yield from flush()
-                grams, rows, held, seen = [], [], 0, set()
+            short, first = np.frombuffer(b"".join(keys), np.uint64)[::2], np.cumsum(n) - n
+            for lo in range(0, len(n), FLUSH_ROWS):
+                hi = min(lo + FLUSH_ROWS, len(n))
+                if held and (held >= BUFFER or rows + hi - lo > 2 * FLUSH_ROWS):
+                    yield from flush()
+                    grams, sizes, shorts, held, rows, seen, number = [], [], [], 0, 0, set(), number + 1
+                new = []
+                for i in range(lo, hi):
+                    if n[i] and keys[i] not in seen:
+                        seen.add(keys[i])
+                        new.append(i)
+                keep = np.zeros(len(n), bool)
+                keep[new] = True
+                end = first[hi - 1] + n[hi - 1]
+                grams.append(g[first[lo] : end][np.repeat(keep[lo:hi], n[lo:hi])])
+                sizes.append(n[new])
+                shorts.append(short[new])
+                held, rows = held + len(grams[-1]), rows + len(new)
     if held:
         yield from flush()
 
 
-def _shared(table: pa.Table, dests: int) -> pa.Table:
-    """Of one block: for every row, how many of its columns other rows have too."""
-    rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), np.uint64)
-    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
-    cols = np.frombuffer(b"".join(table.column("cols").to_pylist()), np.uint32)
-    names, number = np.unique(rows, return_inverse=True)
-    row = np.repeat(number.astype(np.uint32), counts)
-    # A column and a row in one 64-bit value: one sort, and repeated entries (copies in other map tasks) fall together.
-    entry = np.unique((cols.astype(np.uint64) << np.uint64(32)) | row)
-    col = entry >> np.uint64(32)
-    many = np.zeros(len(col), bool)
-    same = col[1:] == col[:-1]
-    many[1:] |= same
-    many[:-1] |= same
-    shared = np.bincount((entry[many] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(names))
-    # Packed by where the rows' sums are made, so what leaves a block are a few rows, not one per row of the matrix.
-    some = np.flatnonzero(shared)
-    dest = (K.mix(names[some]) % np.uint64(dests)).astype(np.int64)
-    order = np.argsort(dest, kind="stable")
-    ids, at = np.unique(dest[order], return_index=True)
-    parts = [some[x] for x in np.split(order, at[1:])] if len(ids) else []
-    return pa.table({"dest": pa.array(ids, pa.int64()), "rows": pa.array([names[x].tobytes() for x in parts], pa.binary()), "shared": pa.array([shared[x].astype(np.uint32).tobytes() for x in parts], pa.binary())})
-
-
-def _summed(table: pa.Table) -> pa.Table:
-    rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), np.uint64)
-    names, number = np.unique(rows, return_inverse=True)
-    shared = np.bincount(number, weights=np.frombuffer(b"".join(table.column("shared").to_pylist()), np.uint32), minlength=len(names))
-    return pa.table({"short": pa.array(names.view(np.int64)), "shared": pa.array(shared.astype(np.int64))})
-
-
-def incidence(docs: DataFrame, k: int, blocks: int, split=whole) -> DataFrame:
-    """(short, shared) of every row that shares a column with another."""
-    dealt = docs.select("text").mapInArrow(lambda it: _deal(it, k, blocks, split), "block bigint, rows binary, counts binary, cols binary")
-    parts = dealt.groupBy("block").applyInArrow(lambda t: _shared(t, blocks), "dest bigint, rows binary, shared binary")
-    return parts.groupBy("dest").applyInArrow(_summed, "short bigint, shared bigint")
+def _bytes(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x or b"", kind) for x in column.to_pylist()]
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """Of one block: for every row of every flush, how many of its columns a different row of another flush has, too."""
+    if table.column("block")[0].as_py() < 0:
+        return table.select(["flush", "rows", "n", "own"]).append_column("idx", pa.nulls(len(table), pa.binary())).append_column("credit", pa.nulls(len(table), pa.binary()))
+    cols, idx, keys, marks = _bytes(table.column("cols"), np.uint32), _bytes(table.column("idx"), np.uint16), _bytes(table.column("keys"), np.uint64), _bytes(table.column("marks"), np.uint32)
+    size = np.array([len(x) for x in cols])
+    flush = np.repeat(np.arange(len(cols), dtype=np.uint64), size)
+    inst = flush << np.uint64(16) | np.concatenate(idx)
+    # Who has a column: a row of a flush; a row that has copies is the same in all flushes; a mark stands for several rows.
+    who = inst.copy()
+    end = np.cumsum(size)
+    for e, x in zip(end, keys, strict=True):
+        who[e - len(x) : e] = x | np.uint64(1 << 63)
+    extra = sum(map(len, marks))
+    col = np.concatenate([*cols, *marks])
+    who = np.concatenate((who, np.full(extra, (1 << 63) - 1, np.uint64)))
+    order = np.argsort(col, kind="stable")
+    col, who = col[order], who[order]
+    new = np.ones(len(col), bool)
+    new[1:] = col[1:] != col[:-1]
+    other = np.zeros(len(col), bool)
+    other[1:] = ~new[1:] & (who[1:] != who[:-1])
+    start = np.flatnonzero(new)
+    several = np.logical_or.reduceat(other, start) if len(start) else other
+    credited = order[np.repeat(several, np.diff(np.append(start, len(col))))]
+    got = np.sort(inst[credited[credited < len(inst)]])
+    at = np.flatnonzero(np.concatenate(([True], got[1:] != got[:-1]))) if len(got) else np.zeros(0, np.int64)
+    credit, got = np.diff(np.append(at, len(got))), got[at]
+    bound = np.searchsorted(got >> np.uint64(16), np.arange(len(cols) + 1, dtype=np.uint64))
+    some = np.flatnonzero(np.diff(bound))
+    names = table.column("flush").to_numpy()
+    low = (got & np.uint64(0xFFFF)).astype(np.uint16)
+    none = pa.nulls(len(some), pa.binary())
+    return pa.table({"flush": pa.array(names[some], pa.int64()), "rows": none, "n": none, "own": none,
+                     "idx": pa.array([low[bound[i] : bound[i + 1]].tobytes() for i in some], pa.binary()), "credit": pa.array([credit[bound[i] : bound[i + 1]].astype(np.uint32).tobytes() for i in some], pa.binary())})
+
+
+def _summed(table: pa.Table, percent: int) -> pa.Table:
+    """Of one flush: the rows that reach ``percent`` of their columns, their own count and the blocks' added up."""
+    told = [i for i, x in enumerate(table.column("rows").is_valid().to_pylist()) if x][0]
+    rows, n, total = (np.frombuffer(table.column(c)[told].as_py(), t) for c, t in (("rows", np.uint64), ("n", np.uint32), ("own", np.uint32)))
+    total = total.astype(np.int64)
+    for idx, credit in zip(_bytes(table.column("idx"), np.uint16), _bytes(table.column("credit"), np.uint32), strict=True):
+        total[idx] += credit  # a row is named once by a block
+    keep = 100 * total >= percent * n.astype(np.int64)
+    return pa.table({"short": pa.array(rows[keep].view(np.int64)), "shared": pa.array(total[keep])})
+
+
+def incidence(docs: DataFrame, k: int, blocks: int, copied, percent: int, split=whole) -> DataFrame:
+    """(short, shared) of the rows of which ``percent`` of the columns occur in other rows; a row may be listed again."""
+    packed = "block bigint, flush bigint, rows binary, n binary, own binary, cols binary, idx binary, keys binary, marks binary"
+    dealt = docs.select("text").mapInArrow(lambda it: _deal(it, k, blocks, copied, split), packed)
+    parts = dealt.groupBy("block").applyInArrow(_shared, "flush bigint, rows binary, n binary, own binary, idx binary, credit binary")
+    return parts.groupBy("flush").applyInArrow(lambda t: _summed(t, percent), "short bigint, shared bigint")
 
 
 def _read(batches: Iterator[pa.RecordBatch], k: int, bits, split=whole) -> Iterator[pa.RecordBatch]:
@@ -195,154 +258,120 @@ def _need(n: str, m: str, p: int) -> str:
 
 
 def similar_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(a row per document with its set's key and size, the ids of keys, links between the ids of different sets).
-
-    The links are exact ones, and enough of them to connect every component; links between rows
-    that are in one component already are not all listed.
-    """
-    spark = docs.sparkSession
+    """(a row per document with its set's key and size, the ids of keys, the component of every id that is linked)."""
     source = docs.select("doc_id", K.uid(docs).alias("uid"), F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = K.cut(source.mapInArrow(lambda it: _keys(it, k), f"doc_id {kind}, uid bigint, n bigint, key binary"))
-
     held, sets = repeated_sets(source, rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.count("*").alias("copies")), k, percent)
-
-    # Stars: every row against the most central row, the pivot, of each of its leading columns.
-    post = sets.select("id", "n", "shared", F.explode(F.slice("cols", F.lit(1), F.col("lead"))).alias("col"))
-    met = post.select("col", "id").join(_pivots(post, "col"), "col").where("id <> pivot").select("id", "pivot").distinct()
-    near = K.cut(_overlaps(met, sets, percent))
-    links = near.where(_linked(percent)).select("id", F.col("pivot").alias("id2"))
-    label = _labels(links)
-
-    # The rows of a pivot that aren't all together: what they have in common outside of the pivot decides.
-    seats = near.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    seats = seats.join(label.select(F.col("id").alias("pivot"), F.col("label").alias("own")), "pivot", "left").withColumn("own", F.coalesce("own", "pivot"))
-    mixed = seats.groupBy("pivot").agg(F.max(F.col("label") != F.col("own")).alias("mixed")).where("mixed").select("pivot")
-    seats = _repeated_outside(K.cut(seats.join(mixed, "pivot")))
-    outside = ("pivot", "id", "n", "shared", "label", "overlap", "rest")
-    # What is left, (a): pairs with columns in common outside the pivot, one of them not together with it.
-    side = seats.select(*outside, (F.col("label") != F.col("own")).alias("off"), F.explode("extra").alias("col"))
-    pairs = _meet(side.where("off").drop("off"), side.drop("off"), percent)
-    # (b): pairs whose overlaps with the pivot suffice; then one isn't linked to it, and the other is smaller than it.
-    least = seats.groupBy("pivot").agg(F.min("n").alias("least"))
-    close = seats.join(least, "pivot").where(f"overlap >= {_need('n', f'greatest(least, ceil(n * {percent} / 100D))', percent)}")
-    free = close.where(f"not ({_linked(percent)})")
-    small = close.where("n < m").join(free.select("pivot").distinct(), "pivot", "left_semi")
-    front = sets.select("id", F.slice("cols", F.lit(1), F.col("lead")).alias("front"))
-    both = [x.select(*outside).join(front, "id").withColumn("col", F.explode("front")).drop("front") for x in (free, small)]
-    pairs = pairs.union(_meet(*both, percent, inside=True)).distinct()
-    rest = _verified(K.cut(pairs), sets).where(_linked(percent)).select("id", F.col("pivot").alias("id2"))
-    return rows, held.select("key", "id"), links.union(rest)
+    ranked = by_rarity(sets, percent)
+    post = ranked.select("id", "n", "s", F.posexplode(F.slice("cols", F.lit(1), _room("s", "n", percent))).alias("pos", "col"))
+
+    # Stars: every row times the most central row, the pivot, of each of its leading columns.
+    central = F.max(F.struct((F.col("s") / F.col("n")).alias("rank"), "id", "n", "s", "pos")).alias("c")
+    pivots = post.groupBy("col").agg(central, F.count("*").alias("rows")).where("rows > 1")
+    pivots = pivots.select("col", *(F.col(f"c.{x}").alias(f"{x}2") for x in ("id", "n", "s", "pos")))
+    met = post.join(pivots, "col").where(f"id <> id2 and {_can(percent)}")
+    met = met.select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("id2")).distinct()
+    links = product(met.withColumns({"seen": F.lit(0), "pos": F.lit(-1), "pos2": F.lit(-1)}), ranked, percent)
+    label = K.cut(_labels(links))
+
+    # The product of the leading columns, of rows that the stars have left in different components. Of a pair, the
+    # smaller row needs only the columns before which it can't have missed too many even for a partner of its size.
+    seats = post.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = seats.groupBy("col").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("col")
+    seats = K.cut(seats.join(mixed, "col"))
+    small = seats.where(F.expr(f"pos <= s - {_need('n', 'n', percent)}"))
+    large = seats.select("col", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "s", "pos", "label")))
+    pairs = small.join(large, "col").where(f"label <> label2 and (n < n2 or n = n2 and id < id2) and {_can(percent)}")
+    pairs = pairs.groupBy("id", "id2", "n", "n2", "s", "s2").agg(F.count("*").alias("seen"), F.max("pos").alias("pos"), F.max("pos2").alias("pos2"))
+    # A common column that isn't counted yet comes after the last one that is, in both rows.
+    pairs = pairs.where(f"seen + least(s - pos - 1, s2 - pos2 - 1) >= {_need('n', 'n2', percent)}")
+    rest = K.cut(product(pairs, ranked, percent))
+    if not rest.isEmpty():
+        own = lambda c: label.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+        rest = rest.join(own("id"), "id", "left").join(own("id2"), "id2", "left")
+        rest = rest.select("id", "id2", F.coalesce("id_label", "id").alias("a"), F.coalesce("id2_label", "id2").alias("b"))
+        far = _labels(rest.select(F.col("a").alias("id"), F.col("b").alias("id2"))).select(F.col("id").alias("label"), F.col("label").alias("far"))
+        every = label.union(rest.select("id", "a")).union(rest.select("id2", "b")).distinct()
+        label = every.join(far, "label", "left").select("id", F.coalesce("far", "label").alias("label"))
+    return rows, held.select("key", "id"), label
 
 
 def repeated_sets(source: DataFrame, sizes: DataFrame, k: int, percent: int, split=whole) -> tuple[DataFrame, DataFrame]:
-    """The rows that can reach the threshold with any other: (key, short, id, n, shared), and (id, n, shared, lead, cols).
+    """The rows that can reach the threshold with any other: (key, short, id, n), and (id, n, cols).
 
-    ``sizes`` has the key and n of every different set; ``split`` cuts a text column into rows.
+    ``sizes`` has the key, n and copies of every different set; ``split`` cuts a text column into rows.
     """
     spark = source.sparkSession
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    blocks = max(BLOCKS, -(-int(total) // BLOCK_ENTRIES))
-    shared = K.cut(incidence(source, k, blocks, split))
-    # Rows that can reach the threshold with any other. Where two keys share their front (practically never), ids are of the whole key.
-    held = sizes.select("key", "n", _short("key").alias("id")).join(shared, F.col("id") == F.col("short")).where(100 * F.col("shared") >= percent * F.col("n"))
-    held = K.cut(held.select("key", "short", "id", "n", "shared"))
+    sizes = sizes.select("key", "n", "copies", _short("key").alias("short"))
+    total, copied = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("copies") > 1)).first()
+    blocks = max(BLOCKS, -(-int(total) // min(BLOCK_ENTRIES[1], max(BLOCK_ENTRIES[0], int(total) // MANY_BLOCKS))))
+    bits = spark.sparkContext.broadcast(K.bitmap(sizes.where("copies > 1"), "short", K.bitmap_bits(copied, MAX_BITS)))
+    shared = incidence(source, k, blocks, bits, percent, split).select("short").distinct()
+    # Where two keys share their front (practically never), ids are of the whole key.
+    held = K.cut(sizes.select("key", "n", F.col("short").alias("id")).join(shared, F.col("id") == F.col("short")))
     facts = held.agg(F.count("*"), F.count_distinct("id")).first()
     if facts[0] != facts[1]:
         held = held.withColumn("id", F.xxhash64("key"))
     bits = spark.sparkContext.broadcast(K.bitmap(held, "short", K.bitmap_bits(facts[0], MAX_BITS)))
     read = source.select("text").mapInArrow(lambda it: _read(it, k, bits, split), "key binary, short bigint, n bigint, cols array<bigint>")
-    lead = F.expr(f"cast(n - ceil({percent} * n / 100D) + 1 as int)")
-    sets = read.groupBy("key").agg(F.first("cols").alias("cols")).join(held.select("key", "id", "n", "shared", lead.alias("lead")), "key")
-    sets = K.cut(sets.drop("key"))
-    return held, sets
-
+    sets = read.groupBy("key").agg(F.first("cols").alias("cols")).join(held.select("key", "id", "n"), "key")
+    return held, K.cut(sets.select("id", "n", "cols"))
 
-def _linked(percent: int) -> str:
-    return f"100 * overlap >= {percent} * (n + m - overlap)"
 
+def by_rarity(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, n, s, cols) of the rows that still can reach the threshold: their s columns that other rows have, too, rarest first."""
+    each = sets.select("id", "n", F.explode("cols").alias("col"))
+    many = each.groupBy("col").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(many, "col").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "col"))).alias("t"))
+    ranked = ranked.select("id", "n", F.size("t").cast("bigint").alias("s"), F.expr("transform(t, x -> x.col)").alias("cols"))
+    return K.cut(ranked.where(100 * F.col("s") >= percent * F.col("n")))
 
-def _pivots(post: DataFrame, *by: str, name: str = "pivot") -> DataFrame:
-    """The most central row of every column that has several: the one with the largest share of repeated columns."""
-    central = F.max(F.struct((F.col("shared") / F.col("n")).alias("rank"), "id"))
-    return post.groupBy(*by).agg(central.alias("c"), F.count("*").alias("rows")).where("rows > 1").select(*by, F.col("c.id").alias(name))
 
+def _room(s: str, n: str, percent: int) -> Column:
+    """How many leading columns a row needs: any overlap that suffices for it takes one of these."""
+    return F.expr(f"cast({s} - ceil({percent} * {n} / 100D) + 1 as int)")
 
-def _labels(links: DataFrame) -> DataFrame:
-    return components(links.select(F.col("id").alias("a"), F.col("id2").alias("b"))).select(F.col("node").alias("id"), "label")
 
+def _can(percent: int) -> str:
+    """Length and positional bound of a pair with a column in common: what both can have before it, and from it on."""
+    return f"least(n, n2) * 100 >= {percent} * greatest(n, n2) and least(pos, pos2) + least(s - pos, s2 - pos2) >= {_need('n', 'n2', percent)}"
 
-def _repeated_outside(seats: DataFrame) -> DataFrame:
-    """The seats with only those columns outside their pivot that another of its rows has, too: the others can't meet.
 
-    What repeats is found by counting eight bytes a column, and told to the seats by a bitmap of a fixed size at most.
-    """
-    spark = seats.sparkSession
-    keys = seats.select(F.explode(F.transform("extra", lambda c: c.bitwiseXOR(F.col("pivot")))).alias("key"))
-    many = K.cut(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
-    bits = spark.sparkContext.broadcast(K.bitmap(many, "key", K.bitmap_bits(many.count(), MAX_BITS)))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            extra = b.column("extra")
-            count = np.diff(extra.offsets.to_numpy())
-            cols = extra.flatten().to_numpy().view(np.uint64)
-            pivot = np.repeat(b.column("pivot").to_numpy().view(np.uint64), count)
-            ok = K.in_bitmap(bits.value, cols ^ pivot)
-            row = np.repeat(np.arange(len(count)), count)
-            left = K.lists(cols[ok].view(np.int64), np.bincount(row[ok], minlength=len(count)), pa.int64())
-            yield b.set_column(b.schema.get_field_index("extra"), "extra", left)
-
-    return seats.mapInArrow(keep, seats.schema)
-
-
-def _meet(a: DataFrame, b: DataFrame, percent: int, inside: bool = False) -> DataFrame:
-    """Pairs (id, pivot) of rows of different components that share a column of one pivot and may reach the threshold.
-
-    Outside the pivot the common columns of the prefixes are counted; what the prefixes leave out (``rest``)
-    may add at most the larger of the two rests.
-    """
-    by, need = ["pivot", "col"], _need("n", "n2", percent)
-    b = b.select(*by, *(F.col(c).alias(f"{c}2") for c in ("id", "n", "shared", "label", "overlap", "rest")))
-    bound = f"least(overlap, overlap2) >= {need}" if inside else f"least(overlap, overlap2) + least(n - overlap, n2 - overlap2) >= {need}"
-    met = a.join(b, by).where(f"label <> label2 and least(n, n2) * 100 >= {percent} * greatest(n, n2) and least(shared, shared2) >= {need} and {bound}")
-    if not inside:
-        common = F.least("overlap", "overlap2") + F.greatest("rest", "rest2")
-        met = met.select("pivot", "id", "id2", common.alias("most"), F.expr(need).alias("need")).groupBy("pivot", "id", "id2").agg(F.count("*").alias("seen"), F.first("most").alias("most"), F.first("need").alias("need")).where("most + seen >= need")
-    return met.select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("pivot")).distinct()
+def _linked(percent: int) -> str:
+    return f"100 * overlap >= {percent} * (n + n2 - overlap)"
 
 
-def _short(key: str):
-    """The key's first 8 bytes as the little-endian bigint that the workers use."""
-    return F.expr(f"cast(conv(concat({', '.join(f'hex(substring({key}, {i}, 1))' for i in range(8, 0, -1))}), 16, -10) as bigint)")
+def product(pairs: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
+    """The pairs (id, id2) that link, of pairs of which ``seen`` common columns are counted up to places pos and pos2.
 
+    The other columns follow in two blocks, rarest first: after the first a pair goes if what is counted and all that is
+    left can't suffice.
+    """
+    a = ranked.select("id", "n", "s", F.col("cols").alias("a"))
+    b = ranked.select(*(F.col(c).alias(f"{c}2") for c in ("id", "n", "s")), F.col("cols").alias("b"))
+    both = pairs.select("id", "id2", "seen", "pos", "pos2").join(a, "id").join(b, "id2")
+    both = both.withColumns({"a": F.expr("slice(a, cast(pos + 2 as int), size(a))"), "b": F.expr("slice(b, cast(pos2 + 2 as int), size(b))")})
+    first = f"seen + size(array_intersect(slice(a, 1, {FIRST_COLUMNS}), b))"
+    both = both.withColumn("first", F.expr(first))
+    both = both.where(f"first + least(greatest(size(a) - {FIRST_COLUMNS}, 0), size(b)) >= {_need('n', 'n2', percent)}")
+    both = both.withColumn("overlap", F.expr(f"first + if(size(a) > {FIRST_COLUMNS}, size(array_intersect(slice(a, {FIRST_COLUMNS + 1}, size(a)), b)), 0)"))
+    return both.where(_linked(percent)).select("id", "id2")
 
-def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (id, pivot) with the exact overlap of their whole sets, and a prefix of the first one's columns outside the second.
 
-    Two rows that need a column in common outside a third one have one among these: of o columns outside,
-    at least ceil(t * n) - overlap are needed, so the first o - max(1, ceil(t * n) - overlap) + 1 do.
-    """
-    a = sets.select("id", "n", "shared", "cols")
-    b = sets.select(F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("cols").alias("cols2"))
-    both = pairs.select("id", "pivot").join(b, "pivot").join(a, "id").withColumn("outside", F.array_except("cols", "cols2"))
-    both = both.select("id", "pivot", "n", "m", "shared", (F.col("n") - F.size("outside")).alias("overlap"), "outside")
-    take = F.expr(f"cast(size(outside) - greatest(1, ceil({percent} * n / 100D) - overlap) + 1 as int)")
-    return both.select("id", "pivot", "n", "m", "shared", "overlap", F.slice("outside", F.lit(1), F.greatest(F.lit(0), take)).alias("extra"), (F.size("outside") - F.greatest(F.lit(0), take)).cast("bigint").alias("rest"))
+def _labels(links: DataFrame) -> DataFrame:
+    return components(links.select(F.col("id").alias("a"), F.col("id2").alias("b"))).select(F.col("node").alias("id"), "label")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Few pairs (id, pivot) with the overlap of their whole sets: a list within the bound is broadcast, so only the sets it names move."""
-    named = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
-    a = sets.join(named, "id").select("id", "pivot", "n", "cols")
-    b = sets.select(F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("cols").alias("cols2")).join(named, "pivot")
-    return a.join(b, ["id", "pivot"]).select("id", "pivot", "n", "m", F.size(F.array_intersect("cols", "cols2")).alias("overlap"))
+def _short(key: str):
+    """The key's first 8 bytes as the little-endian bigint that the workers use."""
+    return F.expr(f"cast(conv(concat({', '.join(f'hex(substring({key}, {i}, 1))' for i in range(8, 0, -1))}), 16, -10) as bigint)")
 
 
 def ngram_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """A row per document: doc_id, uid, n_shingles, component_id (the smallest doc_id reachable by links), component (its own key, null without words)."""
-    rows, ids, links = similar_sets(docs, k, percent)
-    group = K.cut(_labels(links).join(ids, "id").select("key", "label"))
+    rows, ids, label = similar_sets(docs, k, percent)
+    group = K.cut(label.join(ids, "id").select("key", "label"))
     sets = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("low"))
     low = group.join(sets, "key").groupBy("label").agg(F.min("low").alias("component_id"), F.min("key").alias("component"))
     linked = group.join(low, "label").select("key", "component_id", "component")
