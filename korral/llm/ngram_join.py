@@ -25,7 +25,7 @@ large it is.
 Nothing is capped: a pair is left out only if its rows are in one component
 already or if a bound excludes it.
 
-Exact up to collisions of hashes: shingles are compared by 64 bits, sets by 128.
+Exact up to collisions of hashes: shingles are compared by 58 bits, sets by 128.
 Broadcast are only bitmaps (of the sets that have copies, and of the rows that
 passed step 1) of a fixed size, at most 16 MB each; a full bitmap lets more rows
 through and changes no result.
@@ -108,10 +108,13 @@ def _keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 
 
 def _block(g: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """(block, 32-bit column in the block) of 64-bit columns; both follow their order."""
+    """(block, three bytes of the column in the block) of 64-bit columns; both follow their order.
+
+    Columns of a block that agree in these count as one, which only lets more rows through.
+    """
     low = ((g & np.uint64(0xFFFFFFFF)) * np.uint64(blocks)) >> np.uint64(32)
     x = (g >> np.uint64(32)) * np.uint64(blocks) + low
-    return (x >> np.uint64(32)).astype(np.int64), (x & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return (x >> np.uint64(32)).astype(np.int64), (x & np.uint64(0xFFFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, 1:]
 
 
 def _deal(batches: Iterator[pa.RecordBatch], k: int, blocks: int, copied, split=whole) -> Iterator[pa.RecordBatch]:
@@ -189,18 +192,18 @@ def _shared(table: pa.Table) -> pa.Table:
     """Of one block: for every row of every flush, how many of its columns a different row of another flush has, too."""
     if table.column("block")[0].as_py() < 0:
         return table.select(["flush", "rows", "n", "own"]).append_column("idx", pa.nulls(len(table), pa.binary())).append_column("credit", pa.nulls(len(table), pa.binary()))
-    cols, idx, keys, marks = _bytes(table.column("cols"), np.uint32), _bytes(table.column("idx"), np.uint16), _bytes(table.column("keys"), np.uint64), _bytes(table.column("marks"), np.uint32)
-    size = np.array([len(x) for x in cols])
-    flush = np.repeat(np.arange(len(cols), dtype=np.uint64), size)
+    (cols, marks), idx, keys = (b"".join(table.column(c).to_pylist()) for c in ("cols", "marks")), _bytes(table.column("idx"), np.uint16), _bytes(table.column("keys"), np.uint64)
+    size = np.array([len(x) for x in idx])
+    flush = np.repeat(np.arange(len(idx), dtype=np.uint64), size)
     inst = flush << np.uint64(16) | np.concatenate(idx)
     # Who has a column: a row of a flush; a row that has copies is the same in all flushes; a mark stands for several rows.
     who = inst.copy()
     end = np.cumsum(size)
     for e, x in zip(end, keys, strict=True):
         who[e - len(x) : e] = x | np.uint64(1 << 63)
-    extra = sum(map(len, marks))
-    col = np.concatenate([*cols, *marks])
-    who = np.concatenate((who, np.full(extra, (1 << 63) - 1, np.uint64)))
+    col = np.zeros((len(cols) + len(marks)) // 3, "<u4")
+    col.view(np.uint8).reshape(-1, 4)[:, :3] = np.frombuffer(cols + marks, np.uint8).reshape(-1, 3)
+    who = np.concatenate((who, np.full(len(marks) // 3, (1 << 63) - 1, np.uint64)))
     order = np.argsort(col, kind="stable")
     col, who = col[order], who[order]
     new = np.ones(len(col), bool)
@@ -213,7 +216,7 @@ def _shared(table: pa.Table) -> pa.Table:
     got = np.sort(inst[credited[credited < len(inst)]])
     at = np.flatnonzero(np.concatenate(([True], got[1:] != got[:-1]))) if len(got) else np.zeros(0, np.int64)
     credit, got = np.diff(np.append(at, len(got))), got[at]
-    bound = np.searchsorted(got >> np.uint64(16), np.arange(len(cols) + 1, dtype=np.uint64))
+    bound = np.searchsorted(got >> np.uint64(16), np.arange(len(idx) + 1, dtype=np.uint64))
     some = np.flatnonzero(np.diff(bound))
     names = table.column("flush").to_numpy()
     low = (got & np.uint64(0xFFFF)).astype(np.uint16)
@@ -282,7 +285,9 @@ def similar_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> t
     seats = K.cut(seats.join(mixed, "col"))
     small = seats.where(F.expr(f"pos <= s - {_need('n', 'n', percent)}"))
     large = seats.select("col", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "s", "pos", "label")))
-    pairs = small.join(large, "col").where(f"label <> label2 and (n < n2 or n = n2 and id < id2) and {_can(percent)}")
+    # The first column that a pair has in common leaves it room enough; so do all before a column that does.
+    room = f"least(n, n2) * 100 >= {percent} * greatest(n, n2) and least(s - pos, s2 - pos2) >= {_need('n', 'n2', percent)}"
+    pairs = small.join(large, "col").where(f"label <> label2 and (n < n2 or n = n2 and id < id2) and {room}")
     pairs = pairs.groupBy("id", "id2", "n", "n2", "s", "s2").agg(F.count("*").alias("seen"), F.max("pos").alias("pos"), F.max("pos2").alias("pos2"))
     # A common column that isn't counted yet comes after the last one that is, in both rows.
     pairs = pairs.where(f"seen + least(s - pos - 1, s2 - pos2 - 1) >= {_need('n', 'n2', percent)}")
@@ -322,9 +327,11 @@ def repeated_sets(source: DataFrame, sizes: DataFrame, k: int, percent: int, spl
 def by_rarity(sets: DataFrame, percent: int) -> DataFrame:
     """(id, n, s, cols) of the rows that still can reach the threshold: their s columns that other rows have, too, rarest first."""
     each = sets.select("id", "n", F.explode("cols").alias("col"))
-    many = each.groupBy("col").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = each.join(many, "col").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "col"))).alias("t"))
-    ranked = ranked.select("id", "n", F.size("t").cast("bigint").alias("s"), F.expr("transform(t, x -> x.col)").alias("cols"))
+    # A column's place in the order is the power of two of its degree, then its hash (the front 58 bits).
+    rarity = F.shiftleft(F.log2(F.count("*")).cast("bigint"), 58).bitwiseOR(F.shiftrightunsigned("col", 6))
+    many = each.groupBy("col").agg(F.count("*").alias("df"), rarity.alias("token")).where("df > 1").select("col", "token")
+    ranked = each.join(many, "col").groupBy("id", "n").agg(F.sort_array(F.collect_list("token")).alias("cols"))
+    ranked = ranked.select("id", "n", F.size("cols").cast("bigint").alias("s"), "cols")
     return K.cut(ranked.where(100 * F.col("s") >= percent * F.col("n")))
 
 
