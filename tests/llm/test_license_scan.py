@@ -29,3 +29,24 @@ def test_small(spark):
 
 def test_tables(spark, sf):
     check(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
+
+
+def test_long_notices(spark):
+    apache = "You may not use this file except in compliance with the License; you may obtain a copy"
+    texts = [(1, apache), (2, apache.replace("file", "files")), (3, "x " + apache + "\n" + apache.upper()), (4, "K " + apache.replace("License", "LICENSE"))]
+    check(spark, texts)
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got[1].labels == "apache-2" and got[1].n_base == 0 and got[2].labels == "" and len(got[3].places) == 2 and got[4].n_words == 18
+
+
+def test_oracle(spark, sf):
+    import duckdb
+
+    from korral.llm import oracle, queries
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = con.execute(oracle.ORACLES["op7_license_scan"]).fetchall()
+    columns = [d[0] for d in con.description]
+    got = queries.op7(spark, sf).select(*columns).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
