@@ -1,23 +1,30 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its distinct five-word shingles (with fewer words, the
-whole line as one).  Lines with equal sets are one record, which stands at the
-first of them.  Records whose columns mostly occur nowhere else can't reach the
-threshold and go (see :mod:`korral.llm.ngram_join`).  Of the others the tokens
-are ordered by rarity, rarest first, and two records meet where their prefixes
-share a token, pass the length filter and the positional filter (what stands
-before and after the shared token, counting only tokens that other records have
-too), and are verified by their exact Jaccard similarity.  Every line but the
+A line is the set of its distinct words (A-Z in lower case).  Lines with equal
+sets are one record, which stands at the first of them.  A record's tokens are
+ordered by rarity, rarest first; two records that reach the threshold have one
+of their first ``n - ceil(t * n) + 1`` tokens, their prefixes, in common.  Records
+that meet in a prefix token pass the length filter and the positional filter
+(what stands from the shared token on must suffice), and a filter of 64 bits (the
+parities of the tokens' hashes differ in no more bits than the sets may differ
+in tokens); then their exact Jaccard similarity is verified.  Every line but the
 first of its record is removed, and the first as well if it matches a line that
 comes earlier in the corpus (by doc_id, row, place in the text).
 
+Rarity is counted over all words in a table of ``2 ** SLOTS`` counts, so words
+share counts; that changes the order, which any fixed one may be, not the result.
+
 Each prefix token is first met by its earliest record alone (a star); only
 records that this leaves unmatched meet all earlier ones, so a family of near
 copies of one line doesn't make all its pairs.
 
-Scale: texts never move.  What is shuffled is a row per line for its record, the
-packed incidence, and the sets of the few records that remain; all groupings
-combine map-side.  Broadcast is one bitmap of at most 16 MB.
+Scale: texts never move.  What is shuffled are a row per line for its record and
+the packed prefixes, about 25 bytes a token; a block of tokens hands on only the
+entries that the filters leave a partner.  A map task sends a record once, so
+a token has an entry for each record and map buffer at most.  Broadcast are the
+counts (``8 << SLOTS`` bytes) and one bitmap of at most 16 MB.
+
+Exact up to collisions of hashes: words are compared by 64 bits, lines by 128.
 
 Edge cases: lines end at \\n; blank lines match nothing and stay; null texts have
 no line.  Each input row gives one row, null doc_ids come last, and rows that
@@ -34,7 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korral.llm import _kernel as K
-from korral.llm.ngram_join import PERCENT, SHINGLE, _linked, _need, repeated_sets, shingle_sets
+from korral.llm.ngram_join import MAX_BITS, PERCENT, _linked, _need, _short
+
+SLOTS = 18
+#: Entries of the prefixes in a block, the least number of blocks, and entries in a map task's buffer.
+BLOCK_ENTRIES, BLOCKS, BUFFER = 500_000, 12, 500_000
+_ENTRY = np.dtype([("token", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("id", "<u8"), ("bits", "<u8")])
 
 
 def _cut_lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,68 +62,190 @@ def _cut_lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.append(start, len(data)), row, np.arange(len(row)) - first
 
 
-def lines(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Every line of every text is a row of the matrix."""
-    for lo, hi, data, offs in K.slices(text):
-        yield lo, hi, data, _cut_lines(data, offs)[0]
+def _sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines: (words as they stand, distinct words sorted within each line, their lines, how many each line has, two hashes of each line's set)."""
+    s, e, line = K.word_spans(data, at, K.NOT_SPACE)
+    h = K.span_hash(data, s, e, K.LOWER)
+    order = K.order_in_rows(line, h)
+    own, words = line[order], h[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (words[1:] != words[:-1])
+    own, words = own[new], words[new]
+    n = np.bincount(own, minlength=len(at) - 1)
+    return h, words, own, n, np.stack((K.set_hash(words, n, 0), K.set_hash(words, n, 0x5851F42D4C957F2D)), 1)
+
+
+def _slot(words: np.ndarray) -> np.ndarray:
+    return (words & np.uint64((1 << SLOTS) - 1)).astype(np.int64)
 
 
-def _keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per line that has words, and at the end the words' counts by slot."""
+    counts, kind = np.zeros(1 << SLOTS, np.int64), None
+    names = ["doc_id", "uid", "line", "n", "key", "slot", "count"]
     for b in batches:
+        kind = b.schema.field("doc_id").type
         for lo, _, data, offs in K.slices(b.column("text")):
             at, row, place = _cut_lines(data, offs)
-            _, n, keys = shingle_sets(data, at, k)
-            take = pa.array(lo + row)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("uid").take(take), pa.array(place, pa.int32()), pa.array(n, pa.int32()), pa.array(keys, pa.binary())], ["doc_id", "uid", "line", "n", "key"])
+            words, _, _, n, keys = _sets(data, at)
+            counts += np.bincount(_slot(words), minlength=1 << SLOTS)
+            some = np.flatnonzero(n)
+            take, raw, none = pa.array(lo + row[some]), keys[some].tobytes(), pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("uid").take(take), pa.array(place[some], pa.int32()), pa.array(n[some], pa.int64()),
+                                              pa.array([raw[i * 16 : i * 16 + 16] for i in range(len(some))], pa.binary()), none, none], names)
+    slots = np.flatnonzero(counts)
+    for lo in range(0, len(slots), 1 << 16):
+        x = slots[lo : lo + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(x), t) for t in (kind, pa.int64(), pa.int32(), pa.int64(), pa.binary())), pa.array(x, pa.int64()), pa.array(counts[x], pa.int64())], names)
+
+
+def _deal(batches: Iterator[pa.RecordBatch], blocks: int, counts, percent: int) -> Iterator[pa.RecordBatch]:
+    """The prefixes by block of tokens, packed as _ENTRY; a record is sent once by a buffer."""
+    parts: list[np.ndarray] = []
+    where: list[np.ndarray] = []
+    held, seen = 0, set()
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        entries, block = np.concatenate(parts), np.concatenate(where)
+        order = np.argsort(block, kind="stable")
+        entries, bound = entries[order], np.searchsorted(block[order], np.arange(blocks + 1))
+        some = np.flatnonzero(np.diff(bound))
+        for lo in range(0, len(some), 256):
+            x = some[lo : lo + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array([entries[bound[i] : bound[i + 1]].tobytes() for i in x], pa.binary())], ["block", "entries"])
+
+    for b in batches:
+        for _, _, data, offs in K.slices(b.column("text")):
+            at, _, _ = _cut_lines(data, offs)
+            _, words, own, n, keys = _sets(data, at)
+            raw, keep = keys.tobytes(), np.zeros(len(n), bool)
+            for i in np.flatnonzero(n * (100 - percent) >= max(percent, 1)):  # smaller sets match equal ones only, which are the same record
+                key = raw[i * 16 : i * 16 + 16]
+                if key not in seen:
+                    seen.add(key)
+                    keep[i] = True
+            x = keep[own]
+            words, own = words[x], own[x]
+            if len(words):
+                first = np.cumsum(np.where(keep, n, 0)) - np.where(keep, n, 0)
+                bits = np.zeros(len(n), np.uint64)
+                bits[keep] = np.bitwise_xor.reduceat(np.uint64(1) << (words >> np.uint64(58)), first[keep])
+                order = np.lexsort((words, counts.value[_slot(words)], own))
+                words, own = words[order], own[order]
+                pos = np.arange(len(own)) - first[own]
+                x = pos < n[own] + (-percent * n[own] // 100) + 1
+                words, own, pos = words[x], own[x], pos[x]
+                entry = np.empty(len(own), _ENTRY)
+                mixed = K.mix(words)
+                entry["token"], entry["n"], entry["pos"], entry["id"], entry["bits"] = mixed & np.uint64(0xFFFFFFFF), n[own], pos, keys[own, 0], bits[own]
+                parts.append(entry)
+                where.append(((mixed >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int32))
+                held += len(entry)
+            if held >= BUFFER:
+                yield from flush()
+                parts, where, held, seen = [], [], 0, set()
+    if held:
+        yield from flush()
 
 
-def removed_lines(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def _partners(table: pa.Table, percent: int) -> pa.Table:
+    """Of one block: the entries (token, id, n, pos) that the filters leave a partner of the same token.
+
+    Entries of a token stand by size. Each is compared with the next one, the one after that and so on, as long as sizes
+    allow and as one of the two still has no partner: a family of near copies is told by its neighbours.
+    """
+    block = table.column("block")[0].as_py()
+    e = np.frombuffer(b"".join(table.column("entries").to_pylist()), _ENTRY)
+    order = np.lexsort((e["id"], e["n"], e["token"]))
+    e = e[order]
+    new = np.ones(len(e), bool)
+    new[1:] = (e["token"][1:] != e["token"][:-1]) | (e["id"][1:] != e["id"][:-1])  # a record that several buffers sent
+    e = e[new]
+    token, n, pos, bits = e["token"], e["n"].astype(np.int64), e["pos"].astype(np.int64), e["bits"]
+    left = n - pos
+    found = np.zeros(len(e), bool)
+    i, step = np.arange(len(e)), 1
+    while len(i):
+        i = i[i + step < len(e)]
+        j = i + step
+        on = (token[i] == token[j]) & (100 * n[i] >= percent * n[j])
+        i, j = i[on], j[on]
+        open_ = ~(found[i] & found[j])
+        a, b = i[open_], j[open_]
+        need = -(-percent * (n[a] + n[b]) // (100 + percent))
+        ok = np.minimum(left[a], left[b]) >= need
+        a, b, need = a[ok], b[ok], need[ok]
+        ok = np.bitwise_count(bits[a] ^ bits[b]) <= n[a] + n[b] - 2 * need
+        found[a[ok]] = found[b[ok]] = True
+        step += 1
+    e = e[found]
+    return pa.table({"token": pa.array((block << 32) + e["token"].astype(np.int64)), "id": pa.array(e["id"].view(np.int64)), "n": pa.array(e["n"].astype(np.int64)), "pos": pa.array(e["pos"].astype(np.int64)), "bits": pa.array(e["bits"].view(np.int64))})
+
+
+def _read(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
+    """(key, words) of the lines that the bitmap names."""
+    for b in batches:
+        for _, _, data, offs in K.slices(b.column("text")):
+            at, _, _ = _cut_lines(data, offs)
+            _, words, _, n, keys = _sets(data, at)
+            keep = K.in_bitmap(bits.value, keys[:, 0]) & (n > 0)
+            if keep.any():
+                raw = keys[keep].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary()), K.lists(words[np.repeat(keep, n)].view(np.int64), n[keep], pa.int64())], ["key", "words"])
+
+
+def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(uid, line) of every line that goes; uid is the row's number in these documents, or in K.fixed ones made of them."""
     docs = K.fixed(docs)
+    spark = docs.sparkSession
     source = docs.select("doc_id", K.uid(docs).alias("uid"), F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = source.mapInArrow(lambda it: _keys(it, k), f"doc_id {kind}, uid bigint, line int, n int, key binary").where("n > 0")
+    told = K.cut(source.mapInArrow(_lines, f"doc_id {kind}, uid bigint, line int, n bigint, key binary, slot bigint, count bigint"))
+    counts = np.zeros(1 << SLOTS, np.int64)
+    for r in told.where("slot is not null").groupBy("slot").agg(F.sum("count").alias("n")).collect():  # a bounded number of slots
+        counts[r.slot] = r.n
+    rows = told.where("key is not null").select("doc_id", "uid", "line", "n", "key")
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "line")
-    records = K.cut(rows.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("copies"), F.first("n").cast("bigint").alias("n")))
-    held, sets = repeated_sets(source, records.select("key", "n", "copies"), k, percent, lines)
-
-    # Tokens by rarity. A token that no other record has can't match: it only takes up room in the prefix.
-    each = sets.select("id", F.explode("cols").alias("col"))
-    many = each.groupBy("col").agg(F.count("*").alias("df")).where("df > 1")
-    token = F.sort_array(F.collect_list(F.struct("df", "col")))
-    ranked = each.join(many, "col").groupBy("id").agg(token.alias("tokens"))
-    ranked = ranked.join(held.join(records, "key").select("id", held["n"], "first"), "id").withColumn("shared", F.size("tokens").cast("bigint"))
-    ranked = K.cut(ranked.where(100 * F.col("shared") >= percent * F.col("n")))
-    room = F.expr(f"cast(shared - ceil({percent} * n / 100D) + 1 as int)")
-    post = ranked.select("id", "n", "shared", "first", F.posexplode(F.slice("tokens", F.lit(1), room)).alias("pos", "t")).select("id", "n", "shared", "first", "pos", F.col("t.col").alias("col"))
-
-    cols = sets.select("id", "cols")
-    star = post.groupBy("col").agg(F.min(F.struct("first", "id", "n", "shared", "pos")).alias("c"), F.count("*").alias("rows")).where("rows > 1")
-    star = star.select("col", *(F.col(f"c.{x}").alias(f"{x}2") for x in ("first", "id", "n", "shared", "pos")))
-    late = K.cut(_matched(post.join(star, "col"), cols, percent))
-    open_ = post.join(late, "id", "left_anti")
-    other = post.select("col", *(F.col(x).alias(f"{x}2") for x in ("first", "id", "n", "shared", "pos")))
-    late = late.union(_matched(open_.join(other, "col"), cols, percent)).distinct()
-
-    gone = late.join(held.select("id", "key"), "id").select("key")
-    firsts = records.join(gone, "key", "left_semi").select(F.col("first.uid").alias("uid"), F.col("first.line").alias("line"))
+    records = rows.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    records = K.cut(records.withColumn("short", _short("key")))
+    entries = records.agg(F.coalesce(F.sum(F.expr(f"n - ceil({percent} * n / 100D) + 1")), F.lit(0)).cast("bigint")).first()[0]
+    blocks = max(BLOCKS, -(-int(entries) // BLOCK_ENTRIES))
+    order = spark.sparkContext.broadcast(counts)
+    dealt = source.select("text").mapInArrow(lambda it: _deal(it, blocks, order, percent), "block bigint, entries binary")
+    post = K.cut(dealt.groupBy("block").applyInArrow(lambda t: _partners(t, percent), "token bigint, id bigint, n bigint, pos bigint, bits bigint"))
+
+    # The records with a partner, under ids of their own where two keys share their front (practically never: then both are met).
+    held = K.cut(records.join(post.select(F.col("id").alias("short")).distinct(), "short").select("key", "short", "first"))
+    bits = spark.sparkContext.broadcast(K.bitmap(held, "short", K.bitmap_bits(held.count(), MAX_BITS)))
+    words = source.select("text").mapInArrow(lambda it: _read(it, bits), "key binary, words array<bigint>").groupBy("key").agg(F.first("words").alias("words"))
+    sets = K.cut(held.select("key").join(words, "key"))
+    post = post.withColumnRenamed("id", "short").join(held, "short").drop("short")
+
+    star = post.groupBy("token").agg(F.min(F.struct("first", "key", "n", "pos", "bits")).alias("c"))
+    star = star.select("token", *(F.col(f"c.{x}").alias(f"{x}2") for x in ("first", "key", "n", "pos", "bits")))
+    late = K.cut(_matched(post.join(star, "token"), sets, percent))
+    open_ = post.join(late, "key", "left_anti")
+    other = post.select("token", *(F.col(x).alias(f"{x}2") for x in ("first", "key", "n", "pos", "bits")))
+    late = K.cut(late.union(_matched(open_.join(other, "token"), sets, percent)).distinct())
+
+    firsts = records.join(late, "key", "left_semi").select(F.col("first.uid").alias("uid"), F.col("first.line").alias("line"))
     again = rows.join(records.where("copies > 1").select("key", "first"), "key").where("not (uid = first.uid and line = first.line)").select("uid", "line")
     return firsts.union(again)
 
 
-def _matched(met: DataFrame, cols: DataFrame, percent: int) -> DataFrame:
-    """Ids of the records that match an earlier one, of the pairs that meet in a token."""
+def _matched(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Keys of the records that match an earlier one, of the pairs that meet in a token."""
     need = _need("n", "n2", percent)
-    filters = f"first2 < first and least(n, n2) * 100 >= {percent} * greatest(n, n2) and least(shared, shared2) >= {need} and least(pos, pos2) + least(shared - pos, shared2 - pos2) >= {need}"
-    pairs = met.where(filters).select("id", "n", "id2", "n2").distinct()
-    both = pairs.join(cols.withColumnRenamed("cols", "a"), "id").join(cols.select(F.col("id").alias("id2"), F.col("cols").alias("b")), "id2")
-    return both.withColumn("overlap", F.size(F.array_intersect("a", "b"))).where(_linked(percent)).select("id").distinct()
+    filters = f"first2 < first and least(n, n2) * 100 >= {percent} * greatest(n, n2) and least(n - pos, n2 - pos2) >= {need} and bit_count(bits ^ bits2) <= n + n2 - 2 * {need}"
+    pairs = met.where(filters).select("key", "n", "key2", "n2").distinct()
+    both = pairs.join(sets.withColumnRenamed("words", "a"), "key").join(sets.select(F.col("key").alias("key2"), F.col("words").alias("b")), "key2")
+    return both.withColumn("overlap", F.size(F.array_intersect("a", "b"))).where(_linked(percent)).select("key").distinct()
 
 
-def line_dedup(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """A row per document: doc_id, uid, n_lines, n_removed, removed (places of its lines that go, from 0)."""
     docs = K.fixed(docs)
-    gone = removed_lines(docs, k, percent).groupBy("uid").agg(F.sort_array(F.collect_list("line")).alias("removed"))
+    gone = removed_lines(docs, percent).groupBy("uid").agg(F.sort_array(F.collect_list("line")).alias("removed"))
     text = F.col("text").cast("string")
     count = F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).otherwise(0)
     rows = docs.select("doc_id", K.uid(docs).alias("uid"), count.cast("bigint").alias("n_lines"))

@@ -106,13 +106,13 @@ FROM d LEFT JOIN c USING (uid) LEFT JOIN s USING (uid)
 OP2 = rf"""
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS uid, doc_id, CASE WHEN length(text) > 0 THEN string_split(text, chr(10)) ELSE [] END AS ls FROM documents),
 l AS (SELECT uid, i - 1 AS line, regexp_extract_all(translate(ls[i], {_AZ}), '[^\x20\x09-\x0D]+') AS w FROM d, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)),
-g AS (SELECT DISTINCT uid, line, array_to_string(list_slice(w, i, i + 4), ' ') AS gram FROM l, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i)),
+g AS (SELECT DISTINCT uid, line, unnest(w) AS gram FROM l),
 s AS (SELECT uid, line, count(*) AS n, array_to_string(list_sort(list(gram)), chr(31)) AS key FROM g GROUP BY ALL),
-c AS (SELECT key, min((uid, line)) AS first, any_value(n) AS n FROM s GROUP BY key),
-t AS (SELECT c.key, c.first, c.n, unnest(string_split(c.key, chr(31))) AS gram FROM c),
-o AS (SELECT a.key, a.n, b.n AS m, count(*) AS i FROM t a JOIN t b ON a.gram = b.gram AND b.first < a.first GROUP BY a.key, b.key, a.n, b.n),
-x AS (SELECT DISTINCT key FROM o WHERE 100 * i >= 75 * (n + m - i)),
-r AS (SELECT s.uid, s.line FROM s JOIN c USING (key) WHERE (s.uid, s.line) <> c.first OR key IN (SELECT key FROM x)),
+c AS (SELECT row_number() OVER () AS id, key, min((uid, line)) AS first, any_value(n) AS n FROM s GROUP BY key),
+t AS (SELECT c.id, c.first, c.n, unnest(string_split(c.key, chr(31))) AS gram FROM c),
+o AS (SELECT a.id, a.n, b.n AS m, count(*) AS i FROM t a JOIN t b ON a.gram = b.gram AND 100 * a.n >= 75 * b.n AND 100 * b.n >= 75 * a.n AND b.first < a.first GROUP BY a.id, b.id, a.n, b.n),
+x AS (SELECT DISTINCT id FROM o WHERE 100 * i >= 75 * (n + m - i)),
+r AS (SELECT s.uid, s.line FROM s JOIN c USING (key) WHERE (s.uid, s.line) <> c.first OR id IN (SELECT id FROM x)),
 y AS (SELECT uid, count(*) AS n, array_to_string(list(line ORDER BY line), ',') AS removed FROM r GROUP BY uid)
 SELECT doc_id, len(ls) AS n_lines, coalesce(y.n, 0) AS n_removed, coalesce(removed, '') AS removed FROM d LEFT JOIN y USING (uid)
 """

@@ -4,9 +4,8 @@ import re
 from korral.llm.line_dedup import line_dedup, without_lines
 
 
-def shingles(t, k=5):
-    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
-    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+def words(line):
+    return frozenset(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)))
 
 
 def brute(docs):
@@ -15,7 +14,7 @@ def brute(docs):
     for i in order:
         text = docs[i][1]
         for j, line in enumerate(text.split("\n") if text else []):
-            s = shingles(line)
+            s = words(line)
             if s:
                 if any(100 * len(s & e) >= 75 * len(s | e) for e in earlier):
                     gone.setdefault(i, []).append(j)
@@ -51,4 +50,4 @@ def test_empty(spark):
 
 def test_tables(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    check(spark, docs[:60])
+    check(spark, docs[:120])
