@@ -190,12 +190,19 @@ def in_bitmap(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Make reliable checkpoints possible: the cluster's folder, or one of our own where none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; in a single process without one, a temporary folder of its own."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "korral-checkpoints"))
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if where is None and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return where or os.path.join(tempfile.gettempdir(), "korral-checkpoints")
+
+
+def shared_dir(spark: SparkSession) -> None:
+    """Make reliable checkpoints possible."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -1,20 +1,20 @@
 """Benchmark decontamination by winnowing.
 
-Every text becomes words; every ``window`` consecutive words are one window,
-fingerprinted by the smallest of its k-gram hashes.  With ``k + w - 1 = window``
-a window is exactly one winnowing window of ``w`` k-grams, so two texts that
-share a span of ``window`` words keep the same fingerprint for it: no shared
-span of that length can be missed.  Training windows whose fingerprint occurs
-among the benchmark's are extended to the whole window (by the hash of all its
-words), joined with the benchmark's windows, and the hit words are the union of
-the windows that match.
+Every text becomes words; of every ``window`` consecutive words the smallest
+k-gram hash is kept, its fingerprint.  With ``k + w - 1 = window`` such a window is
+exactly one winnowing window of ``w`` k-grams, so two texts that share a span of
+``window`` words keep the same fingerprint for it: no shared span of that length
+can be missed.  Documents and benchmark are joined on their fingerprints; every
+hit is extended to the window around it and the words themselves are compared.
+The hit words are the union of the windows that match.
 
 Scale: one scan of the documents; what leaves it is a row per document and the
-windows that pass two bitmaps of the benchmark's fingerprints.  The bitmaps
-have at most ``2 ** MAX_BITS`` bits (16 MB) whatever the benchmark's size; when
-they saturate they let more windows through and the join stays exact.  The join
-is a shuffle join on the window, so a passage in a third of all documents is
-a skewed key with one row on the benchmark's side, which AQE splits.
+windows, with their words, whose fingerprint and hash of all words pass bitmaps
+of the benchmark's (at most ``2 ** MAX_BITS`` bits, 16 MB each, whatever the
+benchmark's size; full ones let more windows through and change no result).  The
+join's side of the benchmark has one row per distinct window, so a passage in a
+third of all documents is a skewed key with one row on the other side, which AQE
+splits.  Items are looked up by distinct window of a document, as rows.
 
 Edge cases: a null or wordless text has no words and is never contaminated; an
 item with fewer than ``window`` words is one window of its own length; a
@@ -37,7 +37,7 @@ from korral.llm import _kernel as K
 
 WINDOW, GRAM = 13, 5
 MAX_BITS = 27
-_HITS = "array<struct<start:int,size:int,win:bigint>>"
+_HITS = "array<struct<start:int,size:int,fp:bigint,words:string>>"
 
 
 def _windows(words: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,6 +57,11 @@ def _windows(words: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray,
     return at, low[at] ^ np.uint64(size), K.gram_hash(words, size)[at]
 
 
+def _words(data: np.ndarray, s: np.ndarray, e: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[str]:
+    """The words of windows, A-Z in lower case, one space between them."""
+    return [b" ".join(K.LOWER[data[s[j] : e[j]]].tobytes() for j in range(i, i + n)).decode("utf-8", "surrogateescape") for i, n in zip(at.tolist(), size.tolist(), strict=True)]
+
+
 def _item_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, hi, data, offs in K.slices(b.column("text")):
@@ -67,19 +72,18 @@ def _item_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
             for size in np.unique(np.minimum(count[count > 0], window)):
                 if size == window:
                     at, fp, win = _windows(words, row, window)
-                    own = row[at]
                 else:
-                    short = np.flatnonzero(count == size)
-                    at = np.searchsorted(row, short)
+                    at = np.searchsorted(row, np.flatnonzero(count == size))
                     grams = [_windows(words[a : a + size], np.zeros(size, int), int(size)) for a in at]
-                    own, fp, win = short, np.concatenate([g[1] for g in grams]), np.concatenate([g[2] for g in grams])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(own)), pa.array(np.full(len(own), size), pa.int32()), pa.array(fp.view(np.int64)), pa.array(win.view(np.int64))], ["item_id", "size", "fp", "win"])
+                    fp, win = np.concatenate([g[1] for g in grams]), np.concatenate([g[2] for g in grams])
+                text = _words(data, s, e, at, np.full(len(at), size))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[at])), pa.array(np.full(len(at), size), pa.int32()), pa.array(fp.view(np.int64)), pa.array(win.view(np.int64)), pa.array(text, pa.string())], ["item_id", "size", "fp", "win", "words"])
 
 
 def windows_of_items(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct (item_id, size, fp, win) of the benchmark."""
+    """Distinct (item_id, size, fp, win, words) of the benchmark's windows."""
     kind = items.schema["item_id"].dataType.simpleString()
-    return items.select("item_id", "text").mapInArrow(lambda it: _item_windows(it, window), f"item_id {kind}, size int, fp bigint, win bigint").distinct()
+    return items.select("item_id", "text").mapInArrow(lambda it: _item_windows(it, window), f"item_id {kind}, size int, fp bigint, win bigint, words string").distinct()
 
 
 def scan(docs: DataFrame, item_windows: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -88,7 +92,7 @@ def scan(docs: DataFrame, item_windows: DataFrame, window: int = WINDOW) -> Data
     n, sizes = item_windows.agg(F.count("*"), F.collect_set("size")).first()
     fps, wins = (spark.sparkContext.broadcast(K.bitmap(item_windows, c, K.bitmap_bits(n, MAX_BITS))) for c in ("fp", "win"))
     sizes = sorted(int(x) for x in sizes)
-    kind = pa.struct([("start", pa.int32()), ("size", pa.int32()), ("win", pa.int64())])
+    kind = pa.struct([("start", pa.int32()), ("size", pa.int32()), ("fp", pa.int64()), ("words", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,14 +106,14 @@ def scan(docs: DataFrame, item_windows: DataFrame, window: int = WINDOW) -> Data
                     at, fp, win = _windows(words, row, size)
                     ok = np.flatnonzero(K.in_bitmap(fps.value, fp))
                     ok = ok[K.in_bitmap(wins.value, win[ok])]
-                    found.append((at[ok], np.full(len(ok), size, np.int32), win[ok]))
+                    found.append((at[ok], np.full(len(ok), size, np.int32), fp[ok]))
                 at = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
                 size = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int32)
-                win = np.concatenate([f[2] for f in found]) if found else np.zeros(0, np.uint64)
+                fp = np.concatenate([f[2] for f in found]) if found else np.zeros(0, np.uint64)
                 order = np.argsort(at, kind="stable")
-                at, size, win = at[order], size[order], win[order]
+                at, size, fp = at[order], size[order], fp[order]
                 own = row[at]
-                hits = pa.StructArray.from_arrays([pa.array((at - first[own]).astype(np.int32)), pa.array(size), pa.array(win.view(np.int64))], fields=list(kind))
+                hits = pa.StructArray.from_arrays([pa.array((at - first[own]).astype(np.int32)), pa.array(size), pa.array(fp.view(np.int64)), pa.array(_words(data, s, e, at, size), pa.string())], fields=list(kind))
                 per = np.bincount(own, minlength=hi - lo)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(per))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("uid").slice(lo, hi - lo), pa.array(count, pa.int64()), pa.ListArray.from_arrays(offsets, hits)], ["doc_id", "uid", "n_words", "hits"])
@@ -127,12 +131,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     wins = K.cut(windows_of_items(items, window))
     rows = K.cut(scan(docs, wins, window))
     hits = rows.where(F.size("hits") > 0).select("uid", F.inline("hits"))
-    # One row per distinct window on the build side; its items are looked up after the documents' windows are grouped.
-    met = hits.join(wins.groupBy("size", "win").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids")), ["size", "win"])
-    per = met.groupBy("uid").agg(
-        F.sort_array(F.collect_set(F.struct("start", "size"))).alias("windows"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("item_ids"),
-    )
+    # Fingerprints meet; a hit holds if all words of the two windows are the same.
+    own = wins.select("size", "fp", F.col("words").alias("item_words")).distinct()
+    met = hits.join(own, ["size", "fp"]).where("words = item_words").select("uid", "start", "size", "words")
+    met = K.cut(met)
+    per = met.groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("windows"))
+    named = met.select("uid", "words").distinct().join(wins.select("words", F.col("item_id").cast("string").alias("item")).distinct(), "words").select("uid", "item").distinct()
+    per = per.join(named.groupBy("uid").agg(F.array_sort(F.collect_list("item")).alias("item_ids")), "uid")
     # The union of the windows: carry the words covered and the end of what is covered along the sorted starts.
     covered = F.expr(
         """aggregate(windows, named_struct('n', 0L, 'end', 0), (a, x) -> named_struct(

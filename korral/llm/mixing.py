@@ -101,10 +101,11 @@ def flow(patterns: dict[tuple, int], quotas: dict, repeats: int = REPEATS) -> di
             graph[e[0]][e[3]][1] += push
 
 
-def seeded(doc_id: Column, seed: str = SEED) -> Column:
-    """A seeded hash of 60 bits, the same in any SQL engine with md5."""
-    text = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+def seeded(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A seeded hash of 60 bits of the id and the text, so rows without an id spread, too; the same in any SQL engine with md5."""
+    part = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    told = F.concat(F.lit(seed + ":"), part(doc_id), F.lit(":"), F.md5(part(text)))
+    return F.conv(F.substring(F.md5(told), 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
 def size_of(text: Column) -> Column:
@@ -112,13 +113,13 @@ def size_of(text: Column) -> Column:
 
 
 def mix(docs: DataFrame, members: Column | None = None, keep: tuple[str, ...] = (), weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
-    """A row per document: doc_id, the ``keep`` columns, members, size, copies, taken, source_size, target.
+    """A row per document: doc_id, uid, the ``keep`` columns, members, size, copies, taken, source_size, target.
 
     ``members`` is an array of the sources a document belongs to (null stands for the null source);
     by default its column ``source`` alone.  source_size and target are those of its first member.
     """
     members = F.array("source") if members is None else members
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), *keep, F.array_sort(F.array_distinct(members)).alias("members"), size_of(F.col("text")).alias("size"), seeded(F.col("doc_id"), seed).alias("h"))
+    rows = docs.select("doc_id", K.uid(docs).alias("uid"), *keep, F.array_sort(F.array_distinct(members)).alias("members"), size_of(F.col("text")).alias("size"), seeded(F.col("doc_id"), F.col("text"), seed).alias("h"))
     rows = K.cut(rows)
     sums = rows.groupBy("members").agg(F.sum("size").alias("size"))
     found = sums.limit(MAX_PATTERNS + 1).collect()
@@ -159,4 +160,4 @@ def mix(docs: DataFrame, members: Column | None = None, keep: tuple[str, ...] =
     flip = F.broadcast(flip.select(F.col("b.uid").alias("flip")))
     copies = F.col("passes") + (F.col("more") != F.col("flip").isNotNull()).cast("bigint")
     out = rows.join(flip, F.col("uid") == F.col("flip"), "left").withColumn("copies", copies)
-    return out.select("doc_id", *keep, "members", "size", "copies", (F.col("copies") * F.col("size")).alias("taken"), "source_size", "target")
+    return out.select("doc_id", "uid", *keep, "members", "size", "copies", (F.col("copies") * F.col("size")).alias("taken"), "source_size", "target")

@@ -62,5 +62,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes: doc_id, source, size, copies, taken, source_size, target."""
-    return mix(docs, keep=("source",)).where("copies > 0").drop("members", "uid")
+    """The documents that the mix takes, with all their columns and copies, taken, size, source_size, target (after ``mix_`` where the documents have such a column)."""
+    docs = K.fixed(docs)
+    taken = K.cut(mix(docs).where("copies > 0").select("uid", "copies", "taken", "size", "source_size", "target"))
+    names = {c: f"mix_{c}" if c in {x.lower() for x in docs.columns} else c for c in taken.columns[1:]}
+    if taken.count() <= BROADCAST_ROWS:
+        taken = F.broadcast(taken)  # so the texts needn't move
+    row = docs.select(F.struct("*").alias("row"), K.uid(docs).alias("uid")).join(taken, "uid")
+    return row.select("row.*", *(F.col(c).alias(n) for c, n in names.items()))
