@@ -7,14 +7,12 @@ costs no earlier stage.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from korral.llm import stages
+from korral.llm import _kernel, stages
 
 #: (name, function) in order; a function takes (spark, docs, sf_dir) and returns a DataFrame.
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -29,19 +27,20 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of our own where none is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return where or os.path.join(tempfile.gettempdir(), "korral-checkpoints")
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents."""
+    """Apply the stages to documents; what a stage has written goes once the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    out = f"{_kernel.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{out}/{i}-{name}")
             docs = spark.read.parquet(f"{out}/{i}-{name}")
+            if i:
+                _remove(spark, f"{out}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
+
+
+def _remove(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
