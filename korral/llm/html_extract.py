@@ -33,8 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S)
+#: Quotes hold a tag's end off only where they follow "="; possessive, so that no page takes more than one pass.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+", re.S)
 #: Elements whose content is not text of the page; those of RAW hold no tags.
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 SILENT = RAW | frozenset("head template noscript svg math object select datalist canvas audio video".split())
@@ -70,12 +71,37 @@ class Block:
     label: bool = False
 
 
-@dataclass
+@dataclass(slots=True)
 class _Open:
+    """An open element, with what is true of it and all that it stands in."""
+
     tag: str
-    hints: tuple[str, ...] = ()
-    label: bool = False
-    silent: bool = False
+    silent: bool
+    label: bool
+    linked: bool
+    block: int  # where on the stack the nearest element stands that isn't inline, -1 if none
+    near: str  # its tag
+    tags: frozenset
+    hints: frozenset
+    inside: frozenset | None  # features below the article or main element, if in one
+
+
+_ROOT = _Open("", False, False, False, -1, "none", frozenset(), frozenset(), None)
+
+
+def _opened(under: _Open, at: int, tag: str, hints: tuple[str, ...], label: bool, silent: bool) -> _Open:
+    more = frozenset([tag] if tag in TAGS else [])
+    inside = under.inside
+    if inside is not None:
+        inside = _with(inside, frozenset([*(f"in:{t}" for t in more), *(f"in:hint={h}" for h in hints)]))
+    elif tag in ("article", "main"):
+        inside = frozenset()
+    inline = tag in INLINE
+    return _Open(tag, silent or under.silent, label or under.label, under.linked or tag == "a", under.block if inline else at, under.near if inline else tag, _with(under.tags, more), _with(under.hints, frozenset(hints)), inside)
+
+
+def _with(a: frozenset, b: frozenset) -> frozenset:
+    return a if b <= a else a | b
 
 
 @functools.lru_cache(4096)
@@ -86,11 +112,23 @@ def _hints(value: str) -> tuple[str, ...]:
 
 
 def parse(page: str) -> list[Block]:
-    """The page's leaf blocks in order, with their features (and the label of ``data-main`` in training pages)."""
+    """The page's leaf blocks in order, with their features (and the label of ``data-main`` in training pages).
+
+    One pass: an open element carries what holds of all around it, and for each tag the places of its open elements are
+    known, so a tag costs the same however deep it stands.
+    """
     blocks: list[Block] = []
     stack: list[_Open] = []
+    places: dict[str, list[int]] = {}
     parts: list[str] = []
     linked = 0
+    last = page.rfind(">")  # no tag ends after this
+
+    def top() -> _Open:
+        return stack[-1] if stack else _ROOT
+
+    def lowest(tags: tuple[str, ...]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
 
     def flush() -> None:
         nonlocal linked
@@ -98,25 +136,24 @@ def parse(page: str) -> list[Block]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                blocks.append(Block(text, _features(text, stack, linked), any(o.label for o in stack)))
+                blocks.append(Block(text, _features(text, top(), linked), top().label))
         linked = 0
 
     def put(raw: str) -> None:
         nonlocal linked
-        if raw and not (stack and stack[-1].silent):
+        if raw and not top().silent:
             text = _html.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if any(o.tag == "a" for o in stack):
+            if top().linked:
                 linked += len(text)
 
-    def close(at: int) -> None:
-        if any(o.tag not in INLINE for o in stack[at:]):
-            flush()
-        del stack[at:]
+    def drop(at: int) -> None:
+        while len(stack) > at:
+            places[stack.pop().tag].pop()
 
     at = 0
     while True:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at <= last or page.find("<!", at) >= 0 or page.find("<?", at) >= 0 else None
         if m is None:
             put(page[at:])
             break
@@ -126,12 +163,11 @@ def parse(page: str) -> list[Block]:
         if not tag:
             continue
         if m[1]:  # closing tag: of the nearest open one, inline ones not across a block
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-                if tag in INLINE and stack[i].tag not in INLINE:
-                    break
+            i = lowest((tag,))
+            if i >= 0 and not (tag in INLINE and i < top().block):
+                if top().block >= i:
+                    flush()
+                drop(i)
             continue
         if tag == "br" or tag == "wbr":
             parts.append(" " if tag == "br" else "")
@@ -142,39 +178,37 @@ def parse(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             flush()
-            if tag != "body" and stack and stack[-1].tag == "head" and tag not in SILENT:
-                stack.pop()
+            if tag != "body" and top().tag == "head" and tag not in SILENT:
+                drop(len(stack) - 1)
             kin, bounds = CLOSES.get(tag, (("p",), ("article", "section", "div", "td", "li", "blockquote", "button")))
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag in kin:
-                    del stack[i:]
-                    break
-                if stack[i].tag in bounds:
-                    break
+            i = lowest(kin)
+            if i > lowest(tuple(b for b in bounds if b not in kin)):
+                drop(i)
         if tag in RAW:  # never open: what it holds is passed over. HTML ignores its slash, SVG and MathML don't
-            if not (m[3].rstrip().endswith("/") and any(o.tag in FOREIGN for o in stack)):
-                end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+            if not (m[3].rstrip().endswith("/") and any(places.get(f) for f in FOREIGN)):
+                end = _end_of(tag).search(page, at)
                 at = end.end() if end else len(page)
             continue
         attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[3])} if "=" in m[3] else {}
         value = " ".join(attrs[k] for k in ("class", "id", "role") if k in attrs)
-        silent = tag in SILENT or bool(stack and stack[-1].silent)
         if tag not in INLINE or value or tag == "a":
             if not m[3].rstrip().endswith("/") or tag in INLINE or tag in TAGS:
-                stack.append(_Open(tag, _hints(value) if value else (), "data-main" in attrs, silent))
+                places.setdefault(tag, []).append(len(stack))
+                stack.append(_opened(top(), len(stack), tag, _hints(value) if value else (), "data-main" in attrs, tag in SILENT))
     flush()
     return blocks
 
 
-def _features(text: str, stack: list[_Open], linked: int) -> list[str]:
-    tags = {o.tag for o in stack if o.tag in TAGS}
-    hints = {h for o in stack for h in o.hints}
-    inside = next((i for i, o in enumerate(stack) if o.tag in ("article", "main")), None)
-    out = [f"tag={t}" for t in tags] + [f"hint={h}" for h in hints]
-    if inside is not None:  # below the article or main element itself
-        out += [f"in:{o.tag}" for o in stack[inside + 1 :] if o.tag in TAGS] + [f"in:hint={h}" for o in stack[inside + 1 :] for h in o.hints]
-    near = next((o.tag for o in reversed(stack) if o.tag not in INLINE), "none")
-    out.append(f"leaf={near if near in TAGS else 'other'}")
+@functools.cache
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*+>?", re.I)
+
+
+def _features(text: str, at: _Open, linked: int) -> list[str]:
+    out = [f"tag={t}" for t in at.tags] + [f"hint={h}" for h in at.hints]
+    if at.inside is not None:  # below the article or main element itself
+        out += at.inside
+    out.append(f"leaf={at.near if at.near in TAGS else 'other'}")
     words = text.count(" ") + 1
     out.append(f"words={min(words.bit_length(), 7)}")
     share = linked / max(len(text), 1)
@@ -182,7 +216,7 @@ def _features(text: str, stack: list[_Open], linked: int) -> list[str]:
     out.append("stop" if text[-1] in ".!?…。؟\"”" else "nostop")
     if text[0] in "©®" or re.match(r"(?i)\(c\)|copyright\b|all rights", text):
         out.append("copyright")
-    if not (tags & {"nav", "header", "footer", "aside", "form"}) and not (hints - {"main"}):
+    if not (at.tags & {"nav", "header", "footer", "aside", "form"}) and not (at.hints - {"main"}):
         out.append("plain")
     return list(dict.fromkeys(out))
 

@@ -10,14 +10,17 @@ gradient is reversed, so the model can't drive it down by memorising positives.
 A document is described by the shape of its whole text: frequencies of pairs of
 character classes, and how much its words, word triples and lines repeat.
 
-The prior is the share of positives among the labels outside the held-out fold.
+The prior is estimated from trusted positives and unlabelled texts alone
+(:func:`estimate_prior`): a first model, fitted to one half of each, orders the
+other halves; the share of unlabelled texts above a threshold over the share of
+positives above it is least where no negative is left, and is the prior there.
 The model is fitted on the driver to bounded samples (``POSITIVES``,
 ``UNLABELLED``) and has one weight per feature; scoring is one map-only scan.
 
 Edge cases: a null text counts as empty; empty texts are scored like any other.
 Labels that repeat a doc_id count once (positive if any says so); null labels
-are left out.  Without any positive or any text to train on, every score is the
-prior (0.5 without labels).  Each input row gives one row; other columns are
+are left out.  Without any positive or any text to train on, every score is 0.5.
+Each input row gives one row; other columns are
 not read.
 """
 
@@ -123,21 +126,34 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float, rounds: int = 600, rate:
     return Model(mean, scale, x[:-1], float(x[-1]))
 
 
+def estimate_prior(pos: np.ndarray, unl: np.ndarray, sure: float = 0.1) -> float:
+    """The share of positives among the unlabelled texts, at the threshold of the least upper confidence bound."""
+    model = fit(pos[::2], unl[::2], 0.5)
+    p, u = np.sort(model.score(pos[1::2])), np.sort(model.score(unl[1::2]))
+    at = np.unique(p)
+    above = lambda x: 1 - np.searchsorted(x, at, side="left") / len(x)
+    slack = lambda x: np.sqrt(np.log(4 / sure) / (2 * len(x)))
+    bound = np.where(above(p) > 2 * slack(p), (above(u) + slack(u)) / np.maximum(above(p) - slack(p), 1e-9), np.inf)
+    best = int(np.argmin(bound))
+    return float(np.clip(above(u)[best] / above(p)[best], 0.01, 0.99))
+
+
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """Fit to trusted positives and unlabelled texts outside the held-out fold."""
-    known = labels.where("quality is not null").where(~L.held_out("doc_id", FOLDS, HELD_OUT)).groupBy("doc_id").agg(F.max("quality").alias("y"))
-    total = {int(r.y): r["count"] for r in known.groupBy("y").count().collect()}
-    n = sum(total.values())
-    prior = total.get(1, 0) / n if n else 0.5
-    flat = Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), float(np.log((prior + 1e-9) / (1 - prior + 1e-9))))
-    trusted = L.first_ids(known.where("y = 1"), positives).withColumn("y", F.lit(1))
+    """Fit to trusted positives and unlabelled texts outside the held-out fold; labels of the other kind are not used."""
+    known = labels.where("quality = 1").where(~L.held_out("doc_id", FOLDS, HELD_OUT))
+    trusted = L.first_ids(known, positives).withColumn("y", F.lit(1))
     web = L.first_ids(docs.where(~L.held_out("doc_id", FOLDS, HELD_OUT)), unlabelled).withColumn("y", F.lit(0))
     got = L.with_texts(docs, trusted.unionByName(web)).select("y", "text").mapInArrow(_sample, "y int, f array<float>").toArrow().combine_chunks()
     y = got.column("y").to_numpy()
     f = got.column("f").combine_chunks().flatten().to_numpy().reshape(len(y), -1)
-    if not n or y.all() or not y.any():
-        return flat
-    return fit(f[y == 1], f[y == 0], min(max(prior, 0.01), 0.99))
+    order = np.lexsort((*f.T[:2], *f.T[-SHAPE:]))  # whatever order the rows came in
+    y, f = y[order], f[order]
+    pos, unl = f[y == 1], f[y == 0]
+    if len(pos) < 2 or len(unl) < 2:
+        return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0)
+    mixed = np.random.default_rng(len(y))
+    pos, unl = pos[mixed.permutation(len(pos))], unl[mixed.permutation(len(unl))]
+    return fit(pos, unl, estimate_prior(pos, unl))
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:

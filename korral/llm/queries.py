@@ -61,7 +61,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", held_out("doc_id", toxicity.FOLDS, toxicity.HELD_OUT).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_sentences", F.size("offending").cast("bigint").alias("n_offending"))
+    return out.select("doc_id", held_out("doc_id", toxicity.FOLDS, toxicity.HELD_OUT).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_sentences", F.size("offending").cast("bigint").alias("n_offending"),
+                      F.array_join(F.transform("offending", lambda o: F.concat(o["start"].cast("string"), F.lit("-"), o["end"].cast("string"))), ",").alias("offending"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,9 @@ only the occurrences of those that get a weight reach the driver; scoring is one
 
 Edge cases: a null or wordless text has no sentence and score 0.  Labels that
 repeat a doc_id count once (toxic if any says so); null labels are left out.
-Without labels of both kinds every score is the share of toxic labels (0 if
-none).  Each input row gives one row; other columns are not read.
+Texts over ``learning.TRAIN_BYTES`` bytes are scored but not trained on.  Without
+texts with labels of both kinds every text with words scores 1 if there are toxic
+labels, else 0.  Each input row gives one row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -164,10 +165,10 @@ def fit(y: np.ndarray, sizes: pa.ListArray, flat: pa.ListArray, total: dict[int,
 
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """A row per document: doc_id, uid, score, n_sentences, and the offending sentences with their scores."""
+    """A row per document: doc_id, uid, score, n_sentences, and the offending sentences: score, start and end (code points of the text), text."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    kind = pa.struct([("score", pa.float64()), ("text", pa.string())])
+    kind = pa.struct([("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -185,8 +186,10 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
                 bad = np.flatnonzero(p >= threshold)
                 texts = [bytes(data[a:e]).decode("utf-8", "replace") for a, e in span[bad]]
                 per = np.bincount(row[bad], minlength=hi - lo)
-                found = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per))).astype(np.int32)), pa.StructArray.from_arrays([pa.array(p[bad], pa.float64()), pa.array(texts, pa.string())], fields=list(kind)))
+                points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80))) if len(bad) else np.zeros(1, np.int64)
+                place = points[span[bad]] - points[offs[row[bad]]][:, None] if len(bad) else np.zeros((0, 2), np.int64)
+                found = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per))).astype(np.int32)), pa.StructArray.from_arrays([pa.array(p[bad], pa.float64()), pa.array(place[:, 0], pa.int64()), pa.array(place[:, 1], pa.int64()), pa.array(texts, pa.string())], fields=list(kind)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("uid").slice(lo, hi - lo), pa.array(-np.expm1(-log_clean), pa.float64()), pa.array(np.bincount(row, minlength=hi - lo), pa.int64()), found], ["doc_id", "uid", "score", "n_sentences", "offending"])
 
     source = docs.select("doc_id", K.uid(docs).alias("uid"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, uid bigint, score double, n_sentences bigint, offending array<struct<score:double,text:string>>")
+    return source.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, uid bigint, score double, n_sentences bigint, offending array<struct<score:double,start:bigint,end:bigint,text:string>>")

@@ -168,3 +168,144 @@ def test_tables_against_their_layout(spark, sf):
         inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", b))).split()) for b in re.split(r"</?(?:p|h1)\b[^>]*>", inner))
         assert r.text == "\n".join(b for b in blocks if b)
+
+
+WORST = {"unclosed tags": "<a " * 350_000, "open blocks": "<div>x" * 60_000, "open inline": "<b class=x>" * 80_000 + "</i>" * 80_000, "stray quote": "<x " * 300_000 + '">', "open quotes": '<a href="' * 100_000,
+         "closings across a block": "<i><div>" + "<b id=q>y" * 50_000 + "</i>" * 100_000, "attribute": "<a " + "b" * 500_000 + "=>", "comments": "<!--" * 200_000, "less than": "< " * 300_000}
+
+
+@pytest.mark.parametrize("name", WORST)
+def test_malformed_pages_take_linear_time(name):
+    import time
+
+    began = time.process_time()
+    H.main_text(WORST[name], H.default_model())
+    assert time.process_time() - began < 15
+
+
+def test_stray_quotes_and_attributes():
+    blocks = H.parse("<p class='main' title=\"a > b\" data-x=1>one</p><p \">two</p><p class=>three</p><p x = 'y>z'>four")
+    assert [b.text for b in blocks] == ["one", "two", "three", "four"] and "hint=main" in blocks[0].features and "hint=main" not in blocks[1].features
+
+
+def test_prior_is_estimated_from_positives_and_unlabelled():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for share in (0.2, 0.5, 0.8):
+        pos = r.normal(2, 1, (3000, quality.FEATURES))
+        good = r.random(6000) < share
+        unl = np.where(good[:, None], r.normal(2, 1, (6000, quality.FEATURES)), r.normal(-2, 1, (6000, quality.FEATURES)))
+        assert abs(quality.estimate_prior(pos, unl) - good.mean()) < 0.05
+
+
+def test_quality_score_by_hand(spark):
+    """The vectorised features and score against one character at a time."""
+    import math
+
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    model = quality.Model(r.normal(size=quality.FEATURES), 1 + r.random(quality.FEATURES), r.normal(size=quality.FEATURES) / 20, 0.3)
+    texts = ["", "One two two three.\nOne two two three.\n", "A!!", "é à 12, x", "a b c a b c d\r\n\r\nq", " \t ", "long " * 500]
+
+    def brute(t):
+        raw, f = t.encode(), [0.0] * quality.FEATURES
+        for a, b in zip(raw, raw[1:]):
+            f[int(quality.CLASS[a]) * quality.CLASSES + int(quality.CLASS[b])] += 1
+        for i in range(quality.CLASSES**2):
+            f[i] = math.sqrt(f[i] / max(len(raw) - 1, 1))
+        w = t.split() if "\r" not in t else [x for x in t.replace("\r", " ").split()]
+        tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        lines = [x for x in t.replace("\r", "\n").split("\n") if x]
+        top = lambda x: max((x.count(y) for y in set(x)), default=0)
+        n, m = max(len(w), 1), max(len(tri), 1)
+        f[quality.CLASSES**2 :] = [math.log1p(len(raw)), math.log1p(len(w)), sum(len(x.encode()) for x in w) / n, 1 - len(set(w)) / n, top(w) / n, 1 - len(set(tri)) / m, top(tri) / m, sum(a == b for a, b in zip(w, w[1:])) / n, 1 - len(set(lines)) / max(len(lines), 1), len(lines) / n]
+        return 1 / (1 + math.exp(-(sum(min(8, max(-8, (x - mu) / s)) * c for x, mu, s, c in zip(f, model.mean, model.scale, model.weights)) + model.bias)))
+
+    got = quality.score_quality(frame(spark, [(i, t, "x") for i, t in enumerate(texts)]), model).collect()
+    assert [r.score for r in sorted(got, key=lambda r: r.doc_id)] == pytest.approx([brute(t) for t in texts], abs=1e-5)
+
+
+def test_toxicity_score_by_hand(spark):
+    """The noisy-or of the sentences and their places, from a model of two words and a front."""
+    import math
+    import re
+
+    import numpy as np
+
+    from korral.llm import _kernel as K
+
+    def key(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return int(K.value_hash(K.BYTE_VALUE[K.LOWER][raw], np.array([0]), np.array([len(raw)]))[0][0])
+
+    def front(word, k):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return int(K.value_hash(K.BYTE_VALUE[K.LOWER][raw], np.array([0]), np.array([len(raw)]), (k,))[1][0][0])
+
+    known = sorted([(key("vile"), 5.0), (key("day"), -1.0), (front("slugger", 5), 2.5)])
+    keys = np.array([k for k, _ in known], np.uint64)
+    bits = np.full(1 << 19, 255, np.uint8)
+    model = toxicity.Model(keys, np.array([w for _, w in known]), -3.0, bits)
+    texts = ["A Vile day. Été, vile vile SLUGGERS! Fine", "", "...", "day", "slug vile\nsluggish x? é vile", None]
+
+    def brute(t):
+        clean, places = 1.0, []
+        for m in re.finditer(r"[^.!?\n]+", t or ""):
+            words = list(re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", m[0]))
+            if words:
+                low = [w[0].lower() for w in words]
+                z = -3 + sum(5.0 * (w == "vile") - 1.0 * (w == "day") + 2.5 * (w.startswith("slugg") and len(w) > 5) for w in low)
+                clean *= 1 - 1 / (1 + math.exp(-z))
+                if z >= 0:
+                    places.append((m.start() + words[0].start(), m.start() + words[-1].end()))
+        return 1 - clean, places
+
+    got = sorted(toxicity.score_toxicity(frame(spark, [(i, t, "x") for i, t in enumerate(texts)]), model).collect(), key=lambda r: r.doc_id)
+    for r, t in zip(got, texts):
+        score, places = brute(t)
+        assert r.score == pytest.approx(score) and [(o.start, o.end) for o in r.offending] == places and all(o.text == t[o.start : o.end] for o in r.offending)
+
+
+def test_language_score_by_hand(spark):
+    """Word-first backoff, one word at a time, with the model's own tables."""
+    import math
+
+    import numpy as np
+
+    docs = [(i, "der hund schläft nicht im haus" if i % 2 else "the dog sleeps quietly in a house", "de" if i % 2 else "en") for i in range(80)]
+    model = language_id.train(frame(spark, docs))
+
+    def table(k, text):
+        cp, at = language_id._points(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+        s, e, _, h = language_id._words(cp, at)
+        keys, values = model.tables[k]
+        look = h if k == 0 else language_id._grams(cp, s, e, k)[1]
+        return [values[i] for x in look if (i := int(np.searchsorted(keys, x))) < len(keys) and keys[i] == x]
+
+    texts = ["Der dog", "hundehaus", "quietlyhund x", "zzz", "schläfst housing 12 in"]
+    got = sorted(language_id.identify(frame(spark, [(i, t, None) for i, t in enumerate(texts)]), model).collect(), key=lambda r: r.doc_id)
+    for r, t in zip(got, texts):
+        z = np.zeros(2)
+        for w in t.split():
+            for k in (0, 5, 4, 3, 2, 1):
+                found = table(k, w)
+                if found:
+                    z += np.mean(found, 0)
+                    break
+        best = int(z.argmax())
+        assert r.lang_pred == model.langs[best] and r.score == pytest.approx(1 / sum(math.exp(x - z[best]) for x in z))
+
+
+def test_samples_are_bounded(spark):
+    """An id that repeats gives one text, long texts aren't trained on, and few ids are drawn from many without sorting all."""
+    from korral.llm import learning as L
+
+    docs = frame(spark, [(1, f"text {i}", "en") for i in range(50)] + [(2, "x" * (L.TRAIN_BYTES + 1), "en"), (3, None, "en")])
+    got = {r.doc_id: r.text for r in L.with_texts(docs, spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id long, y int")).collect()}
+    assert got == {1: "text 0", 3: None}
+    ids = spark.range(5000).withColumnRenamed("id", "doc_id").union(spark.range(20).selectExpr("id as doc_id"))
+    want = [r.doc_id for r in ids.distinct().orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(30).collect()]
+    assert sorted(r.doc_id for r in L.first_ids(ids, 30).collect()) == sorted(want)
+    assert L.first_ids(ids.where("doc_id < 3"), 30).count() == 3 and L.first_ids(spark.range(5000).selectExpr("1L as doc_id"), 30).count() == 1
