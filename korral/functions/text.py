@@ -18,25 +18,27 @@ TAIL_CHARS, BLOCK_CHARS = 4096, 40
 #: The extraction policies.
 POLICIES = ("boxed_strict", "boxed_last", "last_int", "answer_is")
 #: The patterns of a box, an integer and a stated answer.
-_BOX = re.compile(r"\\boxed\s*\{")
+_BOX, _BRACE = re.compile(r"\\boxed\s*\{"), re.compile(r"[{}]")
 INTEGER = r"-?\d[\d,]*"
 STATED = r"(?:final answer|answer)\s*(?:is|:)\s*\$?\\?\(?\s*(-?[\d,]+|[^\s.$]{1,40})"
 
 
 def boxed_items(text: str | None) -> list[str]:
     """Stripped contents of the outermost balanced ``\\boxed{...}``; a box that never closes is passed over."""
+    if not text or "\\boxed" not in text:
+        return []
+    end, open_ = {}, []  # where each brace closes, in one pass
+    for m in _BRACE.finditer(text):
+        if m[0] == "{":
+            open_.append(m.start())
+        elif open_:
+            end[open_.pop()] = m.start()
     found, at = [], 0
-    text = text or ""
     while (m := _BOX.search(text, at)) is not None:
-        depth, i = 1, m.end()
-        while i < len(text) and depth:
-            depth += (text[i] == "{") - (text[i] == "}")
-            i += 1
-        if depth:
-            at = m.end()
-        else:
-            found.append(text[m.end() : i - 1].strip())
-            at = i
+        at, close = m.end(), end.get(m.end() - 1)
+        if close is not None:
+            found.append(text[at:close].strip())
+            at = close + 1
     return found
 
 
@@ -50,24 +52,23 @@ def unwrap(item: str, rounds: int = 4) -> str:
     return item
 
 
-@F.pandas_udf(ST.ArrayType(ST.StringType()))
-def iter_boxed(text: pd.Series) -> pd.Series:
-    """All outermost boxes of each text."""
-    return text.map(boxed_items)
-
-
 @F.pandas_udf(ST.StructType([ST.StructField("strict", ST.StringType()), ST.StructField("last", ST.StringType())]))
 def _boxed(text: pd.Series) -> pd.DataFrame:
     items = text.map(lambda t: [unwrap(x) for x in boxed_items(t)])
     return pd.DataFrame({"strict": items.map(lambda x: (x[0] or None) if len(x) == 1 else None), "last": items.map(lambda x: (x[-1] or None) if x else None)})
 
 
+def _boxes(text: Column) -> Column:
+    """The boxes of a text; Python is handed only texts that have any."""
+    return _boxed(F.when(F.contains(text, F.lit("\\boxed")), text))
+
+
 def extract(text: Column, policy: str) -> Column:
     """The answer that a policy reads from a completion, or null."""
     if policy == "boxed_strict":
-        return _boxed(text)["strict"]
+        return _boxes(text)["strict"]
     if policy == "boxed_last":
-        return _boxed(text)["last"]
+        return _boxes(text)["last"]
     if policy == "last_int":
         return F.replace(F.try_element_at(F.regexp_extract_all(text, F.lit("(?U)" + INTEGER), F.lit(0)), F.lit(-1)), F.lit(","))
     if policy == "answer_is":
@@ -78,7 +79,7 @@ def extract(text: Column, policy: str) -> Column:
 
 def extract_all(text: Column) -> Column:
     """A struct of all policies' answers; the boxes are scanned once."""
-    box = _boxed(text)
+    box = _boxes(text)
     return F.struct(box["strict"].alias("boxed_strict"), box["last"].alias("boxed_last"), extract(text, "last_int").alias("last_int"), extract(text, "answer_is").alias("answer_is"))
 
 
@@ -100,8 +101,8 @@ def answer_token_pos(text: Column, start: Column, n_tokens: Column) -> Column:
 
 def repetition_ratio(text: Column, block: int = BLOCK_CHARS) -> Column:
     """1 - distinct / all of the text's consecutive blocks; 0 for texts under two blocks."""
-    starts = F.sequence(F.lit(0), F.length(text) - block - 1, F.lit(block))
-    blocks = F.transform(starts, lambda i: F.substr(text, i + 1, F.lit(block)))
+    # One pass over the text; a block that would end with it is none.
+    blocks = F.slice(F.regexp_extract_all(text, F.lit(f"(?s).{{{block}}}"), F.lit(0)), F.lit(1), F.ceil((F.length(text) - block) / block).cast("int"))
     ratio = F.lit(1.0) - F.size(F.array_distinct(blocks)) / F.size(blocks)
     return F.when(F.coalesce(F.length(text), F.lit(0)) < 2 * block, F.lit(0.0)).otherwise(ratio)
 
@@ -114,7 +115,7 @@ def as_int(answer: Column) -> Column:
     """An integer answer in canonical form (a string, so of any length), or null."""
     strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     bare = strip(F.translate(strip(answer), ",$", ""))
-    bare = F.regexp_replace(bare, r"(?s)^\\text\{(.*)\}$", "$1")
+    bare = strip(F.regexp_replace(bare, r"(?s)^\\text\{(.*)\}$", "$1"))
     digits = F.regexp_replace(F.regexp_replace(bare, r"^[+-]", ""), r"^0+(?=\d)", "")
     sign = F.when(F.startswith(bare, F.lit("-")) & (digits != "0"), F.lit("-")).otherwise(F.lit(""))
     return F.when(bare.rlike(r"^[+-]?[0-9]+$"), F.concat(sign, digits))

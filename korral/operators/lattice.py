@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from korral.functions.stats import pass_at_k
@@ -153,8 +154,6 @@ def decomposition(gaps: DataFrame, players: tuple[str, ...] = CONFOUNDS, atol: f
 
 def waterfall(rows: DataFrame) -> DataFrame:
     """Running gap after taking the parts out in order: (ord, confound, shapley, running)."""
-    from pyspark.sql import Window as W
-
     players = rows.where("confound <> 'C1'")
     raw = rows.agg(F.sum("shapley").alias("raw"))  # parts and residual add up to the raw gap
     run = F.sum("shapley").over(W.orderBy("confound").rowsBetween(W.unboundedPreceding, 0))  # six rows
@@ -165,7 +164,7 @@ def bootstrap_shapley(samples: DataFrame, draws: DataFrame, settings: Settings =
     """(confound, lo, hi, n_boot_ok): percentile intervals of the Shapley values over cluster resamples of problems.
 
     Budgets and token means are those of each replicate.  A replicate's budget is the largest of its
-    problems' last base positions, so the samples are counted once per distinct budget, not per replicate.
+    problems' last base positions, read off running sums over the positions; the samples are counted once.
     Replicates in which a subset keeps no problem are dropped.
     """
     from korral.operators.bootstrap import numbered
@@ -176,9 +175,18 @@ def bootstrap_shapley(samples: DataFrame, draws: DataFrame, settings: Settings =
     facts = numbered(facts)
     guard = lambda c: F.coalesce(F.nullif(c, F.lit(0.0)), F.lit(1.0))
     reps = draws.join(facts, "pos").groupBy("rep").agg(F.max("last").alias("budget"), guard(F.sum(F.col("m") * F.col("tb")) / F.sum("m")).alias("tok_base"), guard(F.sum(F.col("m") * F.col("tr")) / F.sum("m")).alias("tok_rl"))
-    budgets = reps.select("budget").distinct()
-    counts = lambda arm: F.array(*(F.count_if(arm & adjusted(F.col("budget"), m)) for m in range(8)))
-    per = samples.crossJoin(budgets).groupBy("dataset_key", "problem_idx", "budget").agg(counts(base).alias("cb"), counts(rl).alias("cr"), F.max("release_date").alias("release_date"), F.first("n").alias("n"))
+    # The samples are counted once, by problem and answer position; a budget reads the running sum up to it.
+    key, arms = ["dataset_key", "problem_idx"], {"b": base, "r": rl}
+    names = [f"{a}{m}" for a in arms for m in range(4)]
+    hits = [F.count_if(arm & adjusted(F.lit(0), m)).alias(f"{a}{m}") for a, arm in arms.items() for m in range(4)]
+    by_pos = samples.groupBy(*key, F.when(F.col("answer_token_pos") >= 0, F.col("answer_token_pos")).alias("at")).agg(*hits, F.max("release_date").alias("release_date"), F.first("n").alias("n"))
+    whole = by_pos.groupBy(*key).agg(*(F.sum(c).alias(c) for c in names), F.max("release_date").alias("release_date"), F.first("n").alias("n"))
+    asked = whole.select(*key).crossJoin(reps.select(F.col("budget").alias("at")).distinct())
+    steps = by_pos.where("at is not null").select(*key, "at", F.lit(0).alias("ask"), *names).unionByName(asked.withColumns({"ask": F.lit(1)} | {c: F.lit(0).cast("bigint") for c in names}))
+    upto = W.partitionBy(*key).orderBy("at", "ask").rowsBetween(W.unboundedPreceding, 0)
+    upto = steps.select(*key, F.col("at").alias("budget"), "ask", *(F.sum(c).over(upto).alias(f"{c}_") for c in names)).where("ask = 1").drop("ask")
+    counts = lambda a: F.array(*(F.col(f"{a}{m}") for m in range(4)), *(F.col(f"{a}{m}_") for m in range(4)))
+    per = upto.join(whole, key).select(*key, "budget", counts("b").alias("cb"), counts("r").alias("cr"), "release_date", "n")
     per = per.join(facts.select("dataset_key", "problem_idx", "pos"), ["dataset_key", "problem_idx"])
     met = draws.join(reps, "rep").join(per, ["pos", "budget"])
     k_base = F.least(F.lit(settings.k_max), F.col("n")).cast("bigint")

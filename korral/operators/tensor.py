@@ -59,25 +59,23 @@ def truncated(df: DataFrame, strict: bool = False) -> DataFrame:
 
     ``strict``: differing counts within an arm are an error; across arms the smaller count holds.
     """
-    by = W.partitionBy(*KEY)
-    df = df.withColumn("rank_", F.row_number().over(by.orderBy("sample_idx")))
-    n = group_sizes(df)
+    by = W.partitionBy(*KEY).orderBy("sample_idx")
+    ranked = df.withColumns({"rank_": F.row_number().over(by), "no_": F.dense_rank().over(by)})
     if strict and (bad := ragged_arms(df).where("ragged").limit(3).collect()):
         raise ValueError(f"ragged arms: {[(r.model_key, r.dataset_key, r.n_min, r.n_max) for r in bad]}")
-    least = n.agg(F.min("n_raw").alias("n"))  # one row
-    return df.join(F.broadcast(least), F.col("rank_") <= F.col("n")).drop("rank_")
+    # A key's distinct samples are its last dense rank: no second shuffle of the samples.
+    least = ranked.groupBy(*KEY).agg(F.max("no_").alias("n")).agg(F.min("n").cast("bigint").alias("n"))  # one row
+    return ranked.join(F.broadcast(least), F.col("rank_") <= F.col("n")).drop("rank_", "no_")
 
 
-def grid(df: DataFrame) -> DataFrame:
-    """Every model with every problem that any model has."""
-    return df.select("model_key").distinct().crossJoin(F.broadcast(df.select("dataset_key", "problem_idx").distinct()))
-
-
-def dense_counts(df: DataFrame, correct: Column, n_of: DataFrame | None = None) -> DataFrame:
-    """c of every model and problem of the grid: a problem without rows counts as all wrong."""
+def dense_counts(df: DataFrame, correct: Column) -> DataFrame:
+    """c of every model with every problem that any model has: a problem without rows counts as all wrong."""
     counts = df.groupBy(*KEY).agg(F.count_if(correct).alias("c"), F.first("n").alias("n"))
-    n = counts.agg(F.max("n").alias("n"))
-    return grid(counts).join(counts.drop("n"), list(KEY), "left").crossJoin(F.broadcast(n)).withColumn("c", F.coalesce("c", F.lit(0)).cast("bigint"))
+    own = F.map_from_entries(F.collect_list(F.struct("model_key", "c"))).alias("own")
+    problems = counts.groupBy("dataset_key", "problem_idx").agg(own)  # an entry per model
+    facts = counts.agg(F.array_sort(F.collect_set("model_key")).alias("models"), F.max("n").alias("n"))  # one row
+    each = problems.crossJoin(F.broadcast(facts)).select(F.explode("models").alias("model_key"), "dataset_key", "problem_idx", "own", "n")
+    return each.select(*KEY, F.coalesce(F.try_element_at("own", F.col("model_key")), F.lit(0)).cast("bigint").alias("c"), "n")
 
 
 def absent_problems(df: DataFrame, expected: DataFrame) -> DataFrame:

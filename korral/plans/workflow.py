@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +11,7 @@ from korral.functions import ids
 from korral.functions import text as T
 from korral.operators import grading, planning, verify
 from korral.plans.adapter import table
+from korral.sources import tree
 from korral.streaming import incremental
 
 QUERIES, ORACLES = {}, {}
@@ -74,7 +73,7 @@ UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, false, NULL FRO
 def fastint_grade(spark, d):
     """Integers in four dresses, each read back to its canonical form."""
     n = F.col("l_partkey") % 50
-    dress = F.expr("case l_suppkey % 4 when 0 then concat(' $', cast(l_partkey % 50 as string), '$ ') when 1 then concat('+00', cast(l_partkey % 50 as string)) when 2 then concat('\\\\text{', cast(l_partkey % 50 as string), '}') else 'x+1' end")
+    dress = F.expr("case l_suppkey % 4 when 0 then concat(' $', cast(l_partkey % 50 as string), '$ ') when 1 then concat('+00', cast(l_partkey % 50 as string)) when 2 then concat('\\\\text{ ', cast(l_partkey % 50 as string), ' }') else 'x+1' end")
     rows = table(spark, d, "lineitem").select(*_KEYS.split(", "), n.cast("string").alias("gold"), dress.alias("raw"))
     return rows.select(*_KEYS.split(", "), grading.fastint(F.col("gold"), F.col("raw")).alias("correct"), T.as_int(F.col("raw")).alias("pred"))
 
@@ -258,15 +257,12 @@ def grade_wide(spark, d):
 
 @query("streaming_event_windows", "SELECT time_bucket(INTERVAL 1 day, ts::TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def streaming_event_windows(spark, d):
-    """Drain the events as a stream with a watermark; complete mode returns every window."""
+    """Drain the events as a stream with a watermark; complete mode hands every window to a Parquet sink. Each run has its own folder."""
     schema = table(spark, d, "events").schema
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    local = None if where else tempfile.mkdtemp(prefix="korral-stream-")
-    name = f"windows_{abs(hash((d, id(spark))))}"
+    where = f"{tree.shared_folder(spark)}/windows-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    q = incremental.windowed_events(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", os.path.join(where or local, f"{name}-{os.getpid()}")).trigger(availableNow=True).start()
+    sink = lambda batch, _: batch.write.mode("overwrite").parquet(f"{where}/out")
+    q = incremental.windowed_events(stream).writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    if local:
-        shutil.rmtree(local, ignore_errors=True)
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+    return spark.read.parquet(f"{where}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
