@@ -9,8 +9,6 @@ slice of its own), which bounds a worker's memory whatever the batch holds.
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +18,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from korral.sources.tree import shared_folder
+
 SLICE_BYTES = 1 << 19
 
 _U = np.uint64
@@ -190,15 +190,6 @@ def in_bitmap(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; in a single process without one, a temporary folder of its own."""
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if where is None and not (sc.master == "local" or sc.master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return where or os.path.join(tempfile.gettempdir(), "korral-checkpoints")
-
-
 def shared_dir(spark: SparkSession) -> None:
     """Make reliable checkpoints possible."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
