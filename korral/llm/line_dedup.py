@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from korral.llm import _kernel as K
 from korral.llm.ngram_join import MAX_BITS, PERCENT, _linked, _need, _short
 
-SLOTS = 18
+SLOTS = 16
 #: Entries of the prefixes in a block, the least number of blocks, and entries in a map task's buffer.
 BLOCK_ENTRIES, BLOCKS, BUFFER = 500_000, 12, 500_000
 _ENTRY = np.dtype([("token", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("id", "<u8"), ("bits", "<u8")])
@@ -82,7 +82,7 @@ def _slot(words: np.ndarray) -> np.ndarray:
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per line that has words, and at the end the words' counts by slot."""
     counts, kind = np.zeros(1 << SLOTS, np.int64), None
-    names = ["doc_id", "uid", "line", "n", "key", "slot", "count"]
+    names = ["doc_id", "uid", "line", "n", "key", "counts"]
     for b in batches:
         kind = b.schema.field("doc_id").type
         for lo, _, data, offs in K.slices(b.column("text")):
@@ -90,13 +90,11 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, _, _, n, keys = _sets(data, at)
             counts += np.bincount(_slot(words), minlength=1 << SLOTS)
             some = np.flatnonzero(n)
-            take, raw, none = pa.array(lo + row[some]), keys[some].tobytes(), pa.nulls(len(some), pa.int64())
+            take, raw = pa.array(lo + row[some]), keys[some].tobytes()
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("uid").take(take), pa.array(place[some], pa.int32()), pa.array(n[some], pa.int64()),
-                                              pa.array([raw[i * 16 : i * 16 + 16] for i in range(len(some))], pa.binary()), none, none], names)
-    slots = np.flatnonzero(counts)
-    for lo in range(0, len(slots), 1 << 16):
-        x = slots[lo : lo + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(x), t) for t in (kind, pa.int64(), pa.int32(), pa.int64(), pa.binary())), pa.array(x, pa.int64()), pa.array(counts[x], pa.int64())], names)
+                                              pa.array([raw[i * 16 : i * 16 + 16] for i in range(len(some))], pa.binary()), pa.nulls(len(some), pa.list_(pa.int64()))], names)
+    if kind is not None:
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (kind, pa.int64(), pa.int32(), pa.int64(), pa.binary())), K.lists(counts, np.array([1 << SLOTS]), pa.int64())], names)
 
 
 def _deal(batches: Iterator[pa.RecordBatch], blocks: int, counts, percent: int) -> Iterator[pa.RecordBatch]:
@@ -179,7 +177,7 @@ def _partners(table: pa.Table, percent: int) -> pa.Table:
         found[a[ok]] = found[b[ok]] = True
         step += 1
     e = e[found]
-    return pa.table({"token": pa.array((block << 32) + e["token"].astype(np.int64)), "id": pa.array(e["id"].view(np.int64)), "n": pa.array(e["n"].astype(np.int64)), "pos": pa.array(e["pos"].astype(np.int64)), "bits": pa.array(e["bits"].view(np.int64))})
+    return pa.table({"token": pa.array((block << 32) + e["token"].astype(np.int64)), "id": pa.array(e["id"].view(np.int64)), "n": pa.array(e["n"].astype(np.int32)), "pos": pa.array(e["pos"].astype(np.int32)), "bits": pa.array(e["bits"].view(np.int64))})
 
 
 def _read(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
@@ -200,33 +198,35 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     source = docs.select("doc_id", K.uid(docs).alias("uid"), F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    told = K.cut(source.mapInArrow(_lines, f"doc_id {kind}, uid bigint, line int, n bigint, key binary, slot bigint, count bigint"))
+    told = K.cut(source.mapInArrow(_lines, f"doc_id {kind}, uid bigint, line int, n bigint, key binary, counts array<bigint>"))
     counts = np.zeros(1 << SLOTS, np.int64)
-    for r in told.where("slot is not null").groupBy("slot").agg(F.sum("count").alias("n")).collect():  # a bounded number of slots
+    for r in told.where("counts is not null").select(F.posexplode("counts").alias("slot", "n")).groupBy("slot").agg(F.sum("n").alias("n")).collect():  # a row per slot
         counts[r.slot] = r.n
     rows = told.where("key is not null").select("doc_id", "uid", "line", "n", "key")
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "line")
-    records = rows.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"))
-    records = K.cut(records.withColumn("short", _short("key")))
+    records = K.cut(rows.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n")))
     entries = records.agg(F.coalesce(F.sum(F.expr(f"n - ceil({percent} * n / 100D) + 1")), F.lit(0)).cast("bigint")).first()[0]
     blocks = max(BLOCKS, -(-int(entries) // BLOCK_ENTRIES))
     order = spark.sparkContext.broadcast(counts)
     dealt = source.select("text").mapInArrow(lambda it: _deal(it, blocks, order, percent), "block bigint, entries binary")
-    post = K.cut(dealt.groupBy("block").applyInArrow(lambda t: _partners(t, percent), "token bigint, id bigint, n bigint, pos bigint, bits bigint"))
+    post = K.cut(dealt.groupBy("block").applyInArrow(lambda t: _partners(t, percent), "token bigint, id bigint, n int, pos int, bits bigint"))
 
-    # The records with a partner, under ids of their own where two keys share their front (practically never: then both are met).
-    held = K.cut(records.join(post.select(F.col("id").alias("short")).distinct(), "short").select("key", "short", "first"))
+    # The records with a partner, numbered in the order of the corpus. Where two keys share their front (practically
+    # never) both are met under it.
+    held = records.withColumn("short", _short("key")).join(post.select(F.col("id").alias("short")).distinct(), "short").select("key", "short", "first")
+    held = K.cut(held.orderBy("first").select("key", "short", F.monotonically_increasing_id().alias("at")))
     bits = spark.sparkContext.broadcast(K.bitmap(held, "short", K.bitmap_bits(held.count(), MAX_BITS)))
     words = source.select("text").mapInArrow(lambda it: _read(it, bits), "key binary, words array<bigint>").groupBy("key").agg(F.first("words").alias("words"))
-    sets = K.cut(held.select("key").join(words, "key"))
-    post = post.withColumnRenamed("id", "short").join(held, "short").drop("short")
+    sets = K.cut(held.select("key", "at").join(words, "key").select("at", "words"))
+    post = post.withColumnRenamed("id", "short").join(held.select("short", "at"), "short").select("token", "at", "n", "pos", "bits")
 
-    star = post.groupBy("token").agg(F.min(F.struct("first", "key", "n", "pos", "bits")).alias("c"))
-    star = star.select("token", *(F.col(f"c.{x}").alias(f"{x}2") for x in ("first", "key", "n", "pos", "bits")))
+    star = post.groupBy("token").agg(F.min(F.struct("at", "n", "pos", "bits")).alias("c"))
+    star = star.select("token", *(F.col(f"c.{x}").alias(f"{x}2") for x in ("at", "n", "pos", "bits")))
     late = K.cut(_matched(post.join(star, "token"), sets, percent))
-    open_ = post.join(late, "key", "left_anti")
-    other = post.select("token", *(F.col(x).alias(f"{x}2") for x in ("first", "key", "n", "pos", "bits")))
-    late = K.cut(late.union(_matched(open_.join(other, "token"), sets, percent)).distinct())
+    open_ = post.join(late, "at", "left_anti")
+    other = post.select("token", *(F.col(x).alias(f"{x}2") for x in ("at", "n", "pos", "bits")))
+    late = late.union(_matched(open_.join(other, "token"), sets, percent)).distinct()
+    late = K.cut(late.join(held.select("at", "key"), "at").select("key"))
 
     firsts = records.join(late, "key", "left_semi").select(F.col("first.uid").alias("uid"), F.col("first.line").alias("line"))
     again = rows.join(records.where("copies > 1").select("key", "first"), "key").where("not (uid = first.uid and line = first.line)").select("uid", "line")
@@ -234,12 +234,12 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def _matched(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Keys of the records that match an earlier one, of the pairs that meet in a token."""
+    """Numbers of the records that match an earlier one, of the pairs that meet in a token."""
     need = _need("n", "n2", percent)
-    filters = f"first2 < first and least(n, n2) * 100 >= {percent} * greatest(n, n2) and least(n - pos, n2 - pos2) >= {need} and bit_count(bits ^ bits2) <= n + n2 - 2 * {need}"
-    pairs = met.where(filters).select("key", "n", "key2", "n2").distinct()
-    both = pairs.join(sets.withColumnRenamed("words", "a"), "key").join(sets.select(F.col("key").alias("key2"), F.col("words").alias("b")), "key2")
-    return both.withColumn("overlap", F.size(F.array_intersect("a", "b"))).where(_linked(percent)).select("key").distinct()
+    filters = f"at2 < at and least(n, n2) * 100 >= {percent} * greatest(n, n2) and least(n - pos, n2 - pos2) >= {need} and bit_count(bits ^ bits2) <= n + n2 - 2 * {need}"
+    pairs = met.where(filters).select("at", "n", "at2", "n2").distinct()
+    both = pairs.join(sets.withColumnRenamed("words", "a"), "at").join(sets.select(F.col("at").alias("at2"), F.col("words").alias("b")), "at2")
+    return both.withColumn("overlap", F.size(F.array_intersect("a", "b"))).where(_linked(percent)).select("at").distinct()
 
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
