@@ -46,6 +46,9 @@ from korral.llm.ngram_join import MAX_BITS, PERCENT, _linked, _need, _short
 SLOTS = 16
 #: Entries of the prefixes in a block, the least number of blocks, and entries in a map task's buffer.
 BLOCK_ENTRIES, BLOCKS, BUFFER = 500_000, 12, 500_000
+#: Words of 64 parities that are compared before the words themselves.
+PARITIES = 4
+_WIDE = tuple(f"p{i}" for i in range(PARITIES))
 _ENTRY = np.dtype([("token", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("id", "<u8"), ("bits", "<u8")])
 
 
@@ -188,8 +191,11 @@ def _read(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
             _, words, _, n, keys = _sets(data, at)
             keep = K.in_bitmap(bits.value, keys[:, 0]) & (n > 0)
             if keep.any():
-                raw = keys[keep].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary()), K.lists(words[np.repeat(keep, n)].view(np.int64), n[keep], pa.int64())], ["key", "words"])
+                raw, words, n = keys[keep].tobytes(), words[np.repeat(keep, n)], n[keep]
+                one, part = np.uint64(1) << (words >> np.uint64(52) & np.uint64(63)), (words >> np.uint64(58)) % np.uint64(PARITIES)
+                first = np.cumsum(n) - n
+                wide = [pa.array(np.bitwise_xor.reduceat(np.where(part == i, one, np.uint64(0)), first).view(np.int64)) for i in range(PARITIES)]
+                yield pa.RecordBatch.from_arrays([pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary()), K.lists(words.view(np.int64), n, pa.int64()), *wide], ["key", "words", *_WIDE])
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -216,8 +222,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     held = records.withColumn("short", _short("key")).join(post.select(F.col("id").alias("short")).distinct(), "short").select("key", "short", "first")
     held = K.cut(held.orderBy("first").select("key", "short", F.monotonically_increasing_id().alias("at")))
     bits = spark.sparkContext.broadcast(K.bitmap(held, "short", K.bitmap_bits(held.count(), MAX_BITS)))
-    words = source.select("text").mapInArrow(lambda it: _read(it, bits), "key binary, words array<bigint>").groupBy("key").agg(F.first("words").alias("words"))
-    sets = K.cut(held.select("key", "at").join(words, "key").select("at", "words"))
+    words = source.select("text").mapInArrow(lambda it: _read(it, bits), f"key binary, words array<bigint>, {', '.join(f'{c} bigint' for c in _WIDE)}").groupBy("key").agg(*(F.first(c).alias(c) for c in ("words", *_WIDE)))
+    sets = K.cut(held.select("key", "at").join(words, "key").drop("key"))
     post = post.withColumnRenamed("id", "short").join(held.select("short", "at"), "short").select("token", "at", "n", "pos", "bits")
 
     star = post.groupBy("token").agg(F.min(F.struct("at", "n", "pos", "bits")).alias("c"))
@@ -238,7 +244,10 @@ def _matched(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     need = _need("n", "n2", percent)
     filters = f"at2 < at and least(n, n2) * 100 >= {percent} * greatest(n, n2) and least(n - pos, n2 - pos2) >= {need} and bit_count(bits ^ bits2) <= n + n2 - 2 * {need}"
     pairs = met.where(filters).select("at", "n", "at2", "n2").distinct()
-    both = pairs.join(sets.withColumnRenamed("words", "a"), "at").join(sets.select(F.col("at").alias("at2"), F.col("words").alias("b")), "at2")
+    # The same filter with more bits, for long lines, before the words move.
+    pairs = pairs.join(sets.select("at", *_WIDE), "at").join(sets.select(F.col("at").alias("at2"), *(F.col(c).alias(f"{c}_") for c in _WIDE)), "at2")
+    pairs = pairs.where(f"{' + '.join(f'bit_count({c} ^ {c}_)' for c in _WIDE)} <= n + n2 - 2 * {need}").select("at", "n", "at2", "n2")
+    both = pairs.join(sets.select("at", F.col("words").alias("a")), "at").join(sets.select(F.col("at").alias("at2"), F.col("words").alias("b")), "at2")
     return both.withColumn("overlap", F.size(F.array_intersect("a", "b"))).where(_linked(percent)).select("at").distinct()
 
 
