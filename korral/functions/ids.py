@@ -56,6 +56,17 @@ def sampling_id(spec: dict) -> str:
     return hashlib.sha256(blob.encode()).hexdigest()[:8]
 
 
+def grading_id(graders: tuple[str, ...], policies: tuple[str, ...]) -> str:
+    """8 hex digits of a grading configuration, whatever order its graders and policies are named in."""
+    blob = json.dumps({"graders": sorted(graders), "policies": sorted(policies)}, sort_keys=True)
+    return hashlib.sha256(blob.encode()).hexdigest()[:8]
+
+
+def engine_fingerprint(backend: str, prefix_caching: bool = True) -> str:
+    """What generated a shard: the backend's version, then the settings that don't count as another engine."""
+    return f"{backend}|pfxcache={int(prefix_caching)}"
+
+
 def index_hash(rows: list[tuple[str, int]]) -> str:
     """SHA-256 of the sorted key=index lines of a registry: what a freeze commits to."""
     return hashlib.sha256("\n".join(sorted(f"{k}={i}" for k, i in rows)).encode()).hexdigest()

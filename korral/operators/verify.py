@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korral.operators import planning
@@ -83,10 +83,25 @@ def mixed_engines(markers: DataFrame) -> DataFrame:
     return _rows(mixed, "engine_mix", "error", _arm(), F.col("m").cast("string"))
 
 
-def corrupt_shards(files: DataFrame, markers: DataFrame) -> DataFrame:
-    """Shards whose bytes don't match their marker (files: path, content; markers: data_path, sha256)."""
-    got = files.select(F.col("path").alias("data_path"), F.sha2("content", 256).alias("got"))
-    return _rows(markers.join(got, "data_path", "left").where("got is null or got <> sha256"), "checksum", "error", F.lit(""), F.col("data_path"))
+def ungraded(samples: DataFrame, graded: DataFrame, require: bool = True) -> DataFrame:
+    """Certified samples that the chosen grading doesn't hold, by arm."""
+    left = samples.join(graded.select("sample_uid").distinct(), "sample_uid", "left_anti").groupBy(*ARM).agg(F.count("*").alias("m"))
+    return _rows(left, "ungraded", "error" if require else "warning", _arm(), F.col("m").cast("string"))
+
+
+def missing(spark: SparkSession, check: str, detail: str) -> DataFrame:
+    """One violation: something that every other check needs isn't there."""
+    return spark.createDataFrame([(check, "error", "", detail)], "check string, severity string, arm string, detail string")
+
+
+def corrupt_shards(files: DataFrame, rows: DataFrame, markers: DataFrame) -> DataFrame:
+    """Shards whose bytes or row count don't match their marker (files: path, content; rows: path, a row per stored row; markers: data_path, sha256, n_rows)."""
+    folder = lambda c: F.regexp_replace(F.regexp_replace(c, "/[^/]+$", ""), "^file:/+", "/")
+    got = files.groupBy(folder(F.col("path")).alias("folder")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.sha2("content", 256))), "\n"), 256).alias("got"))
+    count = rows.groupBy(folder(F.col("path")).alias("folder")).agg(F.count("*").alias("stored"))
+    told = markers.select("data_path", folder(F.concat("data_path", F.lit("/x"))).alias("folder"), "sha256", "n_rows").distinct()
+    bad = told.join(got, "folder", "left").join(count, "folder", "left").where("got is null or got <> sha256 or stored is null or stored <> n_rows")
+    return _rows(bad, "checksum", "error", F.lit(""), F.col("data_path"))
 
 
 def report(checks: list[DataFrame]) -> DataFrame:

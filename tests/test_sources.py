@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from korral import cli
 from korral.functions.ids import content_sha, index_hash
 from korral.functions.text import normalize_question
+from korral.operators import verify
 from korral.sources import registry, tree
 from korral.streaming import incremental
 
@@ -124,12 +125,33 @@ def test_command_line(spark, tmp_path, capsys):
     config = {"models": models, "datasets": [{"key": "d", "seed_idx": 0}], "problems": f"{tmp_path}/problems", "experiment": {"exp_id": "e", "n_workers": 2, "sampling": {"n_total": 32, "chunk_size": 16}, "arms": [{"model_key": m["key"], "dataset_key": "d", "variant": "plain"} for m in models]}}
     (tmp_path / "config.json").write_text(json.dumps(config))
     at = ["--config", f"{tmp_path}/config.json", "--root", f"{tmp_path}/root"]
-    for command in ("plan", "generate", "generate", "grade"):
+    assert cli.main(["verify", *at]) == 1 and "no_plan" in capsys.readouterr().out
+    assert cli.main(["registry-freeze", *at]) == 0 and cli.main(["registry-check", *at]) == 0 and cli.main(["doctor", *at]) == 0
+    for command in ("plan", "generate", "generate"):
         assert cli.main([command, *at]) == 0
-    assert cli.main(["verify", *at]) == 0 and "PASS" in capsys.readouterr().out
+    assert cli.main(["verify", *at]) == 1 and "no_grading" in capsys.readouterr().out
+    assert cli.main(["analyze", *at, "--rl", "rl-1"]) == 1 and "no_grading" in capsys.readouterr().out
+    for command in ("grade",):
+        assert cli.main([command, *at]) == 0
+    assert cli.main(["verify", *at, "--require-complete", "--deep"]) == 0 and "PASS" in capsys.readouterr().out
+    assert cli.main(["verify", *at, "--gradecfg", "00000000"]) == 1 and "no_grading" in capsys.readouterr().out
+    from korral.functions.ids import grading_id
+    from korral.functions.text import POLICIES
+
+    assert grading_id(("b", "a"), POLICIES) == grading_id(("a", "b"), POLICIES[::-1]) != grading_id(("a",), POLICIES)
+    assert tree.list_gradecfgs(spark, f"{tmp_path}/root", "e") == [grading_id(("fastint",), POLICIES)]
     try:
         cli.main(["analyze", *at, "--rl", "rl-1", "--n-boot", "10"])
     except Exception as e:  # six mock problems may leave a stratum empty, which must be said
         assert "no problem left" in str(e)
     else:
         assert "raw_gap" in (tmp_path / "root/report/exp=e/summary.json").read_text()
+    # A shard that lost rows is found by the deep check alone.
+    shard = next((tmp_path / "root/samples/exp=e").glob("run=*/part-*"))
+    shard.write_bytes(next((tmp_path / "root/graded/exp=e").glob("*/all/part-*")).read_bytes())
+    for extra in shard.parent.glob(".*crc"):
+        extra.unlink()
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(str(shard.parent))
+    rows = spark.read.parquet(str(shard)).select(F.col("_metadata.file_path").alias("path"))
+    marks = tree.read_markers(spark, f"{tmp_path}/root/samples").select(F.regexp_replace("data_path", r"\.\d+$", "").alias("data_path"), "sha256", "n_rows").distinct()
+    assert verify.corrupt_shards(files, rows, marks).count() == 1
