@@ -5,7 +5,7 @@ sets are one record, which stands at the first of them.  A record's tokens are
 ordered by rarity, rarest first; two records that reach the threshold have one
 of their first ``n - ceil(t * n) + 1`` tokens, their prefixes, in common.  Records
 that meet in a prefix token pass the length filter and the positional filter
-(what stands from the shared token on must suffice), and a filter of 64 bits (the
+(what stands from the shared token on must suffice), and a filter of 128 bits (the
 parities of the tokens' hashes differ in no more bits than the sets may differ
 in tokens); then their exact Jaccard similarity is verified.  Every line but the
 first of its record is removed, and the first as well if it matches a line that
@@ -19,7 +19,7 @@ records that this leaves unmatched meet all earlier ones, so a family of near
 copies of one line doesn't make all its pairs.
 
 Scale: texts never move.  What is shuffled are a row per line for its record and
-the packed prefixes, about 25 bytes a token; a block of tokens hands on only the
+the packed prefixes, 36 bytes a token; a block of tokens hands on only the
 entries that the filters leave a partner.  A map task sends a record once, so
 a token has an entry for each record and map buffer at most.  Broadcast are the
 counts (``8 << SLOTS`` bytes) and one bitmap of at most 16 MB.
@@ -49,7 +49,7 @@ BLOCK_ENTRIES, BLOCKS, BUFFER = 500_000, 12, 500_000
 #: Words of 64 parities that are compared before the words themselves.
 PARITIES = 4
 _WIDE = tuple(f"p{i}" for i in range(PARITIES))
-_ENTRY = np.dtype([("token", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("id", "<u8"), ("bits", "<u8")])
+_ENTRY = np.dtype([("token", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("id", "<u8"), ("low", "<u8"), ("high", "<u8")])  # two words of 64 parities
 
 
 def _cut_lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,8 +129,10 @@ def _deal(batches: Iterator[pa.RecordBatch], blocks: int, counts, percent: int)
             words, own = words[x], own[x]
             if len(words):
                 first = np.cumsum(np.where(keep, n, 0)) - np.where(keep, n, 0)
-                bits = np.zeros(len(n), np.uint64)
-                bits[keep] = np.bitwise_xor.reduceat(np.uint64(1) << (words >> np.uint64(58)), first[keep])
+                one, high = np.uint64(1) << (words >> np.uint64(57) & np.uint64(63)), words >> np.uint64(63) > 0
+                parities = np.zeros((2, len(n)), np.uint64)
+                for i in range(2):
+                    parities[i, keep] = np.bitwise_xor.reduceat(np.where(high == i, one, np.uint64(0)), first[keep])
                 order = np.lexsort((words, counts.value[_slot(words)], own))
                 words, own = words[order], own[order]
                 pos = np.arange(len(own)) - first[own]
@@ -138,7 +140,8 @@ def _deal(batches: Iterator[pa.RecordBatch], blocks: int, counts, percent: int)
                 words, own, pos = words[x], own[x], pos[x]
                 entry = np.empty(len(own), _ENTRY)
                 mixed = K.mix(words)
-                entry["token"], entry["n"], entry["pos"], entry["id"], entry["bits"] = mixed & np.uint64(0xFFFFFFFF), n[own], pos, keys[own, 0], bits[own]
+                entry["token"], entry["n"], entry["pos"], entry["id"] = mixed & np.uint64(0xFFFFFFFF), n[own], pos, keys[own, 0]
+                entry["low"], entry["high"] = parities[:, own]
                 parts.append(entry)
                 where.append(((mixed >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int32))
                 held += len(entry)
@@ -162,7 +165,7 @@ def _partners(table: pa.Table, percent: int) -> pa.Table:
     new = np.ones(len(e), bool)
     new[1:] = (e["token"][1:] != e["token"][:-1]) | (e["id"][1:] != e["id"][:-1])  # a record that several buffers sent
     e = e[new]
-    token, n, pos, bits = e["token"], e["n"].astype(np.int64), e["pos"].astype(np.int64), e["bits"]
+    token, n, pos, low, high = e["token"], e["n"].astype(np.int64), e["pos"].astype(np.int64), e["low"], e["high"]
     left = n - pos
     found = np.zeros(len(e), bool)
     i, step = np.arange(len(e)), 1
@@ -176,11 +179,11 @@ def _partners(table: pa.Table, percent: int) -> pa.Table:
         need = -(-percent * (n[a] + n[b]) // (100 + percent))
         ok = np.minimum(left[a], left[b]) >= need
         a, b, need = a[ok], b[ok], need[ok]
-        ok = np.bitwise_count(bits[a] ^ bits[b]) <= n[a] + n[b] - 2 * need
+        ok = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b]) <= n[a] + n[b] - 2 * need
         found[a[ok]] = found[b[ok]] = True
         step += 1
     e = e[found]
-    return pa.table({"token": pa.array((block << 32) + e["token"].astype(np.int64)), "id": pa.array(e["id"].view(np.int64)), "n": pa.array(e["n"].astype(np.int32)), "pos": pa.array(e["pos"].astype(np.int32)), "bits": pa.array(e["bits"].view(np.int64))})
+    return pa.table({"token": pa.array((block << 32) + e["token"].astype(np.int64)), "id": pa.array(e["id"].view(np.int64)), "n": pa.array(e["n"].astype(np.int32)), "pos": pa.array(e["pos"].astype(np.int32)), **{c: pa.array(np.ascontiguousarray(e[c]).view(np.int64)) for c in ("low", "high")}})
 
 
 def _read(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
@@ -215,7 +218,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     blocks = max(BLOCKS, -(-int(entries) // BLOCK_ENTRIES))
     order = spark.sparkContext.broadcast(counts)
     dealt = source.select("text").mapInArrow(lambda it: _deal(it, blocks, order, percent), "block bigint, entries binary")
-    post = K.cut(dealt.groupBy("block").applyInArrow(lambda t: _partners(t, percent), "token bigint, id bigint, n int, pos int, bits bigint"))
+    post = K.cut(dealt.groupBy("block").applyInArrow(lambda t: _partners(t, percent), "token bigint, id bigint, n int, pos int, low bigint, high bigint"))
 
     # The records with a partner, numbered in the order of the corpus. Where two keys share their front (practically
     # never) both are met under it.
@@ -224,13 +227,14 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     bits = spark.sparkContext.broadcast(K.bitmap(held, "short", K.bitmap_bits(held.count(), MAX_BITS)))
     words = source.select("text").mapInArrow(lambda it: _read(it, bits), f"key binary, words array<bigint>, {', '.join(f'{c} bigint' for c in _WIDE)}").groupBy("key").agg(*(F.first(c).alias(c) for c in ("words", *_WIDE)))
     sets = K.cut(held.select("key", "at").join(words, "key").drop("key"))
-    post = post.withColumnRenamed("id", "short").join(held.select("short", "at"), "short").select("token", "at", "n", "pos", "bits")
+    met = ("at", "n", "pos", "low", "high")
+    post = post.withColumnRenamed("id", "short").join(held.select("short", "at"), "short").select("token", *met)
 
-    star = post.groupBy("token").agg(F.min(F.struct("at", "n", "pos", "bits")).alias("c"))
-    star = star.select("token", *(F.col(f"c.{x}").alias(f"{x}2") for x in ("at", "n", "pos", "bits")))
+    star = post.groupBy("token").agg(F.min(F.struct(*met)).alias("c"))
+    star = star.select("token", *(F.col(f"c.{x}").alias(f"{x}2") for x in met))
     late = K.cut(_matched(post.join(star, "token"), sets, percent))
     open_ = post.join(late, "at", "left_anti")
-    other = post.select("token", *(F.col(x).alias(f"{x}2") for x in ("at", "n", "pos", "bits")))
+    other = post.select("token", *(F.col(x).alias(f"{x}2") for x in met))
     late = late.union(_matched(open_.join(other, "token"), sets, percent)).distinct()
     late = K.cut(late.join(held.select("at", "key"), "at").select("key"))
 
@@ -242,7 +246,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def _matched(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Numbers of the records that match an earlier one, of the pairs that meet in a token."""
     need = _need("n", "n2", percent)
-    filters = f"at2 < at and least(n, n2) * 100 >= {percent} * greatest(n, n2) and least(n - pos, n2 - pos2) >= {need} and bit_count(bits ^ bits2) <= n + n2 - 2 * {need}"
+    filters = f"at2 < at and least(n, n2) * 100 >= {percent} * greatest(n, n2) and least(n - pos, n2 - pos2) >= {need} and bit_count(low ^ low2) + bit_count(high ^ high2) <= n + n2 - 2 * {need}"
     pairs = met.where(filters).select("at", "n", "at2", "n2").distinct()
     # The same filter with more bits, for long lines, before the words move.
     pairs = pairs.join(sets.select("at", *_WIDE), "at").join(sets.select(F.col("at").alias("at2"), *(F.col(c).alias(f"{c}_") for c in _WIDE)), "at2")
