@@ -83,25 +83,31 @@ def _slot(words: np.ndarray) -> np.ndarray:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per line that has words, and at the end the words' counts by slot."""
+    """A row per line that has words, a row per document (n_lines), and at the end the words' counts by slot."""
     counts, kind = np.zeros(1 << SLOTS, np.int64), None
-    names = ["doc_id", "uid", "line", "n", "key", "counts"]
+    names = ["doc_id", "uid", "line", "n", "key", "n_lines", "counts"]
+    nothing = lambda m, *kinds: (pa.nulls(m, k) for k in kinds)
     for b in batches:
         kind = b.schema.field("doc_id").type
-        for lo, _, data, offs in K.slices(b.column("text")):
+        for lo, hi, data, offs in K.slices(b.column("text")):
             at, row, place = _cut_lines(data, offs)
+            n_lines = pa.array(np.bincount(row, minlength=hi - lo), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("uid").slice(lo, hi - lo), *nothing(hi - lo, pa.int32(), pa.int64(), pa.binary()), n_lines, *nothing(hi - lo, pa.list_(pa.int64()))], names)
             words, _, _, n, keys = _sets(data, at)
             counts += np.bincount(_slot(words), minlength=1 << SLOTS)
             some = np.flatnonzero(n)
             take, raw = pa.array(lo + row[some]), keys[some].tobytes()
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("uid").take(take), pa.array(place[some], pa.int32()), pa.array(n[some], pa.int64()),
-                                              pa.array([raw[i * 16 : i * 16 + 16] for i in range(len(some))], pa.binary()), pa.nulls(len(some), pa.list_(pa.int64()))], names)
+                                              pa.array([raw[i * 16 : i * 16 + 16] for i in range(len(some))], pa.binary()), *nothing(len(some), pa.int64(), pa.list_(pa.int64()))], names)
     if kind is not None:
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (kind, pa.int64(), pa.int32(), pa.int64(), pa.binary())), K.lists(counts, np.array([1 << SLOTS]), pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([*nothing(1, kind, pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()), K.lists(counts, np.array([1 << SLOTS]), pa.int64())], names)
 
 
 def _deal(batches: Iterator[pa.RecordBatch], blocks: int, counts, percent: int) -> Iterator[pa.RecordBatch]:
     """The prefixes by block of tokens, packed as _ENTRY; a record is sent once by a buffer."""
+    rarity = np.empty(1 << SLOTS, np.uint64)
+    rarity[np.argsort(counts.value, kind="stable")] = np.arange(1 << SLOTS, dtype=np.uint64) << np.uint64(64 - SLOTS)
+    number = np.uint16 if blocks < 1 << 16 else np.int32  # which a radix sort takes
     parts: list[np.ndarray] = []
     where: list[np.ndarray] = []
     held, seen = 0, set()
@@ -133,7 +139,7 @@ def _deal(batches: Iterator[pa.RecordBatch], blocks: int, counts, percent: int)
                 parities = np.zeros((2, len(n)), np.uint64)
                 for i in range(2):
                     parities[i, keep] = np.bitwise_xor.reduceat(np.where(high == i, one, np.uint64(0)), first[keep])
-                order = np.lexsort((words, counts.value[_slot(words)], own))
+                order = K.order_in_rows(own, rarity[_slot(words)] | words >> np.uint64(SLOTS))
                 words, own = words[order], own[order]
                 pos = np.arange(len(own)) - first[own]
                 x = pos < n[own] + (-percent * n[own] // 100) + 1
@@ -143,7 +149,7 @@ def _deal(batches: Iterator[pa.RecordBatch], blocks: int, counts, percent: int)
                 entry["token"], entry["n"], entry["pos"], entry["id"] = mixed & np.uint64(0xFFFFFFFF), n[own], pos, keys[own, 0]
                 entry["low"], entry["high"] = parities[:, own]
                 parts.append(entry)
-                where.append(((mixed >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int32))
+                where.append(((mixed >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(number))
                 held += len(entry)
             if held >= BUFFER:
                 yield from flush()
@@ -160,22 +166,25 @@ def _partners(table: pa.Table, percent: int) -> pa.Table:
     """
     block = table.column("block")[0].as_py()
     e = np.frombuffer(b"".join(table.column("entries").to_pylist()), _ENTRY)
-    order = np.lexsort((e["id"], e["n"], e["token"]))
+    if not len(e) or e["n"].max() >> 16:
+        order = np.lexsort((e["id"], e["n"], e["token"]))
+    else:  # one sort of one value; a record sent twice that it leaves apart is compared with itself, which only keeps it
+        order = np.argsort(e["token"].astype(np.uint64) << np.uint64(32) | e["n"].astype(np.uint64) << np.uint64(16) | e["id"] >> np.uint64(48))
     e = e[order]
     new = np.ones(len(e), bool)
     new[1:] = (e["token"][1:] != e["token"][:-1]) | (e["id"][1:] != e["id"][:-1])  # a record that several buffers sent
     e = e[new]
-    token, n, pos, low, high = e["token"], e["n"].astype(np.int64), e["pos"].astype(np.int64), e["low"], e["high"]
-    left = n - pos
+    n, low, high = e["n"].astype(np.int64), np.ascontiguousarray(e["low"]), np.ascontiguousarray(e["high"])
+    left = n - e["pos"]
+    most = np.minimum(100 * n // max(percent, 1), (1 << 32) - 1).astype(np.uint64)
+    token = e["token"].astype(np.uint64) << np.uint64(32)
+    ahead = np.searchsorted(token | n.astype(np.uint64), token | most, side="right") - 1 - np.arange(len(e))  # entries that sizes allow
     found = np.zeros(len(e), bool)
     i, step = np.arange(len(e)), 1
-    while len(i):
-        i = i[i + step < len(e)]
-        j = i + step
-        on = (token[i] == token[j]) & (100 * n[i] >= percent * n[j])
-        i, j = i[on], j[on]
-        open_ = ~(found[i] & found[j])
-        a, b = i[open_], j[open_]
+    while len(i := i[ahead[i] >= step]):
+        open_ = ~(found[i] & found[i + step])
+        a = i[open_]
+        b = a + step
         need = -(-percent * (n[a] + n[b]) // (100 + percent))
         ok = np.minimum(left[a], left[b]) >= need
         a, b, need = a[ok], b[ok], need[ok]
@@ -201,13 +210,21 @@ def _read(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary()), K.lists(words.view(np.int64), n, pa.int64()), *wide], ["key", "words", *_WIDE])
 
 
+def _tell(docs: DataFrame) -> DataFrame:
+    """What :func:`_lines` says of fixed documents."""
+    source = docs.select("doc_id", K.uid(docs).alias("uid"), F.col("text").cast("string").alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return K.cut(source.mapInArrow(_lines, f"doc_id {kind}, uid bigint, line int, n bigint, key binary, n_lines bigint, counts array<bigint>"))
+
+
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(uid, line) of every line that goes; uid is the row's number in these documents, or in K.fixed ones made of them."""
     docs = K.fixed(docs)
-    spark = docs.sparkSession
-    source = docs.select("doc_id", K.uid(docs).alias("uid"), F.col("text").cast("string").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    told = K.cut(source.mapInArrow(_lines, f"doc_id {kind}, uid bigint, line int, n bigint, key binary, counts array<bigint>"))
+    return _removed(docs, _tell(docs), percent)
+
+
+def _removed(docs: DataFrame, told: DataFrame, percent: int) -> DataFrame:
+    spark, texts = docs.sparkSession, docs.select(F.col("text").cast("string").alias("text"))
     counts = np.zeros(1 << SLOTS, np.int64)
     for r in told.where("counts is not null").select(F.posexplode("counts").alias("slot", "n")).groupBy("slot").agg(F.sum("n").alias("n")).collect():  # a row per slot
         counts[r.slot] = r.n
@@ -217,7 +234,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     entries = records.agg(F.coalesce(F.sum(F.expr(f"n - ceil({percent} * n / 100D) + 1")), F.lit(0)).cast("bigint")).first()[0]
     blocks = max(BLOCKS, -(-int(entries) // BLOCK_ENTRIES))
     order = spark.sparkContext.broadcast(counts)
-    dealt = source.select("text").mapInArrow(lambda it: _deal(it, blocks, order, percent), "block bigint, entries binary")
+    dealt = texts.mapInArrow(lambda it: _deal(it, blocks, order, percent), "block bigint, entries binary")
     post = K.cut(dealt.groupBy("block").applyInArrow(lambda t: _partners(t, percent), "token bigint, id bigint, n int, pos int, low bigint, high bigint"))
 
     # The records with a partner, numbered in the order of the corpus. Where two keys share their front (practically
@@ -225,7 +242,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     held = records.withColumn("short", _short("key")).join(post.select(F.col("id").alias("short")).distinct(), "short").select("key", "short", "first")
     held = K.cut(held.orderBy("first").select("key", "short", F.monotonically_increasing_id().alias("at")))
     bits = spark.sparkContext.broadcast(K.bitmap(held, "short", K.bitmap_bits(held.count(), MAX_BITS)))
-    words = source.select("text").mapInArrow(lambda it: _read(it, bits), f"key binary, words array<bigint>, {', '.join(f'{c} bigint' for c in _WIDE)}").groupBy("key").agg(*(F.first(c).alias(c) for c in ("words", *_WIDE)))
+    words = texts.mapInArrow(lambda it: _read(it, bits), f"key binary, words array<bigint>, {', '.join(f'{c} bigint' for c in _WIDE)}").groupBy("key").agg(*(F.first(c).alias(c) for c in ("words", *_WIDE)))
     sets = K.cut(held.select("key", "at").join(words, "key").drop("key"))
     met = ("at", "n", "pos", "low", "high")
     post = post.withColumnRenamed("id", "short").join(held.select("short", "at"), "short").select("token", *met)
@@ -258,10 +275,9 @@ def _matched(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """A row per document: doc_id, uid, n_lines, n_removed, removed (places of its lines that go, from 0)."""
     docs = K.fixed(docs)
-    gone = removed_lines(docs, percent).groupBy("uid").agg(F.sort_array(F.collect_list("line")).alias("removed"))
-    text = F.col("text").cast("string")
-    count = F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).otherwise(0)
-    rows = docs.select("doc_id", K.uid(docs).alias("uid"), count.cast("bigint").alias("n_lines"))
+    told = _tell(docs)
+    gone = _removed(docs, told, percent).groupBy("uid").agg(F.sort_array(F.collect_list("line")).alias("removed"))
+    rows = told.where("n_lines is not null").select("doc_id", "uid", "n_lines")
     out = rows.join(gone, "uid", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     return out.select("doc_id", "uid", "n_lines", F.size("removed").cast("bigint").alias("n_removed"), "removed")
 
