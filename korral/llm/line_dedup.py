@@ -19,7 +19,7 @@ records that this leaves unmatched meet all earlier ones, so a family of near
 copies of one line doesn't make all its pairs.
 
 Scale: texts never move.  What is shuffled are a row per line for its record and
-the packed prefixes, 36 bytes a token; a block of tokens hands on only the
+the packed prefixes, 36 bytes a token before compression; a block of tokens hands on only the
 entries that the filters leave a partner.  A map task sends a record once, so
 a token has an entry for each record and map buffer at most.  Broadcast are the
 counts (``8 << SLOTS`` bytes) and one bitmap of at most 16 MB.
@@ -78,6 +78,23 @@ def _sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return h, words, own, n, np.stack((K.set_hash(words, n, 0), K.set_hash(words, n, 0x5851F42D4C957F2D)), 1)
 
 
+def _packed(entries: np.ndarray) -> bytes:
+    """Entries sorted by token as bytes: column by column, sizes and places byte by byte, so that the shuffle's compression finds what repeats."""
+    planes = (entries[c] for c in _ENTRY.names)
+    return b"".join((np.ascontiguousarray(x).view(np.uint8).reshape(-1, 4).T if c in ("n", "pos") else x).tobytes() for c, x in zip(_ENTRY.names, planes, strict=True))
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    m = len(raw) // _ENTRY.itemsize
+    out, at = np.empty(m, _ENTRY), 0
+    for c in _ENTRY.names:
+        kind = _ENTRY[c]
+        x = np.frombuffer(raw, np.uint8, m * kind.itemsize, at)
+        out[c] = np.ascontiguousarray(x.reshape(4, m).T).view(kind)[:, 0] if c in ("n", "pos") else x.view(kind)
+        at += m * kind.itemsize
+    return out
+
+
 def _slot(words: np.ndarray) -> np.ndarray:
     return (words & np.uint64((1 << SLOTS) - 1)).astype(np.int64)
 
@@ -104,22 +121,21 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _deal(batches: Iterator[pa.RecordBatch], blocks: int, counts, percent: int) -> Iterator[pa.RecordBatch]:
-    """The prefixes by block of tokens, packed as _ENTRY; a record is sent once by a buffer."""
+    """The prefixes by block of tokens, packed by :func:`_packed`; a record is sent once by a buffer."""
     rarity = np.empty(1 << SLOTS, np.uint64)
     rarity[np.argsort(counts.value, kind="stable")] = np.arange(1 << SLOTS, dtype=np.uint64) << np.uint64(64 - SLOTS)
-    number = np.uint16 if blocks < 1 << 16 else np.int32  # which a radix sort takes
     parts: list[np.ndarray] = []
     where: list[np.ndarray] = []
     held, seen = 0, set()
 
     def flush() -> Iterator[pa.RecordBatch]:
         entries, block = np.concatenate(parts), np.concatenate(where)
-        order = np.argsort(block, kind="stable")
+        order = np.argsort(block.astype(np.uint64) << np.uint64(32) | entries["token"])
         entries, bound = entries[order], np.searchsorted(block[order], np.arange(blocks + 1))
         some = np.flatnonzero(np.diff(bound))
         for lo in range(0, len(some), 256):
             x = some[lo : lo + 256]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array([entries[bound[i] : bound[i + 1]].tobytes() for i in x], pa.binary())], ["block", "entries"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array([_packed(entries[bound[i] : bound[i + 1]]) for i in x], pa.binary())], ["block", "entries"])
 
     for b in batches:
         for _, _, data, offs in K.slices(b.column("text")):
@@ -149,7 +165,7 @@ def _deal(batches: Iterator[pa.RecordBatch], blocks: int, counts, percent: int)
                 entry["token"], entry["n"], entry["pos"], entry["id"] = mixed & np.uint64(0xFFFFFFFF), n[own], pos, keys[own, 0]
                 entry["low"], entry["high"] = parities[:, own]
                 parts.append(entry)
-                where.append(((mixed >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(number))
+                where.append(((mixed >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int32))
                 held += len(entry)
             if held >= BUFFER:
                 yield from flush()
@@ -165,7 +181,7 @@ def _partners(table: pa.Table, percent: int) -> pa.Table:
     allow and as one of the two still has no partner: a family of near copies is told by its neighbours.
     """
     block = table.column("block")[0].as_py()
-    e = np.frombuffer(b"".join(table.column("entries").to_pylist()), _ENTRY)
+    e = np.concatenate([_unpacked(x) for x in table.column("entries").to_pylist()])
     if not len(e) or e["n"].max() >> 16:
         order = np.lexsort((e["id"], e["n"], e["token"]))
     else:  # one sort of one value; a record sent twice that it leaves apart is compared with itself, which only keeps it
