@@ -256,7 +256,8 @@ def _removed(docs: DataFrame, told: DataFrame, percent: int) -> DataFrame:
     # The records with a partner, numbered in the order of the corpus. Where two keys share their front (practically
     # never) both are met under it.
     held = records.withColumn("short", _short("key")).join(post.select(F.col("id").alias("short")).distinct(), "short").select("key", "short", "first")
-    held = K.cut(held.orderBy("first").select("key", "short", F.monotonically_increasing_id().alias("at")))
+    held = K.cut(held)  # sorting reads it twice
+    held = K.cut(held.orderBy("first").select("key", "short", F.col("first.uid").alias("uid"), F.col("first.line").alias("line"), F.monotonically_increasing_id().alias("at")))
     bits = spark.sparkContext.broadcast(K.bitmap(held, "short", K.bitmap_bits(held.count(), MAX_BITS)))
     words = texts.mapInArrow(lambda it: _read(it, bits), f"key binary, words array<bigint>, {', '.join(f'{c} bigint' for c in _WIDE)}").groupBy("key").agg(*(F.first(c).alias(c) for c in ("words", *_WIDE)))
     sets = K.cut(held.select("key", "at").join(words, "key").drop("key"))
@@ -269,9 +270,8 @@ def _removed(docs: DataFrame, told: DataFrame, percent: int) -> DataFrame:
     open_ = post.join(late, "at", "left_anti")
     other = post.select("token", *(F.col(x).alias(f"{x}2") for x in met))
     late = late.union(_matched(open_.join(other, "token"), sets, percent)).distinct()
-    late = K.cut(late.join(held.select("at", "key"), "at").select("key"))
 
-    firsts = records.join(late, "key", "left_semi").select(F.col("first.uid").alias("uid"), F.col("first.line").alias("line"))
+    firsts = held.join(late, "at", "left_semi").select("uid", "line")
     again = rows.join(records.where("copies > 1").select("key", "first"), "key").where("not (uid = first.uid and line = first.line)").select("uid", "line")
     return firsts.union(again)
 
