@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korral.llm import _kernel as K
@@ -211,36 +211,50 @@ def _partners(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"token": pa.array((block << 32) + e["token"].astype(np.int64)), "id": pa.array(e["id"].view(np.int64)), "n": pa.array(e["n"].astype(np.int32)), "pos": pa.array(e["pos"].astype(np.int32)), **{c: pa.array(np.ascontiguousarray(e[c]).view(np.int64)) for c in ("low", "high")}})
 
 
+def _spot(uid: Column, line: Column) -> Column:
+    """A value for a line's place, the same as in :func:`_read`; several places may have one."""
+    wide = line.cast("bigint")
+    return uid.bitwiseXOR(F.shiftrightunsigned(uid, 27)).bitwiseXOR(F.shiftleft(wide, 9)).bitwiseXOR(F.shiftleft(wide, 18))
+
+
 def _read(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
-    """(key, words) of the lines that the bitmap names."""
+    """(uid, line, words, their parities) of the lines whose places the bitmap names; other lines are only cut."""
     for b in batches:
-        for _, _, data, offs in K.slices(b.column("text")):
-            at, _, _ = _cut_lines(data, offs)
-            _, words, _, n, keys = _sets(data, at)
-            keep = K.in_bitmap(bits.value, keys[:, 0]) & (n > 0)
-            if keep.any():
-                raw, words, n = keys[keep].tobytes(), words[np.repeat(keep, n)], n[keep]
+        uids = b.column("uid").to_numpy(zero_copy_only=False).view(np.uint64)
+        for lo, _, data, offs in K.slices(b.column("text")):
+            at, row, place = _cut_lines(data, offs)
+            uid, line = uids[lo + row], place.astype(np.uint64)
+            some = np.flatnonzero(K.in_bitmap(bits.value, uid ^ uid >> np.uint64(27) ^ line << np.uint64(9) ^ line << np.uint64(18)))
+            size = at[some + 1] - at[some]
+            own = np.concatenate(([0], np.cumsum(size)))
+            _, words, _, n, _ = _sets(data[np.arange(own[-1]) + np.repeat(at[some] - own[:-1], size)], own)
+            some, n = some[n > 0], n[n > 0]
+            if len(some):
                 one, part = np.uint64(1) << (words >> np.uint64(52) & np.uint64(63)), (words >> np.uint64(58)) % np.uint64(PARITIES)
                 first = np.cumsum(n) - n
                 wide = [pa.array(np.bitwise_xor.reduceat(np.where(part == i, one, np.uint64(0)), first).view(np.int64)) for i in range(PARITIES)]
-                yield pa.RecordBatch.from_arrays([pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary()), K.lists(words.view(np.int64), n, pa.int64()), *wide], ["key", "words", *_WIDE])
+                yield pa.RecordBatch.from_arrays([pa.array(uid[some].view(np.int64)), pa.array(place[some], pa.int32()), K.lists(words.view(np.int64), n, pa.int64()), *wide], ["uid", "line", "words", *_WIDE])
 
 
-def _tell(docs: DataFrame) -> DataFrame:
-    """What :func:`_lines` says of fixed documents."""
-    source = docs.select("doc_id", K.uid(docs).alias("uid"), F.col("text").cast("string").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _source(docs: DataFrame) -> DataFrame:
+    docs = K.fixed(docs)
+    return docs.select("doc_id", K.uid(docs).alias("uid"), F.col("text").cast("string").alias("text"))
+
+
+def _tell(source: DataFrame) -> DataFrame:
+    """What :func:`_lines` says of documents."""
+    kind = source.schema["doc_id"].dataType.simpleString()
     return K.cut(source.mapInArrow(_lines, f"doc_id {kind}, uid bigint, line int, n bigint, key binary, n_lines bigint, counts array<bigint>"))
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(uid, line) of every line that goes; uid is the row's number in these documents, or in K.fixed ones made of them."""
-    docs = K.fixed(docs)
-    return _removed(docs, _tell(docs), percent)
+    source = _source(docs)
+    return _removed(source, _tell(source), percent)
 
 
-def _removed(docs: DataFrame, told: DataFrame, percent: int) -> DataFrame:
-    spark, texts = docs.sparkSession, docs.select(F.col("text").cast("string").alias("text"))
+def _removed(source: DataFrame, told: DataFrame, percent: int) -> DataFrame:
+    spark = source.sparkSession
     counts = np.zeros(1 << SLOTS, np.int64)
     for r in told.where("counts is not null").select(F.posexplode("counts").alias("slot", "n")).groupBy("slot").agg(F.sum("n").alias("n")).collect():  # a row per slot
         counts[r.slot] = r.n
@@ -250,17 +264,18 @@ def _removed(docs: DataFrame, told: DataFrame, percent: int) -> DataFrame:
     entries = records.agg(F.coalesce(F.sum(F.expr(f"n - ceil({percent} * n / 100D) + 1")), F.lit(0)).cast("bigint")).first()[0]
     blocks = max(BLOCKS, -(-int(entries) // BLOCK_ENTRIES))
     order = spark.sparkContext.broadcast(counts)
-    dealt = texts.mapInArrow(lambda it: _deal(it, blocks, order, percent), "block bigint, entries binary")
+    dealt = source.select("text").mapInArrow(lambda it: _deal(it, blocks, order, percent), "block bigint, entries binary")
     post = K.cut(dealt.groupBy("block").applyInArrow(lambda t: _partners(t, percent), "token bigint, id bigint, n int, pos int, low bigint, high bigint"))
 
     # The records with a partner, numbered in the order of the corpus. Where two keys share their front (practically
     # never) both are met under it.
-    held = records.withColumn("short", _short("key")).join(post.select(F.col("id").alias("short")).distinct(), "short").select("key", "short", "first")
+    held = records.withColumn("short", _short("key")).join(post.select(F.col("id").alias("short")).distinct(), "short").select("short", "first")
     held = K.cut(held)  # sorting reads it twice
-    held = K.cut(held.orderBy("first").select("key", "short", F.col("first.uid").alias("uid"), F.col("first.line").alias("line"), F.monotonically_increasing_id().alias("at")))
-    bits = spark.sparkContext.broadcast(K.bitmap(held, "short", K.bitmap_bits(held.count(), MAX_BITS)))
-    words = texts.mapInArrow(lambda it: _read(it, bits), f"key binary, words array<bigint>, {', '.join(f'{c} bigint' for c in _WIDE)}").groupBy("key").agg(*(F.first(c).alias(c) for c in ("words", *_WIDE)))
-    sets = K.cut(held.select("key", "at").join(words, "key").drop("key"))
+    held = K.cut(held.orderBy("first").select("short", F.col("first.uid").alias("uid"), F.col("first.line").alias("line"), F.monotonically_increasing_id().alias("at")))
+    spots = held.select(_spot(F.col("uid"), F.col("line")).alias("spot"))
+    bits = spark.sparkContext.broadcast(K.bitmap(spots, "spot", K.bitmap_bits(held.count(), MAX_BITS)))
+    words = source.select("uid", "text").mapInArrow(lambda it: _read(it, bits), f"uid bigint, line int, words array<bigint>, {', '.join(f'{c} bigint' for c in _WIDE)}")
+    sets = K.cut(held.select("uid", "line", "at").join(words, ["uid", "line"]).drop("uid", "line"))
     met = ("at", "n", "pos", "low", "high")
     post = post.withColumnRenamed("id", "short").join(held.select("short", "at"), "short").select("token", *met)
 
@@ -290,9 +305,9 @@ def _matched(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """A row per document: doc_id, uid, n_lines, n_removed, removed (places of its lines that go, from 0)."""
-    docs = K.fixed(docs)
-    told = _tell(docs)
-    gone = _removed(docs, told, percent).groupBy("uid").agg(F.sort_array(F.collect_list("line")).alias("removed"))
+    source = _source(docs)
+    told = _tell(source)
+    gone = _removed(source, told, percent).groupBy("uid").agg(F.sort_array(F.collect_list("line")).alias("removed"))
     rows = told.where("n_lines is not null").select("doc_id", "uid", "n_lines")
     out = rows.join(gone, "uid", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     return out.select("doc_id", "uid", "n_lines", F.size("removed").cast("bigint").alias("n_removed"), "removed")
