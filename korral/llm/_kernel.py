@@ -246,5 +246,14 @@ def uid(docs: DataFrame) -> Column:
     return F.monotonically_increasing_id() if place is None else place
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """:func:`fixed` documents and their :func:`uid`, looked at once."""
+    source = _bare_source(docs)
+    place = _file_uid(docs) if source == "files" else None
+    if place is None:
+        docs, place = docs if source == "checkpoint" else cut(docs), F.monotonically_increasing_id()
+    return docs, place
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

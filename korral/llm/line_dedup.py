@@ -44,6 +44,8 @@ from korral.llm import _kernel as K
 from korral.llm.ngram_join import MAX_BITS, PERCENT, _linked, _need, _short
 
 SLOTS = 16
+#: The counts are added up in so many parts.
+PARTS = 64
 #: Entries of the prefixes in a block, the least number of blocks, and entries in a map task's buffer.
 BLOCK_ENTRIES, BLOCKS, BUFFER = 500_000, 12, 500_000
 #: Words of 64 parities that are compared before the words themselves.
@@ -100,7 +102,7 @@ def _slot(words: np.ndarray) -> np.ndarray:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per line that has words, a row per document (n_lines), and at the end the words' counts by slot."""
+    """A row per line that has words, a row per document (n_lines), and at the end the words' counts by slot: n is the slots' part."""
     counts, kind = np.zeros(1 << SLOTS, np.int64), None
     names = ["doc_id", "uid", "line", "n", "key", "n_lines", "counts"]
     nothing = lambda m, *kinds: (pa.nulls(m, k) for k in kinds)
@@ -117,7 +119,13 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("uid").take(take), pa.array(place[some], pa.int32()), pa.array(n[some], pa.int64()),
                                               pa.array([raw[i * 16 : i * 16 + 16] for i in range(len(some))], pa.binary()), *nothing(len(some), pa.int64(), pa.list_(pa.int64()))], names)
     if kind is not None:
-        yield pa.RecordBatch.from_arrays([*nothing(1, kind, pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()), K.lists(counts, np.array([1 << SLOTS]), pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([*nothing(PARTS, kind, pa.int64(), pa.int32()), pa.array(range(PARTS), pa.int64()), *nothing(PARTS, pa.binary(), pa.int64()), K.lists(counts, np.full(PARTS, len(counts) // PARTS), pa.int64())], names)
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """The counts of one part of the slots, of all tasks."""
+    rows = table.column("counts").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+    return pa.table({"n": table.column("n").slice(0, 1), "counts": K.lists(rows.sum(0), np.array([rows.shape[1]]), pa.int64())})
 
 
 def _deal(batches: Iterator[pa.RecordBatch], blocks: int, counts, percent: int) -> Iterator[pa.RecordBatch]:
@@ -237,8 +245,8 @@ def _read(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
 
 
 def _source(docs: DataFrame) -> DataFrame:
-    docs = K.fixed(docs)
-    return docs.select("doc_id", K.uid(docs).alias("uid"), F.col("text").cast("string").alias("text"))
+    docs, uid = K.numbered(docs)
+    return docs.select("doc_id", uid.alias("uid"), F.col("text").cast("string").alias("text"))
 
 
 def _tell(source: DataFrame) -> DataFrame:
@@ -256,8 +264,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def _removed(source: DataFrame, told: DataFrame, percent: int) -> DataFrame:
     spark = source.sparkSession
     counts = np.zeros(1 << SLOTS, np.int64)
-    for r in told.where("counts is not null").select(F.posexplode("counts").alias("slot", "n")).groupBy("slot").agg(F.sum("n").alias("n")).collect():  # a row per slot
-        counts[r.slot] = r.n
+    size = len(counts) // PARTS
+    for r in told.where("counts is not null").select("n", "counts").groupBy("n").applyInArrow(_summed, "n bigint, counts array<bigint>").collect():  # the parts
+        counts[r.n * size : (r.n + 1) * size] = r.counts
     rows = told.where("key is not null").select("doc_id", "uid", "line", "n", "key")
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "line")
     records = K.cut(rows.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n")))
