@@ -202,6 +202,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of datasets that nothing refers to any more.
+
+    It finds them only when the driver's JVM collects garbage, which a driver that does little seldom does by itself.
+    """
+    spark._jvm.System.gc()
+
+
 def _bare_source(docs: DataFrame) -> str | None:
     """"files" or "checkpoint" if the rows are all those of one of these, with columns chosen or cast at most."""
     plan = docs._jdf.queryExecution().analyzed()

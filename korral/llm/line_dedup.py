@@ -275,6 +275,7 @@ def _removed(source: DataFrame, told: DataFrame, percent: int) -> DataFrame:
     order = spark.sparkContext.broadcast(counts)
     dealt = source.select("text").mapInArrow(lambda it: _deal(it, blocks, order, percent), "block bigint, entries binary")
     post = K.cut(dealt.groupBy("block").applyInArrow(lambda t: _partners(t, percent), "token bigint, id bigint, n int, pos int, low bigint, high bigint"))
+    K.release(spark)  # the prefixes, the largest shuffle of all
 
     # The records with a partner, numbered in the order of the corpus. Where two keys share their front (practically
     # never) both are met under it.
@@ -285,6 +286,7 @@ def _removed(source: DataFrame, told: DataFrame, percent: int) -> DataFrame:
     bits = spark.sparkContext.broadcast(K.bitmap(spots, "spot", K.bitmap_bits(held.count(), MAX_BITS)))
     words = source.select("uid", "text").mapInArrow(lambda it: _read(it, bits), f"uid bigint, line int, words array<bigint>, {', '.join(f'{c} bigint' for c in _WIDE)}")
     sets = K.cut(held.select("uid", "line", "at").join(words, ["uid", "line"]).drop("uid", "line"))
+    K.release(spark)
     met = ("at", "n", "pos", "low", "high")
     post = post.withColumnRenamed("id", "short").join(held.select("short", "at"), "short").select("token", *met)
 
