@@ -261,6 +261,13 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return _removed(source, _tell(source), percent)
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """A checkpoint, after which the shuffles that made it go."""
+    out = K.cut(df)
+    K.release(df.sparkSession)
+    return out
+
+
 def _removed(source: DataFrame, told: DataFrame, percent: int) -> DataFrame:
     spark = source.sparkSession
     counts = np.zeros(1 << SLOTS, np.int64)
@@ -269,30 +276,28 @@ def _removed(source: DataFrame, told: DataFrame, percent: int) -> DataFrame:
         counts[r.n * size : (r.n + 1) * size] = r.counts
     rows = told.where("key is not null").select("doc_id", "uid", "line", "n", "key")
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "line")
-    records = K.cut(rows.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n")))
+    records = _cut(rows.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n")))
     entries = records.agg(F.coalesce(F.sum(F.expr(f"n - ceil({percent} * n / 100D) + 1")), F.lit(0)).cast("bigint")).first()[0]
     blocks = max(BLOCKS, -(-int(entries) // BLOCK_ENTRIES))
     order = spark.sparkContext.broadcast(counts)
     dealt = source.select("text").mapInArrow(lambda it: _deal(it, blocks, order, percent), "block bigint, entries binary")
-    post = K.cut(dealt.groupBy("block").applyInArrow(lambda t: _partners(t, percent), "token bigint, id bigint, n int, pos int, low bigint, high bigint"))
-    K.release(spark)  # the prefixes, the largest shuffle of all
+    post = _cut(dealt.groupBy("block").applyInArrow(lambda t: _partners(t, percent), "token bigint, id bigint, n int, pos int, low bigint, high bigint"))
 
     # The records with a partner, numbered in the order of the corpus. Where two keys share their front (practically
     # never) both are met under it.
     held = records.withColumn("short", _short("key")).join(post.select(F.col("id").alias("short")).distinct(), "short").select("short", "first")
-    held = K.cut(held)  # sorting reads it twice
-    held = K.cut(held.orderBy("first").select("short", F.col("first.uid").alias("uid"), F.col("first.line").alias("line"), F.monotonically_increasing_id().alias("at")))
+    held = _cut(held)  # sorting reads it twice
+    held = _cut(held.orderBy("first").select("short", F.col("first.uid").alias("uid"), F.col("first.line").alias("line"), F.monotonically_increasing_id().alias("at")))
     spots = held.select(_spot(F.col("uid"), F.col("line")).alias("spot"))
     bits = spark.sparkContext.broadcast(K.bitmap(spots, "spot", K.bitmap_bits(held.count(), MAX_BITS)))
     words = source.select("uid", "text").mapInArrow(lambda it: _read(it, bits), f"uid bigint, line int, words array<bigint>, {', '.join(f'{c} bigint' for c in _WIDE)}")
-    sets = K.cut(held.select("uid", "line", "at").join(words, ["uid", "line"]).drop("uid", "line"))
-    K.release(spark)
+    sets = _cut(held.select("uid", "line", "at").join(words, ["uid", "line"]).drop("uid", "line"))
     met = ("at", "n", "pos", "low", "high")
     post = post.withColumnRenamed("id", "short").join(held.select("short", "at"), "short").select("token", *met)
 
     star = post.groupBy("token").agg(F.min(F.struct(*met)).alias("c"))
     star = star.select("token", *(F.col(f"c.{x}").alias(f"{x}2") for x in met))
-    late = K.cut(_matched(post.join(star, "token"), sets, percent))
+    late = _cut(_matched(post.join(star, "token"), sets, percent))
     open_ = post.join(late, "at", "left_anti")
     other = post.select("token", *(F.col(x).alias(f"{x}2") for x in met))
     late = late.union(_matched(open_.join(other, "token"), sets, percent)).distinct()
