@@ -202,14 +202,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of datasets that nothing refers to any more.
-
-    It finds them only when the driver's JVM collects garbage, which a driver that does little seldom does by itself.
-    """
-    spark._jvm.System.gc()
-
-
 def _bare_source(docs: DataFrame) -> str | None:
     """"files" or "checkpoint" if the rows are all those of one of these, with columns chosen or cast at most."""
     plan = docs._jdf.queryExecution().analyzed()
@@ -254,14 +246,5 @@ def uid(docs: DataFrame) -> Column:
     return F.monotonically_increasing_id() if place is None else place
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, Column]:
-    """:func:`fixed` documents and their :func:`uid`, looked at once."""
-    source = _bare_source(docs)
-    place = _file_uid(docs) if source == "files" else None
-    if place is None:
-        docs, place = docs if source == "checkpoint" else cut(docs), F.monotonically_increasing_id()
-    return docs, place
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
