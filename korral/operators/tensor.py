@@ -54,17 +54,19 @@ def ragged_arms(df: DataFrame) -> DataFrame:
     return out.withColumn("ragged", F.col("n_min") < F.col("n_max"))
 
 
-def truncated(df: DataFrame, strict: bool = False) -> DataFrame:
+def truncated(df: DataFrame, strict: bool = False, sizes: DataFrame | None = None) -> DataFrame:
     """The first n samples by sample_idx of each model and problem, with n the least that any has.
 
     ``strict``: differing counts within an arm are an error; across arms the smaller count holds.
+    ``sizes``: ``group_sizes(df)`` if they can be had without shuffling the samples.
     """
     by = W.partitionBy(*KEY).orderBy("sample_idx")
     ranked = df.withColumns({"rank_": F.row_number().over(by), "no_": F.dense_rank().over(by)})
     if strict and (bad := ragged_arms(df).where("ragged").limit(3).collect()):
         raise ValueError(f"ragged arms: {[(r.model_key, r.dataset_key, r.n_min, r.n_max) for r in bad]}")
     # A key's distinct samples are its last dense rank: no second shuffle of the samples.
-    least = ranked.groupBy(*KEY).agg(F.max("no_").alias("n")).agg(F.min("n").cast("bigint").alias("n"))  # one row
+    least = sizes.withColumnRenamed("n_raw", "n") if sizes is not None else ranked.groupBy(*KEY).agg(F.max("no_").alias("n"))
+    least = least.agg(F.min("n").cast("bigint").alias("n"))  # one row
     return ranked.join(F.broadcast(least), F.col("rank_") <= F.col("n")).drop("rank_", "no_")
 
 
@@ -72,9 +74,11 @@ def dense_counts(df: DataFrame, correct: Column) -> DataFrame:
     """c of every model with every problem that any model has: a problem without rows counts as all wrong."""
     counts = df.groupBy(*KEY).agg(F.count_if(correct).alias("c"), F.first("n").alias("n"))
     own = F.map_from_entries(F.collect_list(F.struct("model_key", "c"))).alias("own")
-    problems = counts.groupBy("dataset_key", "problem_idx").agg(own)  # an entry per model
-    facts = counts.agg(F.array_sort(F.collect_set("model_key")).alias("models"), F.max("n").alias("n"))  # one row
-    each = problems.crossJoin(F.broadcast(facts)).select(F.explode("models").alias("model_key"), "dataset_key", "problem_idx", "own", "n")
+    problems = counts.groupBy("dataset_key", "problem_idx").agg(own, F.max("n").alias("own_n"))  # an entry per model
+    facts = problems.select(F.explode(F.map_keys("own")).alias("m"), "own_n").agg(F.array_sort(F.collect_set("m")).alias("models"), F.max("own_n").alias("n"))  # one row
+    # n is never less than own_n: named so that both sides need the same columns of the samples, and their shuffle is reused.
+    n = F.greatest("n", "own_n").alias("n")
+    each = problems.crossJoin(F.broadcast(facts)).select(F.explode("models").alias("model_key"), "dataset_key", "problem_idx", "own", n)
     return each.select(*KEY, F.coalesce(F.try_element_at("own", F.col("model_key")), F.lit(0)).cast("bigint").alias("c"), "n")
 
 

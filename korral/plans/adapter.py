@@ -42,7 +42,10 @@ def samples(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
 
 
 def trimmed(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    return truncated(samples(spark, sf_dir, *more))
+    # samples() numbers the rows, so a group has as many samples as rows.
+    keys = (f"{COLUMNS[c].replace('VARCHAR(9)', 'STRING')} AS {c}" for c in KEY)
+    sizes = table(spark, sf_dir, "lineitem").selectExpr(*keys).groupBy(*KEY).agg(F.count("*").alias("n_raw"))
+    return truncated(samples(spark, sf_dir, *more), sizes=sizes)
 
 
 #: The oracle's side: s all samples, t the truncated ones with n, c counts, p the paired counts.
