@@ -13,6 +13,7 @@ comes earlier in the corpus (by doc_id, row, place in the text).
 
 Rarity is counted over all words in a table of ``2 ** SLOTS`` counts, so words
 share counts; that changes the order, which any fixed one may be, not the result.
+Tokens are 44 bits of rarity and hash; words that share one only meet more often.
 
 Each prefix token is first met by its earliest record alone (a star); only
 records that this leaves unmatched meet all earlier ones, so a family of near
@@ -41,15 +42,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korral.llm import _kernel as K
-from korral.llm.ngram_join import MAX_BITS, PERCENT, _linked, _need, _short
+from korral.llm.ngram_join import MAX_BITS, PERCENT, _linked, _need
 
 SLOTS = 16
+#: Parts of the table of counts, each of which is added up by itself.
+PARTS = 256
 #: Entries of the prefixes in a block, the least number of blocks, and entries in a map task's buffer.
 BLOCK_ENTRIES, BLOCKS, BUFFER = 500_000, 12, 500_000
 #: Words of 64 parities that are compared before the words themselves.
 PARITIES = 4
 _WIDE = tuple(f"p{i}" for i in range(PARITIES))
-_ENTRY = np.dtype([("token", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("id", "<u8"), ("low", "<u8"), ("high", "<u8")])  # two words of 64 parities
+_ENTRY = {"token": "<u4", "n": "<u4", "pos": "<u4", "id": "<u8", "low": "<u8", "high": "<u8"}  # two words of 64 parities
+_BYTES = sum(np.dtype(kind).itemsize for kind in _ENTRY.values())
+#: Bits of a token: of its slot's rank, then of its hash. The bits above hold the line while a slice is sorted.
+TOKEN_BITS = 44
 
 
 def _cut_lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,31 +73,58 @@ def _cut_lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of lines: (words as they stand, distinct words sorted within each line, their lines, how many each line has, two hashes of each line's set)."""
-    s, e, line = K.word_spans(data, at, K.NOT_SPACE)
+    s, e, own = K.word_spans(data, at, K.NOT_SPACE)
     h = K.span_hash(data, s, e, K.LOWER)
-    order = K.order_in_rows(line, h)
-    own, words = line[order], h[order]
+    words = _in_lines(own, h, len(at) - 1)
     new = np.ones(len(own), bool)
     new[1:] = (own[1:] != own[:-1]) | (words[1:] != words[:-1])
     own, words = own[new], words[new]
     n = np.bincount(own, minlength=len(at) - 1)
-    return h, words, own, n, np.stack((K.set_hash(words, n, 0), K.set_hash(words, n, 0x5851F42D4C957F2D)), 1)
-
-
-def _packed(entries: np.ndarray) -> bytes:
+    keys, some = np.zeros((len(n), 2), np.uint64), n > 0
+    if len(words):
+        first, size, one = (np.cumsum(n) - n)[some], n[some].astype(np.uint64), K.mix(words)
+        two = (one ^ one >> np.uint64(29)) * np.uint64(0x5851F42D4C957F2D)
+        for i, x in enumerate((one, two ^ two >> np.uint64(32))):
+            keys[some, i] = K.mix(np.add.reduceat(x, first) + size)
+    return h, words, own, n, keys
+
+
+def _in_lines(own: np.ndarray, words: np.ndarray, lines: int) -> np.ndarray:
+    """The words sorted within each line; lines stand in order."""
+    bits = np.uint64(max(1, lines.bit_length()))
+    key = own.astype(np.uint64) << np.uint64(64) - bits | words >> bits
+    order = np.argsort(key)  # one sort of one value, unless it leaves different words apart
+    key, out = key[order], words[order]
+    return words[K.order_in_rows(own, words)] if ((key[1:] == key[:-1]) & (out[1:] != out[:-1])).any() else out
+
+
+def _tokens(own: np.ndarray, words: np.ndarray, lines: int, rarity: np.ndarray) -> np.ndarray:
+    """The words' tokens, rarest first within each line; lines stand in order. Words that share a token only meet more often."""
+    token = rarity[_slot(words)] | words >> np.uint64(64 - TOKEN_BITS + SLOTS)
+    if lines >> 64 - TOKEN_BITS:
+        return token[np.lexsort((token, own))]
+    token |= own.astype(np.uint64) << np.uint64(TOKEN_BITS)
+    token.sort()
+    return token & np.uint64((1 << TOKEN_BITS) - 1)
+
+
+def _packed(entries: dict[str, np.ndarray], lo: int, hi: int) -> bytes:
     """Entries sorted by token as bytes: column by column, sizes and places byte by byte, so that the shuffle's compression finds what repeats."""
-    planes = (entries[c] for c in _ENTRY.names)
-    return b"".join((np.ascontiguousarray(x).view(np.uint8).reshape(-1, 4).T if c in ("n", "pos") else x).tobytes() for c, x in zip(_ENTRY.names, planes, strict=True))
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    m = len(raw) // _ENTRY.itemsize
-    out, at = np.empty(m, _ENTRY), 0
-    for c in _ENTRY.names:
-        kind = _ENTRY[c]
-        x = np.frombuffer(raw, np.uint8, m * kind.itemsize, at)
-        out[c] = np.ascontiguousarray(x.reshape(4, m).T).view(kind)[:, 0] if c in ("n", "pos") else x.view(kind)
-        at += m * kind.itemsize
+    return b"".join((x[lo:hi].view(np.uint8).reshape(-1, 4).T if c in ("n", "pos") else x[lo:hi]).tobytes() for c, x in entries.items())
+
+
+def _unpacked(parts: list[bytes]) -> dict[str, np.ndarray]:
+    out, lo = {c: np.empty(sum(map(len, parts)) // _BYTES, kind) for c, kind in _ENTRY.items()}, 0
+    for raw in parts:
+        m, at = len(raw) // _BYTES, 0
+        for c, x in out.items():
+            size = x.itemsize
+            if c in ("n", "pos"):
+                x[lo : lo + m].view(np.uint8).reshape(m, 4)[:] = np.frombuffer(raw, np.uint8, m * 4, at).reshape(4, m).T
+            else:
+                x[lo : lo + m] = np.frombuffer(raw, _ENTRY[c], m, at)
+            at += m * size
+        lo += m
     return out
 
 
@@ -100,76 +133,82 @@ def _slot(words: np.ndarray) -> np.ndarray:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per line that has words, a row per document (n_lines), and at the end the words' counts by slot."""
+    """A row per line that has words, a row per document (n_lines), and at the end the words' counts by slot, in parts."""
     counts, kind = np.zeros(1 << SLOTS, np.int64), None
-    names = ["doc_id", "uid", "line", "n", "key", "n_lines", "counts"]
+    names = ["doc_id", "uid", "line", "n", "key", "key2", "n_lines", "part", "counts"]
     nothing = lambda m, *kinds: (pa.nulls(m, k) for k in kinds)
     for b in batches:
         kind = b.schema.field("doc_id").type
         for lo, hi, data, offs in K.slices(b.column("text")):
             at, row, place = _cut_lines(data, offs)
             n_lines = pa.array(np.bincount(row, minlength=hi - lo), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("uid").slice(lo, hi - lo), *nothing(hi - lo, pa.int32(), pa.int64(), pa.binary()), n_lines, *nothing(hi - lo, pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("uid").slice(lo, hi - lo), *nothing(hi - lo, pa.int32(), pa.int64(), pa.int64(), pa.int64()), n_lines, *nothing(hi - lo, pa.int32(), pa.list_(pa.int64()))], names)
             words, _, _, n, keys = _sets(data, at)
             counts += np.bincount(_slot(words), minlength=1 << SLOTS)
             some = np.flatnonzero(n)
-            take, raw = pa.array(lo + row[some]), keys[some].tobytes()
+            take, key = pa.array(lo + row[some]), keys[some].view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("uid").take(take), pa.array(place[some], pa.int32()), pa.array(n[some], pa.int64()),
-                                              pa.array([raw[i * 16 : i * 16 + 16] for i in range(len(some))], pa.binary()), *nothing(len(some), pa.int64(), pa.list_(pa.int64()))], names)
+                                              pa.array(key[:, 0]), pa.array(key[:, 1]), *nothing(len(some), pa.int64(), pa.int32(), pa.list_(pa.int64()))], names)
     if kind is not None:
-        yield pa.RecordBatch.from_arrays([*nothing(1, kind, pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()), K.lists(counts, np.array([1 << SLOTS]), pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([*nothing(PARTS, kind, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), pa.array(np.arange(PARTS), pa.int32()), K.lists(counts, np.full(PARTS, (1 << SLOTS) // PARTS), pa.int64())], names)
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """The sum of the counts of one part."""
+    counts = table.column("counts").combine_chunks().flatten().to_numpy().reshape(len(table), -1).sum(0)
+    return pa.table({"part": table.column("part")[:1], "counts": K.lists(counts, np.array([len(counts)]), pa.int64())})
 
 
 def _deal(batches: Iterator[pa.RecordBatch], blocks: int, counts, percent: int) -> Iterator[pa.RecordBatch]:
     """The prefixes by block of tokens, packed by :func:`_packed`; a record is sent once by a buffer."""
     rarity = np.empty(1 << SLOTS, np.uint64)
-    rarity[np.argsort(counts.value, kind="stable")] = np.arange(1 << SLOTS, dtype=np.uint64) << np.uint64(64 - SLOTS)
-    parts: list[np.ndarray] = []
-    where: list[np.ndarray] = []
-    held, seen = 0, set()
+    rarity[np.argsort(counts.value, kind="stable")] = np.arange(1 << SLOTS, dtype=np.uint64) << np.uint64(TOKEN_BITS - SLOTS)
+    prefixes: list[tuple[np.ndarray, ...]] = []
+    lines: list[tuple[np.ndarray, ...]] = []
+    held, sent, seen = 0, 0, set()
 
     def flush() -> Iterator[pa.RecordBatch]:
-        entries, block = np.concatenate(parts), np.concatenate(where)
-        order = np.argsort(block.astype(np.uint64) << np.uint64(32) | entries["token"])
-        entries, bound = entries[order], np.searchsorted(block[order], np.arange(blocks + 1))
+        token, pos, line = (np.concatenate(x) for x in zip(*prefixes, strict=True))
+        block = (token >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
+        key = block << np.uint64(32) | token & np.uint64(0xFFFFFFFF)
+        order = np.argsort(key)
+        key, line = key[order], line[order]
+        n, ids, low, high = (np.concatenate(x)[line] for x in zip(*lines, strict=True))
+        entries = dict(zip(_ENTRY, (key.astype(np.uint32), n, pos[order], ids, low, high), strict=True))
+        bound = np.searchsorted(key, np.arange(blocks + 1, dtype=np.uint64) << np.uint64(32))
         some = np.flatnonzero(np.diff(bound))
         for lo in range(0, len(some), 256):
             x = some[lo : lo + 256]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array([_packed(entries[bound[i] : bound[i + 1]]) for i in x], pa.binary())], ["block", "entries"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array([_packed(entries, bound[i], bound[i + 1]) for i in x], pa.binary())], ["block", "entries"])
 
     for b in batches:
         for _, _, data, offs in K.slices(b.column("text")):
             at, _, _ = _cut_lines(data, offs)
             _, words, own, n, keys = _sets(data, at)
             raw, keep = keys.tobytes(), np.zeros(len(n), bool)
-            for i in np.flatnonzero(n * (100 - percent) >= max(percent, 1)):  # smaller sets match equal ones only, which are the same record
+            for i in np.flatnonzero(n * (100 - percent) >= max(percent, 1)).tolist():  # smaller sets match equal ones only, which are the same record
                 key = raw[i * 16 : i * 16 + 16]
                 if key not in seen:
                     seen.add(key)
                     keep[i] = True
-            x = keep[own]
-            words, own = words[x], own[x]
+            words, n, ids = words[keep[own]], n[keep], keys[keep, 0]
             if len(words):
-                first = np.cumsum(np.where(keep, n, 0)) - np.where(keep, n, 0)
-                one, high = np.uint64(1) << (words >> np.uint64(57) & np.uint64(63)), words >> np.uint64(63) > 0
-                parities = np.zeros((2, len(n)), np.uint64)
-                for i in range(2):
-                    parities[i, keep] = np.bitwise_xor.reduceat(np.where(high == i, one, np.uint64(0)), first[keep])
-                order = K.order_in_rows(own, rarity[_slot(words)] | words >> np.uint64(SLOTS))
-                words, own = words[order], own[order]
-                pos = np.arange(len(own)) - first[own]
-                x = pos < n[own] + (-percent * n[own] // 100) + 1
-                words, own, pos = words[x], own[x], pos[x]
-                entry = np.empty(len(own), _ENTRY)
-                mixed = K.mix(words)
-                entry["token"], entry["n"], entry["pos"], entry["id"] = mixed & np.uint64(0xFFFFFFFF), n[own], pos, keys[own, 0]
-                entry["low"], entry["high"] = parities[:, own]
-                parts.append(entry)
-                where.append(((mixed >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int32))
-                held += len(entry)
+                own, first = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+                one = np.uint64(1) << (words >> np.uint64(57) & np.uint64(63))
+                both, low = np.bitwise_xor.reduceat(one, first), np.bitwise_xor.reduceat(np.where(words >> np.uint64(63) > 0, np.uint64(0), one), first)
+                token = _tokens(own, words, len(n), rarity)
+                size = np.minimum(n + (-percent * n // 100) + 1, n)  # of the prefixes
+                line = np.repeat(np.arange(len(n)), size)
+                pos = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
+                token = token[first[line] + pos]
+                new = np.ones(len(token), bool)
+                new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])  # of words that share a token, the first
+                prefixes.append((K.mix(token[new]), pos[new].astype(np.uint32), line[new] + sent))
+                lines.append((n.astype(np.uint32), ids, low, both ^ low))
+                held, sent = held + len(token), sent + len(n)
             if held >= BUFFER:
                 yield from flush()
-                parts, where, held, seen = [], [], 0, set()
+                prefixes, lines, held, sent, seen = [], [], 0, 0, set()
     if held:
         yield from flush()
 
@@ -181,25 +220,24 @@ def _partners(table: pa.Table, percent: int) -> pa.Table:
     allow and as one of the two still has no partner: a family of near copies is told by its neighbours.
     """
     block = table.column("block")[0].as_py()
-    e = np.concatenate([_unpacked(x) for x in table.column("entries").to_pylist()])
-    if not len(e) or e["n"].max() >> 16:
-        order = np.lexsort((e["id"], e["n"], e["token"]))
+    e = _unpacked(table.column("entries").to_pylist())
+    token = e["token"].astype(np.uint64) << np.uint64(32)
+    if not len(token) or e["n"].max() >> 16:
+        order = np.lexsort((e["id"], e["n"], token))
     else:  # one sort of one value; a record sent twice that it leaves apart is compared with itself, which only keeps it
-        order = np.argsort(e["token"].astype(np.uint64) << np.uint64(32) | e["n"].astype(np.uint64) << np.uint64(16) | e["id"] >> np.uint64(48))
-    e = e[order]
-    new = np.ones(len(e), bool)
-    new[1:] = (e["token"][1:] != e["token"][:-1]) | (e["id"][1:] != e["id"][:-1])  # a record that several buffers sent
-    e = e[new]
-    n, low, high = e["n"].astype(np.int64), np.ascontiguousarray(e["low"]), np.ascontiguousarray(e["high"])
-    left = n - e["pos"]
+        order = np.argsort(token | e["n"].astype(np.uint64) << np.uint64(16) | e["id"] >> np.uint64(48))
+    token, ids, n, pos = token[order], e["id"][order], e["n"][order].astype(np.int64), e["pos"][order].astype(np.int64)
+    new = np.ones(len(order), bool)
+    new[1:] = (token[1:] != token[:-1]) | (ids[1:] != ids[:-1]) | (pos[1:] != pos[:-1])  # a record that several buffers sent
+    if not new.all():
+        order, token, ids, n, pos = order[new], token[new], ids[new], n[new], pos[new]
+    left, low, high = n - pos, e["low"][order], e["high"][order]
     most = np.minimum(100 * n // max(percent, 1), (1 << 32) - 1).astype(np.uint64)
-    token = e["token"].astype(np.uint64) << np.uint64(32)
-    ahead = np.searchsorted(token | n.astype(np.uint64), token | most, side="right") - 1 - np.arange(len(e))  # entries that sizes allow
-    found = np.zeros(len(e), bool)
-    i, step = np.arange(len(e)), 1
+    ahead = np.searchsorted(token | n.astype(np.uint64), token | most, side="right") - 1 - np.arange(len(order))  # entries that sizes allow
+    found = np.zeros(len(order), bool)
+    i, step = np.arange(len(order)), 1
     while len(i := i[ahead[i] >= step]):
-        open_ = ~(found[i] & found[i + step])
-        a = i[open_]
+        a = i[~(found[i] & found[i + step])]
         b = a + step
         need = -(-percent * (n[a] + n[b]) // (100 + percent))
         ok = np.minimum(left[a], left[b]) >= need
@@ -207,8 +245,8 @@ def _partners(table: pa.Table, percent: int) -> pa.Table:
         ok = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b]) <= n[a] + n[b] - 2 * need
         found[a[ok]] = found[b[ok]] = True
         step += 1
-    e = e[found]
-    return pa.table({"token": pa.array((block << 32) + e["token"].astype(np.int64)), "id": pa.array(e["id"].view(np.int64)), "n": pa.array(e["n"].astype(np.int32)), "pos": pa.array(e["pos"].astype(np.int32)), **{c: pa.array(np.ascontiguousarray(e[c]).view(np.int64)) for c in ("low", "high")}})
+    return pa.table({"token": pa.array((block << 32) + (token[found] >> np.uint64(32)).astype(np.int64)), "id": pa.array(ids[found].view(np.int64)), "n": pa.array(n[found].astype(np.int32)), "pos": pa.array(pos[found].astype(np.int32)),
+                     "low": pa.array(low[found].view(np.int64)), "high": pa.array(high[found].view(np.int64))})
 
 
 def _spot(uid: Column, line: Column) -> Column:
@@ -244,7 +282,7 @@ def _source(docs: DataFrame) -> DataFrame:
 def _tell(source: DataFrame) -> DataFrame:
     """What :func:`_lines` says of documents."""
     kind = source.schema["doc_id"].dataType.simpleString()
-    return K.cut(source.mapInArrow(_lines, f"doc_id {kind}, uid bigint, line int, n bigint, key binary, n_lines bigint, counts array<bigint>"))
+    return K.cut(source.mapInArrow(_lines, f"doc_id {kind}, uid bigint, line int, n bigint, key bigint, key2 bigint, n_lines bigint, part int, counts array<bigint>"))
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -255,29 +293,29 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def _removed(source: DataFrame, told: DataFrame, percent: int) -> DataFrame:
     spark = source.sparkSession
-    counts = np.zeros(1 << SLOTS, np.int64)
-    for r in told.where("counts is not null").select(F.posexplode("counts").alias("slot", "n")).groupBy("slot").agg(F.sum("n").alias("n")).collect():  # a row per slot
-        counts[r.slot] = r.n
-    rows = told.where("key is not null").select("doc_id", "uid", "line", "n", "key")
+    counts = np.zeros((PARTS, (1 << SLOTS) // PARTS), np.int64)
+    for r in told.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_added, "part int, counts array<bigint>").collect():
+        counts[r.part] = r.counts
+    rows = told.where("key is not null").select("doc_id", "uid", "line", "n", "key", "key2")
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "line")
-    records = K.cut(rows.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n")))
+    records = K.cut(rows.groupBy("key", "key2").agg(F.min(at).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n")))
     entries = records.agg(F.coalesce(F.sum(F.expr(f"n - ceil({percent} * n / 100D) + 1")), F.lit(0)).cast("bigint")).first()[0]
     blocks = max(BLOCKS, -(-int(entries) // BLOCK_ENTRIES))
-    order = spark.sparkContext.broadcast(counts)
+    order = spark.sparkContext.broadcast(counts.ravel())
     dealt = source.select("text").mapInArrow(lambda it: _deal(it, blocks, order, percent), "block bigint, entries binary")
     post = K.cut(dealt.groupBy("block").applyInArrow(lambda t: _partners(t, percent), "token bigint, id bigint, n int, pos int, low bigint, high bigint"))
 
     # The records with a partner, numbered in the order of the corpus. Where two keys share their front (practically
     # never) both are met under it.
-    held = records.withColumn("short", _short("key")).join(post.select(F.col("id").alias("short")).distinct(), "short").select("short", "first")
+    held = records.select(F.col("key").alias("id"), "first").join(post.select("id").distinct(), "id")
     held = K.cut(held)  # sorting reads it twice
-    held = K.cut(held.orderBy("first").select("short", F.col("first.uid").alias("uid"), F.col("first.line").alias("line"), F.monotonically_increasing_id().alias("at")))
+    held = K.cut(held.orderBy("first").select("id", F.col("first.uid").alias("uid"), F.col("first.line").alias("line"), F.monotonically_increasing_id().alias("at")))
     spots = held.select(_spot(F.col("uid"), F.col("line")).alias("spot"))
     bits = spark.sparkContext.broadcast(K.bitmap(spots, "spot", K.bitmap_bits(held.count(), MAX_BITS)))
     words = source.select("uid", "text").mapInArrow(lambda it: _read(it, bits), f"uid bigint, line int, words array<bigint>, {', '.join(f'{c} bigint' for c in _WIDE)}")
     sets = K.cut(held.select("uid", "line", "at").join(words, ["uid", "line"]).drop("uid", "line"))
     met = ("at", "n", "pos", "low", "high")
-    post = post.withColumnRenamed("id", "short").join(held.select("short", "at"), "short").select("token", *met)
+    post = K.cut(post.join(held.select("id", "at"), "id").select("token", *met))  # read three times
 
     star = post.groupBy("token").agg(F.min(F.struct(*met)).alias("c"))
     star = star.select("token", *(F.col(f"c.{x}").alias(f"{x}2") for x in met))
@@ -287,7 +325,7 @@ def _removed(source: DataFrame, told: DataFrame, percent: int) -> DataFrame:
     late = late.union(_matched(open_.join(other, "token"), sets, percent)).distinct()
 
     firsts = held.join(late, "at", "left_semi").select("uid", "line")
-    again = rows.join(records.where("copies > 1").select("key", "first"), "key").where("not (uid = first.uid and line = first.line)").select("uid", "line")
+    again = rows.join(records.where("copies > 1").select("key", "key2", "first"), ["key", "key2"]).where("not (uid = first.uid and line = first.line)").select("uid", "line")
     return firsts.union(again)
 
 
@@ -296,11 +334,13 @@ def _matched(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     need = _need("n", "n2", percent)
     filters = f"at2 < at and least(n, n2) * 100 >= {percent} * greatest(n, n2) and least(n - pos, n2 - pos2) >= {need} and bit_count(low ^ low2) + bit_count(high ^ high2) <= n + n2 - 2 * {need}"
     pairs = met.where(filters).select("at", "n", "at2", "n2").distinct()
-    # The same filter with more bits, for long lines, before the words move.
-    pairs = pairs.join(sets.select("at", *_WIDE), "at").join(sets.select(F.col("at").alias("at2"), *(F.col(c).alias(f"{c}_") for c in _WIDE)), "at2")
-    pairs = pairs.where(f"{' + '.join(f'bit_count({c} ^ {c}_)' for c in _WIDE)} <= n + n2 - 2 * {need}").select("at", "n", "at2", "n2")
-    both = pairs.join(sets.select("at", F.col("words").alias("a")), "at").join(sets.select(F.col("at").alias("at2"), F.col("words").alias("b")), "at2")
-    return both.withColumn("overlap", F.size(F.array_intersect("a", "b"))).where(_linked(percent)).select("at").distinct()
+    # The same filter with more bits, for long lines, before the words move. Both sides are named anew, so that their exchanges are the same one.
+    side = lambda i, *columns: sets.select(F.col("at").alias(f"at{i}"), *(F.col(c).alias(f"{c}_{i}") for c in columns))
+    pairs = pairs.select(F.col("at").alias("at1"), "n", "at2", "n2")
+    pairs = pairs.join(side(1, *_WIDE), "at1").join(side(2, *_WIDE), "at2")
+    pairs = pairs.where(f"{' + '.join(f'bit_count({c}_1 ^ {c}_2)' for c in _WIDE)} <= n + n2 - 2 * {need}").select("at1", "n", "at2", "n2")
+    both = pairs.join(side(1, "words"), "at1").join(side(2, "words"), "at2").withColumnRenamed("at1", "at")
+    return both.withColumn("overlap", F.size(F.array_intersect("words_1", "words_2"))).where(_linked(percent)).select("at").distinct()
 
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
