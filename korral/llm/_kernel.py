@@ -8,8 +8,10 @@ slice of its own), which bounds a worker's memory whatever the batch holds.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +19,13 @@ import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from korral.sources.tree import shared_folder
 
 SLICE_BYTES = 1 << 19
+#: About the bytes of an Arrow batch (a longer single row is a batch of its own), and the setting for it.
+BATCH_BYTES, _BATCH = 1 << 22, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240611)
@@ -197,9 +202,21 @@ def shared_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint: computed once, and safe when executors are lost."""
+    """Cut the lineage with a reliable checkpoint: computed once, and safe when executors are lost.
+
+    Meanwhile Arrow batches are of ``BATCH_BYTES``: a batch is held by the executor and by its worker, which may have two.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    conf = df.sparkSession.conf
+    before = conf.get(_BATCH, None)
+    conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        if before is None:
+            conf.unset(_BATCH)
+        else:
+            conf.set(_BATCH, before)
 
 
 def _bare_source(docs: DataFrame) -> str | None:
@@ -246,5 +263,36 @@ def uid(docs: DataFrame) -> Column:
     return F.monotonically_increasing_id() if place is None else place
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system: allocators keep it, and a worker waits for its next task with it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # not every libc can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` whose workers give their memory back at the end of each task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def group_arrow(df: DataFrame, key: str, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``applyInArrow`` by a column, whose workers give their memory back after each group."""
+
+    def group(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    return df.groupBy(key).applyInArrow(group, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

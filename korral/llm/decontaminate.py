@@ -83,7 +83,7 @@ def _item_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
 def windows_of_items(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Distinct (item_id, size, fp, win, words) of the benchmark's windows."""
     kind = items.schema["item_id"].dataType.simpleString()
-    return items.select("item_id", "text").mapInArrow(lambda it: _item_windows(it, window), f"item_id {kind}, size int, fp bigint, win bigint, words string").distinct()
+    return K.map_arrow(items.select("item_id", "text"), lambda it: _item_windows(it, window), f"item_id {kind}, size int, fp bigint, win bigint, words string").distinct()
 
 
 def scan(docs: DataFrame, item_windows: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -119,7 +119,7 @@ def scan(docs: DataFrame, item_windows: DataFrame, window: int = WINDOW) -> Data
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("uid").slice(lo, hi - lo), pa.array(count, pa.int64()), pa.ListArray.from_arrays(offsets, hits)], ["doc_id", "uid", "n_words", "hits"])
 
     source = docs.select("doc_id", K.uid(docs).alias("uid"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, uid bigint, n_words bigint, hits {_HITS}")
+    return K.map_arrow(source, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, uid bigint, n_words bigint, hits {_HITS}")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:

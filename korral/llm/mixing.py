@@ -26,9 +26,11 @@ from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from korral.llm import _kernel as K
 
@@ -137,7 +139,10 @@ def mix(docs: DataFrame, members: Column | None = None, keep: tuple[str, ...] =
         passes, rest = divmod(sent[p], n) if n else (0, 0)
         plan.append((list(p), sizes[p[0]] if p else 0, quota[p[0]] if p else 0.0, passes, rest))
     kind = rows.schema["members"].dataType.simpleString()
-    plan_df = F.broadcast(docs.sparkSession.createDataFrame(plan, f"members {kind}, source_size bigint, target double, passes bigint, rest bigint"))
+    names = ["members", "source_size", "target", "passes", "rest"]
+    types = [to_arrow_type(rows.schema["members"].dataType), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+    table = pa.table([pa.array([x[i] for x in plan], t) for i, t in enumerate(types)], names)  # of a list, Spark would start Python workers that stay
+    plan_df = F.broadcast(docs.sparkSession.createDataFrame(table, f"members {kind}, source_size bigint, target double, passes bigint, rest bigint"))
 
     rows = rows.join(plan_df, rows["members"].eqNullSafe(plan_df["members"])).drop(plan_df["members"])
     rows = rows.withColumn("bucket", F.shiftright("h", HASH_BITS - BUCKET_BITS))

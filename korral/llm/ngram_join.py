@@ -112,9 +112,15 @@ def _block(g: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
 
     Columns of a block that agree in these count as one, which only lets more rows through.
     """
-    low = ((g & np.uint64(0xFFFFFFFF)) * np.uint64(blocks)) >> np.uint64(32)
-    x = (g >> np.uint64(32)) * np.uint64(blocks) + low
-    return (x >> np.uint64(32)).astype(np.int64), (x & np.uint64(0xFFFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, 1:]
+    low = g & np.uint64(0xFFFFFFFF)
+    low *= np.uint64(blocks)
+    low >>= np.uint64(32)
+    x = g >> np.uint64(32)
+    x *= np.uint64(blocks)
+    x += low
+    cols = x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, 1:]  # of the lower half
+    x >>= np.uint64(32)
+    return x.view(np.int64), cols
 
 
 def _deal(batches: Iterator[pa.RecordBatch], k: int, blocks: int, copied, split=whole) -> Iterator[pa.RecordBatch]:
@@ -132,9 +138,11 @@ def _deal(batches: Iterator[pa.RecordBatch], k: int, blocks: int, copied, split=
 
     def flush() -> Iterator[pa.RecordBatch]:
         g, n, short = np.concatenate(grams), np.concatenate(sizes), np.concatenate(shorts)
+        grams.clear()  # the largest arrays go as soon as they have been used
         row = np.repeat(np.arange(len(n), dtype=np.uint16), n)
         order = np.argsort(g)
         g, row = g[order], row[order]
+        del order
         again = np.zeros(len(g), bool)
         again[1:] = g[1:] == g[:-1]
         many = again.copy()
@@ -239,9 +247,9 @@ def _summed(table: pa.Table, percent: int) -> pa.Table:
 def incidence(docs: DataFrame, k: int, blocks: int, copied, percent: int, split=whole) -> DataFrame:
     """(short, shared) of the rows of which ``percent`` of the columns occur in other rows; a row may be listed again."""
     packed = "block bigint, flush bigint, rows binary, n binary, own binary, cols binary, idx binary, keys binary, marks binary"
-    dealt = docs.select("text").mapInArrow(lambda it: _deal(it, k, blocks, copied, split), packed)
-    parts = dealt.groupBy("block").applyInArrow(_shared, "flush bigint, rows binary, n binary, own binary, idx binary, credit binary")
-    return parts.groupBy("flush").applyInArrow(lambda t: _summed(t, percent), "short bigint, shared bigint")
+    dealt = K.map_arrow(docs.select("text"), lambda it: _deal(it, k, blocks, copied, split), packed)
+    parts = K.group_arrow(dealt, "block", _shared, "flush bigint, rows binary, n binary, own binary, idx binary, credit binary")
+    return K.group_arrow(parts, "flush", lambda t: _summed(t, percent), "short bigint, shared bigint")
 
 
 def _read(batches: Iterator[pa.RecordBatch], k: int, bits, split=whole) -> Iterator[pa.RecordBatch]:
@@ -264,7 +272,7 @@ def similar_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> t
     """(a row per document with its set's key and size, the ids of keys, the component of every id that is linked)."""
     source = docs.select("doc_id", K.uid(docs).alias("uid"), F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = K.cut(source.mapInArrow(lambda it: _keys(it, k), f"doc_id {kind}, uid bigint, n bigint, key binary"))
+    rows = K.cut(K.map_arrow(source, lambda it: _keys(it, k), f"doc_id {kind}, uid bigint, n bigint, key binary"))
     held, sets = repeated_sets(source, rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.count("*").alias("copies")), k, percent)
     ranked = by_rarity(sets, percent)
     post = ranked.select("id", "n", "s", F.posexplode(F.slice("cols", F.lit(1), _room("s", "n", percent))).alias("pos", "col"))
@@ -319,7 +327,7 @@ def repeated_sets(source: DataFrame, sizes: DataFrame, k: int, percent: int, spl
     if facts[0] != facts[1]:
         held = held.withColumn("id", F.xxhash64("key"))
     bits = spark.sparkContext.broadcast(K.bitmap(held, "short", K.bitmap_bits(facts[0], MAX_BITS)))
-    read = source.select("text").mapInArrow(lambda it: _read(it, k, bits, split), "key binary, short bigint, n bigint, cols array<bigint>")
+    read = K.map_arrow(source.select("text"), lambda it: _read(it, k, bits, split), "key binary, short bigint, n bigint, cols array<bigint>")
     sets = read.groupBy("key").agg(F.first("cols").alias("cols")).join(held.select("key", "id", "n"), "key")
     return held, K.cut(sets.select("id", "n", "cols"))
 

@@ -102,7 +102,7 @@ def _only(sample: DataFrame, keys: np.ndarray) -> DataFrame:
             count = np.bincount(np.repeat(np.arange(len(count)), count)[ok], minlength=len(count))
             yield pa.RecordBatch.from_arrays([b.column("y"), K.lists(size.astype(np.int32), per_doc, pa.int32()), K.lists(f[ok], count, pa.int64())], ["y", "sizes", "features"])
 
-    return sample.mapInArrow(run, sample.schema)
+    return K.map_arrow(sample, run, sample.schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, features: int = FEATURES) -> Model:
@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     if not total.get(0) or not total.get(1):
         return none
     ids = L.first_ids(known.where("y = 1"), positives).withColumn("y", F.lit(1)).unionByName(L.first_ids(known.where("y = 0"), negatives).withColumn("y", F.lit(0)))
-    sample = K.cut(L.with_texts(docs, ids).select("y", "text").mapInArrow(_sample, "y int, sizes array<int>, features array<bigint>"))
+    sample = K.cut(K.map_arrow(L.with_texts(docs, ids).select("y", "text"), _sample, "y int, sizes array<int>, features array<bigint>"))
     kinds = sample.agg(F.min("y"), F.max("y")).first()
     if kinds[0] == kinds[1]:  # no row, or of one kind only
         return none
@@ -192,4 +192,4 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("uid").slice(lo, hi - lo), pa.array(-np.expm1(-log_clean), pa.float64()), pa.array(np.bincount(row, minlength=hi - lo), pa.int64()), found], ["doc_id", "uid", "score", "n_sentences", "offending"])
 
     source = docs.select("doc_id", K.uid(docs).alias("uid"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, uid bigint, score double, n_sentences bigint, offending array<struct<score:double,start:bigint,end:bigint,text:string>>")
+    return K.map_arrow(source, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, uid bigint, score double, n_sentences bigint, offending array<struct<score:double,start:bigint,end:bigint,text:string>>")
